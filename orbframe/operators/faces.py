@@ -20,7 +20,7 @@ def panorama_to_face_map(spark: SparkSession, w: int, h: int, size: int, overlap
     """Where each pixel of six (widened) faces reads a panorama."""
     px = grid.face_grid(spark, size, 1.0 + overlap)
     u, v = sphere.uv_of_dir(F.col("dx"), F.col("dy"), F.col("dz"), w, h)
-    return _taps(px.withColumns({"u": u, "v": v}), w, h, wrap_x=True, pole=pole).select(
+    return _taps(grid.pin(px, {"u": u, "v": v}), w, h, wrap_x=True, pole=pole).select(
         "face", "y", "x", "y0", "x0", "fy", "fx"
     )
 
@@ -33,7 +33,8 @@ def panorama_to_faces(df: DataFrame, w: int, h: int, size: int, values: list[str
 
 def _face_map(px: DataFrame, size: int, reach: float = 1.0, rule: str = "clamp") -> DataFrame:
     """Owning face and taps on it for rows with a direction."""
-    at = px.withColumn("own", sphere.owner(F.col("dx"), F.col("dy"), F.col("dz"))).withColumns({
+    own = grid.pin(px, {"own": sphere.owner(F.col("dx"), F.col("dy"), F.col("dz"))})
+    at = grid.pin(own, {
         "sface": F.col("own.face"),
         "u": sphere.local_to_pixel(F.col("own.a"), size, reach),
         "v": sphere.local_to_pixel(F.col("own.b"), size, reach),
@@ -82,9 +83,9 @@ def colour_atlas_to_panorama(df: DataFrame, size: int, w: int, h: int, values: l
         (F.col("x") + F.col("_i") % 3 * size).alias("x"), *values,
     )
     out = grid.rays(grid.image_grid(df.sparkSession, w, h), w, h)
-    own = out.withColumn("own", sphere.owner(F.col("dx"), F.col("dy"), F.col("dz")))
+    own = grid.pin(out, {"own": sphere.owner(F.col("dx"), F.col("dy"), F.col("dz"))})
     i = F.array_position(F.array(*[F.lit(f) for f in FACES]), F.col("own.face")).cast("int") - 1
-    at = own.withColumns({
+    at = grid.pin(own, {
         "u": sphere.local_to_pixel(F.col("own.a"), size) + i % 3 * size,
         "v": sphere.local_to_pixel(F.col("own.b"), size) + (i / 3).cast("int") * size,
     })
@@ -133,7 +134,7 @@ def read_source(df: DataFrame, projection: str, w: int, h: int, padding: int, va
 def visible_faces(spark: SparkSession, w: int, h: int, overlap: float = FACE_OVERLAP) -> DataFrame:
     """Every panorama pixel with each widened face that sees it."""
     px = grid.rays(grid.image_grid(spark, w, h), w, h).withColumn("axes", F.explode(sphere.face_axes_literal()))
-    seen = px.withColumn("p", sphere.face_view(F.col("dx"), F.col("dy"), F.col("dz"), 1.0 + overlap))
+    seen = grid.pin(px, {"p": sphere.face_view(F.col("dx"), F.col("dy"), F.col("dz"), 1.0 + overlap)})
     return seen.filter("p.seen").select("y", "x", F.col("axes.face").alias("sface"), "p.a", "p.b")
 
 
@@ -143,7 +144,7 @@ def blend_map(spark: SparkSession, w: int, h: int, size: int, overlap: float = F
         "wt", sphere.overlap_weight(F.col("a"), overlap) * sphere.overlap_weight(F.col("b"), overlap)
     )
     total = F.sum("wt").over(Window.partitionBy("y", "x"))
-    at = seen.withColumn("wt", F.col("wt") / F.greatest(total, F.lit(1e-6))).withColumns({
+    at = grid.pin(seen.withColumn("wt", F.col("wt") / F.greatest(total, F.lit(1e-6))), {
         "u": sphere.local_to_pixel(F.col("a"), size, 1.0 + overlap),
         "v": sphere.local_to_pixel(F.col("b"), size, 1.0 + overlap),
     })

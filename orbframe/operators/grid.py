@@ -19,6 +19,15 @@ def by_frame(df: DataFrame) -> DataFrame:
     return df.repartition(*FRAME)
 
 
+def pin(df: DataFrame, cols: dict) -> DataFrame:
+    """Add columns that later steps use many times.
+
+    A one-row ``inline`` is a boundary the optimiser does not merge across, so
+    an expression is evaluated once and not copied into every use.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def image_grid(spark: SparkSession, w: int, h: int) -> DataFrame:
     """Every (y, x) of a ``w`` x ``h`` image."""
     i = F.col("id")
@@ -38,16 +47,15 @@ def face_grid(spark: SparkSession, size: int, reach: float = 1.0) -> DataFrame:
         .withColumn("b", ((F.col("y") + 0.5) / size * 2.0 - 1.0) * reach)
     )
     dx, dy, dz = sphere.face_dir(F.col("a"), F.col("b"))
-    return side.select(
-        F.col("axes.face").alias("face"), "y", "x", "a", "b",
-        dx.alias("dx"), dy.alias("dy"), dz.alias("dz"),
+    return pin(side, {"dx": dx, "dy": dy, "dz": dz}).select(
+        F.col("axes.face").alias("face"), "y", "x", "a", "b", "dx", "dy", "dz"
     )
 
 
 def rays(df: DataFrame, w: int, h: int) -> DataFrame:
     """Add the unit direction of every panorama pixel."""
     dx, dy, dz = sphere.ray(F.col("x"), F.col("y"), w, h)
-    return df.withColumns({"dx": dx, "dy": dy, "dz": dz})
+    return pin(df, {"dx": dx, "dy": dy, "dz": dz})
 
 
 def tap_coords(u, v, w: int, h: int, wrap_x: bool = True, pole: str = "clamp") -> dict:

@@ -58,7 +58,7 @@ def depth_edges(df: DataFrame, w: int, h: int, value: str = "d", threshold: floa
 def seam_step(df: DataFrame, w: int, h: int, one: str = "+Z", other: str = "-Y") -> DataFrame:
     """Median depth step across a seam over the range of the lower half."""
     col = Window.partitionBy(*FRAME, "x").orderBy("y")
-    own = grid.rays(df, w, h).withColumn("face", sphere.owner(F.col("dx"), F.col("dy"), F.col("dz"))["face"])
+    own = grid.pin(grid.rays(df, w, h), {"face": sphere.owner(F.col("dx"), F.col("dy"), F.col("dz"))["face"]})
     step = own.withColumns({"pd": F.lag("d").over(col), "pf": F.lag("face").over(col)})
     across = ((F.col("pf") == one) & (F.col("face") == other)) | ((F.col("pf") == other) & (F.col("face") == one))
     low = F.when(F.col("y") >= h // 2, F.col("d"))

@@ -43,8 +43,7 @@ def footprint(df: DataFrame, w: int, h: int, strength: float, dist: str = "dist"
     own = cell(F.col("y"), F.col("x"), F.lit(None).cast("double"))
     cells = F.array(own, hit(0, 0), hit(0, 1), hit(1, 0), hit(1, 1))
     return (
-        grid.rays(df, w, h)
-        .withColumns({"u": u, "v": v, "norm": norm})
+        grid.pin(grid.rays(df, w, h), {"u": u, "v": v, "norm": norm})
         .select(*FRAME, F.explode(cells).alias("c"))
         .select(*FRAME, "c.*")
         .filter((F.col("ty") >= 0) & (F.col("ty") < h))
@@ -149,7 +148,7 @@ def back_project(z: DataFrame, w: int, h: int, strength: float, pole: str = "cla
     dist = F.coalesce("dist", F.lit(1.0))
     px, pz = eye_offset(dist, F.col("dx"), F.col("dz"), strength * BASELINE)
     u, v, norm = sphere.uv_of_point(px, dist * F.col("dy"), pz, w, h)
-    placed = grid.rays(z, w, h).withColumns({"u": u, "v": v, "need": norm})
+    placed = grid.pin(grid.rays(z, w, h), {"u": u, "v": v, "need": norm})
     return placed.withColumns(grid.tap_coords(F.col("u"), F.col("v"), w, h, True, pole)).select(
         *FRAME, "y", "x", "dist", "need", "y0", "x0", "fy", "fx"
     )
@@ -201,12 +200,11 @@ def nearest_splat(df: DataFrame, w: int, h: int, strength: float) -> DataFrame:
     lam = distance(F.col("d"))
     u, v, norm = sphere.uv_of_point(lam * F.col("dx") - b, lam * F.col("dy"), lam * F.col("dz"), w, h)
     place = lambda t, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.bround(t).cast("int")))
-    src = (F.col("y") * w + F.col("x")).alias("src")
+    src = F.col("y") * w + F.col("x")
     cell = lambda y, x, z: F.struct(y.alias("ty"), x.alias("tx"), z.alias("z"))
     own = cell(F.col("y"), F.col("x"), F.lit(None).cast("double"))
     return (
-        grid.rays(grid.by_frame(df), w, h)
-        .withColumns({"u": u, "v": v, "norm": norm, "src": src})
+        grid.pin(grid.rays(grid.by_frame(df), w, h), {"u": u, "v": v, "norm": norm, "src": src})
         .withColumn("c", F.explode(F.array(own, cell(place(F.col("v"), h), place(F.col("u"), w), F.col("norm")))))
         .groupBy(*FRAME, F.col("c.ty").alias("y"), F.col("c.tx").alias("x"))
         .agg(F.min_by(F.struct("r", "g", "b"), F.when(F.col("c.z").isNotNull(), F.struct("c.z", -F.col("src")))).alias("p"),

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from orbframe.plans import warp_queries  # noqa: F401
+from orbframe.plans import fill_queries, sphere_queries, time_queries, warp_queries  # noqa: F401
 from orbframe.plans.registry import ORACLES, QUERIES  # noqa: F401
