@@ -14,7 +14,7 @@ from orbframe.operators import faces, fill
 MARGIN, GROW, TRIES, PAD, MAX_CROP = 48, 4, 4, 64, 1024
 
 
-def _label_frame(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _label_frame(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Smallest run number reachable from each run of one frame."""
     pdf = pdf.sort_values(["y", "x0"], ignore_index=True)
     y, x0, x1 = (pdf[c].to_numpy() for c in ("y", "x0", "x1"))
@@ -75,7 +75,7 @@ def touching_components(df: DataFrame, hole: str = "hole", near: str = "near", k
     return labelled.join(touched, [*FRAME, "label"], "left_semi").select(*FRAME, "y", "x")
 
 
-def _merge_frame(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _merge_frame(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Union boxes of one frame until none overlap."""
     box = pdf[["x0", "y0", "x1", "y1"]].to_numpy()
     while True:
@@ -167,8 +167,7 @@ def learned_fill(df: DataFrame, w: int, h: int, make_model: Callable, mask: str
         .agg(F.array_sort(F.collect_list(F.struct("y", cut.alias("px")))).alias("lines"))
         .withColumn("px", F.flatten(F.transform("lines", lambda l: l["px"])))
         .select(*FRAME, "label", "x0", "y0", (F.col("x1") - F.col("x0")).alias("cw"), (F.col("y1") - F.col("y0")).alias("ch"),
-                *[F.transform("px", lambda p, c=c: p[c].cast("double")).alias(c) for c in "rgb"],
-                F.transform("px", lambda p: p["m"]).alias("m"))
+                *[F.col("px")[c].cast("array<double>").alias(c) for c in "rgb"], F.col("px")["m"].alias("m"))
     )
 
     def run(batches):

@@ -78,7 +78,7 @@ def model_depth(df: DataFrame, keys: list[str], w: int, h: int, make_model: Call
 
         def predict(flat: np.ndarray) -> np.ndarray:
             n = flat.shape[0]
-            out = np.asarray(model(flat.reshape(n, h, w, 3) / 255.0))
+            out = np.asarray(model(flat.reshape(n, h, w, 3).astype(np.float64) / 255.0))
             return np.maximum(out.reshape(n, h * w), 0.0)
 
         return predict

