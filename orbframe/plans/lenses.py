@@ -100,7 +100,10 @@ def tracks(spark: SparkSession, sf: str) -> DataFrame:
 
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
     """A job per user: each event finishes ``props.k`` frames at ``ts`` seconds."""
-    ev = table(spark, sf, "events")
+    return jobs_of(table(spark, sf, "events"))
+
+
+def jobs_of(ev: DataFrame) -> DataFrame:
     # Calendar parts, so the result does not hang on the session time zone.
     seconds = F.expr(
         "(unix_date(cast(ts AS date)) * 86400000000L + hour(ts) * 3600000000L + minute(ts) * 60000000L"
