@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from orbframe import FRAME
 from orbframe.operators import align, faces, grid, packing
+from orbframe.session import cut
 
 # Pixel scaling of the image models, batch size, tile feather.
 IMAGE_MEAN, IMAGE_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
@@ -23,10 +24,10 @@ def luma_model(df: DataFrame, keys: list[str]) -> DataFrame:
     """Deterministic stand-in for a depth model: mean colour, scaled to each
     image's own range, raised to 1.4, plus 0.05."""
     luma = ((F.col("r") + F.col("g") + F.col("b")) / 3.0 / 255.0).alias("d")
-    px = df.select(*keys, "y", "x", luma)
-    span = px.groupBy(*keys).agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    image = Window.partitionBy(*keys)
+    px = df.select(*keys, "y", "x", luma).withColumns({"lo": F.min("d").over(image), "hi": F.max("d").over(image)})
     unit = (F.col("d") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6))
-    return px.join(span, keys).select(*keys, "y", "x", (F.pow(unit, F.lit(1.4)) + 0.05).alias("d"))
+    return px.select(*keys, "y", "x", (F.pow(unit, F.lit(1.4)) + 0.05).alias("d"))
 
 
 def images(df: DataFrame, keys: list[str], w: int, h: int) -> DataFrame:
@@ -116,16 +117,18 @@ def frame_depth(
     """Whole-frame depth: faces, model, alignment, assembly.
 
     ``estimate`` maps face pixels (.., face, y, x, r, g, b) to depth. Faces
-    that came with the source are used directly.
+    that came with the source are used directly. Depth is written to the shared
+    folder once: the fit and the assembly read it several times, and a model
+    must not run again for that or when an executor is lost.
     """
     rgb = ["r", "g", "b"]
     if overlap > 0:
         src = faces.widen_faces(own_faces, size, rgb, overlap) if own_faces is not None else faces.panorama_to_faces(df, w, h, size, rgb, overlap)
-        depth = estimate(src)
+        depth = cut(estimate(src))
         fitted = align.apply_fit(depth, align.fit(align.band_pairs(depth, size, overlap), depth, size))
         return faces.blend_faces(fitted, size, w, h, overlap)
     src = own_faces if own_faces is not None else faces.panorama_to_faces(df, w, h, size, rgb)
-    depth = estimate(src)
+    depth = cut(estimate(src))
     fitted = align.apply_fit(depth, align.fit(align.edge_pairs(depth, size), depth, size))
     return faces.faces_to_panorama(fitted, size, w, h, ["d"])
 
@@ -145,47 +148,51 @@ def tile_spans(size: int, split: int, overlap: float = TILE_OVERLAP) -> list[tup
 
 
 def tile_pixels(df: DataFrame, size: int, split: int) -> DataFrame:
-    """Each pixel once per tile holding it: ``ty, tx`` and the feather weight.
+    """Each pixel once per tile holding it, as ``ty, tx``.
 
     The spans are a handful of literals, so the range join is a filter on an
     exploded array and nothing is shuffled.
     """
-    pad = int((size // split) * TILE_OVERLAP)
-
     def axis(c):
         spans = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("t", "s", "e"), span)]) for span in tile_spans(size, split)])
-        return F.filter(spans, lambda s: (F.col(c) >= s["s"]) & (F.col(c) < s["e"]))
+        return F.transform(F.filter(spans, lambda s: (F.col(c) >= s["s"]) & (F.col(c) < s["e"])), lambda s: s["t"])
 
-    def ramp(c, s):
-        if pad == 0:
-            return F.lit(1.0)
-        rise = lambda i: 0.5 - 0.5 * F.cos(math.pi * i / pad)
-        lead, trail = F.col(c) - s["s"], s["e"] - 1 - F.col(c)
-        roomy = (s["e"] - s["s"]) > pad
-        after = F.when(roomy & (s["e"] < size) & (trail < pad), rise(trail))
-        return F.coalesce(after, F.when(roomy & (s["s"] > 0) & (lead < pad), rise(lead)), F.lit(1.0))
+    return df.withColumn("ty", F.explode(axis("y"))).withColumn("tx", F.explode(axis("x")))
 
-    return (
-        df.withColumn("_ty", F.explode(axis("y"))).withColumn("_tx", F.explode(axis("x")))
-        .withColumn("wt", ramp("y", F.col("_ty")) * ramp("x", F.col("_tx")))
-        .withColumns({"ty": F.col("_ty.t"), "tx": F.col("_tx.t")}).drop("_ty", "_tx")
-    )
+
+def tile_weight(size: int, split: int):
+    """Feather weight of a pixel in its tile: 1 inside, a cosine ramp towards
+    each edge that has a neighbouring tile."""
+    pad = int((size // split) * TILE_OVERLAP)
+    rise = lambda i: 0.5 - 0.5 * F.cos(math.pi * i / pad)
+
+    def ramp(c, t):
+        out = F.when(F.lit(False), F.lit(1.0))
+        for tile, start, stop in tile_spans(size, split):
+            lead, trail = F.col(c) - start, stop - 1 - F.col(c)
+            if stop - start > pad > 0:
+                if stop < size:
+                    out = out.when((F.col(t) == tile) & (trail < pad), rise(trail))
+                if start > 0:
+                    out = out.when((F.col(t) == tile) & (lead < pad), rise(lead))
+        return out.otherwise(F.lit(1.0))
+
+    return ramp("y", "ty") * ramp("x", "tx")
 
 
 def merge_tiles(tiles: DataFrame, keys: list[str]) -> DataFrame:
     """Scale each tile to the coarse reference ``ref`` and feather them together.
 
-    ``tiles`` rows: keys, ty, tx, y, x, d, ref, wt.
+    ``tiles`` rows: keys, ty, tx, y, x, d, ref, wt. The fit is a window over a
+    tile, so the tiles' depth is computed once.
     """
-    tile = [*keys, "ty", "tx"]
-    top = F.sum(F.col("d") * F.col("ref"))
-    den = F.sum(F.col("d") * F.col("d"))
+    tile = Window.partitionBy(*keys, "ty", "tx")
+    top = F.sum(F.col("d") * F.col("ref")).over(tile)
+    den = F.sum(F.col("d") * F.col("d")).over(tile)
     fit = F.greatest(F.lit(1.0 / MAX_TILE_SCALE), F.least(F.lit(MAX_TILE_SCALE), F.col("top") / F.col("den")))
-    scale = tiles.groupBy(*tile).agg(top.alias("top"), den.alias("den")).select(
-        *tile, F.when(F.col("den") > 1e-12, fit).otherwise(F.lit(1.0)).alias("s")
-    )
+    scale = F.when(F.col("den") > 1e-12, fit).otherwise(F.lit(1.0))
     return (
-        tiles.join(scale, tile).groupBy(*keys, "y", "x")
+        tiles.withColumns({"top": top, "den": den}).withColumn("s", scale).groupBy(*keys, "y", "x")
         .agg((F.sum(F.col("d") * F.col("s") * F.col("wt")) / F.greatest(F.sum("wt"), F.lit(1e-6))).alias("d"))
     )
 
@@ -193,12 +200,9 @@ def merge_tiles(tiles: DataFrame, keys: list[str]) -> DataFrame:
 def tiled_depth(df: DataFrame, keys: list[str], size: int, split: int, estimate: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
     """Depth estimated per overlapping tile, aligned to a coarse pass, merged."""
     ref = estimate(df, keys).withColumnRenamed("d", "ref")
-    cut = tile_pixels(df, size, split)
-    per_tile = estimate(cut, [*keys, "ty", "tx"])
-    weights = cut.select(*keys, "ty", "tx", "y", "x", "wt")
-    return merge_tiles(
-        per_tile.join(weights, [*keys, "ty", "tx", "y", "x"]).join(ref, [*keys, "y", "x"]), keys
-    )
+    per_tile = estimate(tile_pixels(df, size, split), [*keys, "ty", "tx"])
+    both = per_tile.join(ref, [*keys, "y", "x"]).withColumn("wt", tile_weight(size, split))
+    return merge_tiles(both, keys)
 
 
 # --- guided filter -------------------------------------------------------

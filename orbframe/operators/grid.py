@@ -171,6 +171,27 @@ def gather(
     )
 
 
+def sample_points(df: DataFrame, points: DataFrame, value: str, rows: int) -> DataFrame:
+    """Bilinear values at few points per frame, by face.
+
+    Unlike ``gather`` this does not touch the pixels nobody asks for: the
+    points' four taps meet the pixels in a (normally broadcast) join, and only
+    the hits are summed. ``points``: sface, y0, x0, fy, fx and output columns.
+    """
+    out = [c for c in points.columns if c not in ("sface", "y0", "x0", "fy", "fx")]
+    tap = lambda dy, dx: F.struct(
+        (F.col("y0") + dy).alias("y"), (F.col("x0") + dx).alias("x"),
+        ((F.col("fy") if dy else 1 - F.col("fy")) * (F.col("fx") if dx else 1 - F.col("fx"))).alias("w"),
+    )
+    # A tap beyond the last row or column has no weight, as taps are clamped.
+    taps = points.withColumn("t", F.explode(F.array(tap(0, 0), tap(0, 1), tap(1, 0), tap(1, 1)))).filter("t.w > 0")
+    flat = taps.select(*out, F.col("sface").alias("face"), "t.*")
+    return (
+        df.join(shared_map(flat, 4 * rows), ["face", "y", "x"])
+        .groupBy(*FRAME, *out).agg(F.sum(F.col(value) * F.col("w")).alias(value))
+    )
+
+
 # --- block form ----------------------------------------------------------
 
 

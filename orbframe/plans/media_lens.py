@@ -3,10 +3,12 @@
 The same choices, made from the order key, are written in both dialects.
 """
 
+import struct
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbframe.operators import grid
 from orbframe.plans.lenses import table
 
 PIX_FMTS = ("yuv420p", "yuvj420p", "yuva420p", "yuv422p10le", "yuv444p", "yuv444p12le", "nv12", "nv16", "gbrp", "rgb24", "gray", "yuv411p",
@@ -98,55 +100,44 @@ def probe_documents(spark: SparkSession, sf: str) -> DataFrame:
 # --- file bytes ----------------------------------------------------------
 
 
-def be(n, size: int = 4):
-    return F.unhex(F.lpad(F.hex(n.cast("bigint")), size * 2, "0"))
+def _box(kind: str, *parts: bytes) -> bytes:
+    body = b"".join(parts)
+    return struct.pack(">I4s", 8 + len(body), kind.encode()) + body
 
 
-def zeros(n: int):
-    return F.unhex(F.lit("00" * n))
+def _movie(k: int, channels: int | None) -> bytes:
+    """A small MP4 file whose tags depend on the key."""
+    side = round((1.0 - (180.0 if k % 8 == 0 else 360.0) / 360.0) / 2.0 * 2**32)
+    v1 = _box("uuid", bytes.fromhex("ffcc8263f8554a938814587a02521fdd"), b"<rdf/>") if k % 3 == 0 else b""
+    equi = _box("equi", bytes(12), struct.pack(">II", side, side))
+    v2 = _box("st3d", bytes(4), bytes([k % 3])) + _box("sv3d", _box("svhd", bytes(4), b"x\0"), _box("proj", _box("prhd", bytes(16)), equi))
+    order = {4: 1, 9: 2, 16: 3}.get(channels)
+    sound = _box("SA3D", bytes(2), struct.pack(">IBBI", order, 0, int(k % 6 == 0), channels)) if order else b""
 
+    def track(handler: bytes, entry: bytes, tail: bytes = b"") -> bytes:
+        table = _box("stbl", _box("stsd", bytes(4), struct.pack(">I", 1), entry))
+        return _box("trak", _box("mdia", _box("hdlr", bytes(8), handler, bytes(12)), _box("minf", table)), tail)
 
-def box(kind: str, *payload):
-    body = F.concat(*payload) if payload else zeros(0)
-    return F.concat(be(F.length(body) + 8), F.encode(F.lit(kind), "US-ASCII"), body)
+    tracks = track(b"vide", _box("avc1", bytes(78), _box("avcC", bytes(4)), v2 if k % 4 == 0 else b""), v1)
+    if channels is not None:
+        tracks += track(b"soun", _box("mp4a", bytes(28), sound))
+    moov, mdat = _box("moov", _box("mvhd", bytes(20)), tracks), _box("mdat", struct.pack(">Q", k))
+    whole = _box("ftyp", b"isom", bytes(4)) + (mdat + moov if k % 2 else moov + mdat)
+    return whole[:-3] if k % 17 == 0 else whole
 
 
 def movie_files(spark: SparkSession, sf: str) -> DataFrame:
-    """``path, content``: small MP4 files. Tags depend on the key: version 1
-    for k % 3 = 0, version 2 for k % 4 = 0, sound for ambiX channel counts.
-    The media data leads for odd keys; every 17th file is cut short."""
-    k, c, none = F.col("k"), F.col, zeros(0)
-    text = lambda t: F.encode(F.lit(t), "US-ASCII")
-    fov = F.when(k % 8 == 0, F.lit(180.0)).otherwise(F.lit(360.0))
-    side = F.bround((1.0 - fov / 360.0) / 2.0 * float(2**32))
-    order = F.bround(F.sqrt(F.col("channels"))) - 1
-    maybe = lambda cond, body: F.when(cond, body).otherwise(none)
-    # A box names its own length, so each level is pinned before the next.
-    levels = [
-        {"uuid": maybe(k % 3 == 0, box("uuid", F.unhex(F.lit("ffcc8263f8554a938814587a02521fdd")), text("<rdf/>"))),
-         "st3d": box("st3d", zeros(4), be(k % 3, 1)), "equi": box("equi", zeros(12), be(side), be(side)),
-         "sa3d": maybe(c("channels").isin(4, 9, 16), box("SA3D", zeros(2), be(order), zeros(1), be((k % 6 == 0).cast("int"), 1), be(c("channels"))))},
-        {"proj": box("proj", box("prhd", zeros(16)), c("equi")), "mp4a": box("mp4a", zeros(28), c("sa3d"))},
-        {"sv3d": box("sv3d", box("svhd", zeros(4), F.unhex(F.lit("7800"))), c("proj"))},
-        {"avc1": box("avc1", zeros(78), box("avcC", zeros(4)), maybe(k % 4 == 0, F.concat(c("st3d"), c("sv3d"))))},
-    ]
-    for part, entry in (("v", "avc1"), ("a", "mp4a")):
-        handler = box("hdlr", zeros(8), text("vide" if part == "v" else "soun"), zeros(12))
-        tail = c("uuid") if part == "v" else none
-        levels += [
-            {f"{part}1": box("stsd", zeros(4), be(F.lit(1)), c(entry))}, {f"{part}2": box("stbl", c(f"{part}1"))},
-            {f"{part}3": box("minf", c(f"{part}2"))}, {f"{part}4": box("mdia", handler, c(f"{part}3"))},
-            {f"{part}5": box("trak", c(f"{part}4"), tail)},
-        ]
-    levels += [
-        {"moov": box("moov", box("mvhd", zeros(20)), c("v5"), maybe(c("channels").isNotNull(), c("a5")))},
-        {"whole": F.concat(box("ftyp", text("isom"), zeros(4)), maybe(k % 2 == 1, box("mdat", be(k, 8))), c("moov"), maybe(k % 2 == 0, box("mdat", be(k, 8))))},
-    ]
-    df = catalogue(spark, sf)
-    for level in levels:
-        df = grid.pin(df, level)
-    content = F.when(k % 17 == 0, F.substring("whole", F.lit(1), F.length("whole") - 3)).otherwise(c("whole"))
-    return df.select("path", content.alias("content"))
+    """``path, content``: one MP4 per order. Tags version 1 for k % 3 = 0,
+    version 2 for k % 4 = 0, sound for ambiX channel counts. The media data
+    leads for odd keys; every 17th file is cut short."""
+
+    def build(batches):
+        for pdf in batches:
+            made = [_movie(int(k), None if pd.isna(c) else int(c)) for k, c in zip(pdf["k"], pdf["channels"])]
+            yield pd.DataFrame({"path": pdf["path"], "content": made})
+
+    facts = catalogue(spark, sf).select("k", "channels", "path")
+    return facts.repartition("path").mapInPandas(build, "path string, content binary")
 
 
 def photo_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,8 +145,9 @@ def photo_files(spark: SparkSession, sf: str) -> DataFrame:
     and a decoy of the same text sits behind the start of the scan."""
     k = F.col("k")
     tag = F.concat(F.lit('<x GPano:ProjectionType="equirectangular" GPano:FullPanoWidthPixels="'), F.col("width").cast("string"), F.lit('"/>'))
-    seg = lambda marker, body: F.concat(F.unhex(F.lit(marker)), be(F.length(body) + 2, 2), body)
-    xmp = seg("ffe1", F.concat(F.encode(F.lit("http://ns.adobe.com/xap/1.0/"), "US-ASCII"), zeros(1), F.encode(tag, "UTF-8")))
+    be16 = lambda n: F.unhex(F.lpad(F.hex(n.cast("bigint")), 4, "0"))
+    seg = lambda marker, body: F.concat(F.unhex(F.lit(marker)), be16(F.length(body) + 2), body)
+    xmp = seg("ffe1", F.concat(F.encode(F.lit("http://ns.adobe.com/xap/1.0/"), "US-ASCII"), F.unhex(F.lit("00")), F.encode(tag, "UTF-8")))
     exif = seg("ffe1", F.encode(F.lit("Exif"), "US-ASCII"))
     head = F.concat(F.unhex(F.lit("ffd8")), exif)
     content = F.when(k % 4 == 0, F.concat(head, F.unhex(F.lit("ffda")), xmp)).otherwise(F.concat(head, xmp, F.unhex(F.lit("ffda")), xmp))

@@ -186,7 +186,7 @@ def stream_durations(spark, sf):
 
 
 def inventory(spark, sf):
-    return boxes.boxes_of_content(movie_files(spark, sf).repartition("path"))
+    return boxes.boxes_of_content(movie_files(spark, sf))
 
 
 @query("boxes", f"""WITH {CATALOGUE}, n AS (SELECT path, k, channels IS NOT NULL AS snd, channels IN (4, 9, 16) AS amb FROM cat),
