@@ -51,15 +51,16 @@ def directional(df: DataFrame, w: int, sign: float, mask: str = "hole_d", keys:
     return rows.select(*keys, "y", F.inline(px)).select(*keys, "y", "x", *others, mask, "done")
 
 
-def ring_threshold(df: DataFrame, k: int = DILATE, hole: str = "hole", depth: str = "d") -> DataFrame:
+def ring_threshold(df: DataFrame, k: int = DILATE, hole: str = "hole", depth: str = "d", grown: str | None = None) -> DataFrame:
     """Near/far split per frame: half way between the extremes of the ring.
 
     The ring is the grown mask minus the holes. A ring without contrast is
-    widened to the first of three larger radii that shows some.
+    widened to the first of three larger radii that shows some. ``grown``
+    names a mask to use instead of growing the holes by ``k``.
     """
     radii = [k, 2 * k + 2, 4 * k + 4, 8 * k + 8]
     for i, r in enumerate(radii):
-        df = dilate(df, r, hole, f"_m{i}")
+        df = df.withColumn("_m0", F.col(grown)) if grown and i == 0 else dilate(df, r, hole, f"_m{i}")
     aggs = []
     for i in range(len(radii)):
         ring = F.when(F.col(f"_m{i}") & ~F.col(hole), F.col(depth))

@@ -76,14 +76,19 @@ def stabiliser(spark, sf):
     return rounded(temporal.stabilise(pano(spark, sf), TAU), "d")
 
 
-CHUNKS = f"""
+def chunks_sql(size: int, lap: int) -> str:
+    step = size - lap
+    return f"""
 lengths AS (SELECT clip, count(DISTINCT f) AS n FROM pano GROUP BY clip),
-plan AS (SELECT clip, n, CASE WHEN n >= {SIZE} THEN (n - {SIZE}) // {STEP} + 1 ELSE 0 END AS nfull FROM lengths),
-ids AS (SELECT clip, n, nfull, unnest(range(0, nfull + CASE WHEN n > nfull * {STEP} THEN 1 ELSE 0 END)) AS chunk FROM plan),
-spans AS (SELECT clip, nfull, chunk, chunk * {STEP} AS a, least(n, chunk * {STEP} + {SIZE}) AS z FROM ids),
+plan AS (SELECT clip, n, CASE WHEN n >= {size} THEN (n - {size}) // {step} + 1 ELSE 0 END AS nfull FROM lengths),
+ids AS (SELECT clip, n, nfull, unnest(range(0, nfull + CASE WHEN n > nfull * {step} THEN 1 ELSE 0 END)) AS chunk FROM plan),
+spans AS (SELECT clip, nfull, chunk, chunk * {step} AS a, least(n, chunk * {step} + {size}) AS z FROM ids),
 windows AS (
   SELECT clip, CAST(unnest(range(a, z)) AS INT) AS f, CAST(chunk AS INT) AS chunk, a, CAST(z - a AS INT) AS len, nfull FROM spans),
-member AS (SELECT clip, f, chunk, CAST(f - a AS INT) AS pos, len, chunk >= nfull OR f - a < {STEP} AS emit FROM windows)"""
+member AS (SELECT clip, f, chunk, CAST(f - a AS INT) AS pos, len, chunk >= nfull OR f - a < {step} AS emit FROM windows)"""
+
+
+CHUNKS = chunks_sql(SIZE, LAP)
 
 
 def members(spark, sf):
@@ -98,15 +103,19 @@ def chunk_windows(spark, sf):
 
 # A chunk's own estimate of a frame differs a little from its neighbour's.
 ESTIMATE = f"est AS (SELECT m.*, y, x, d * (1.0 + 0.01 * chunk) AS d FROM member m JOIN pano USING (clip, f))"
-BLENDED = f"""{ESTIMATE},
+def blended_sql(lap: int) -> str:
+    return f"""{ESTIMATE},
 late AS (SELECT * FROM est WHERE emit),
 blended AS (
   SELECT l.clip, l.f, l.chunk, l.y, l.x,
-         CASE WHEN e.d IS NULL OR l.pos >= {LAP} THEN l.d
-              ELSE (1.0 - (l.pos + 1) / {LAP + 1}.0) * e.d + (l.pos + 1) / {LAP + 1}.0 * l.d END AS d
+         CASE WHEN e.d IS NULL OR l.pos >= {lap} THEN l.d
+              ELSE (1.0 - (l.pos + 1) / {lap + 1}.0) * e.d + (l.pos + 1) / {lap + 1}.0 * l.d END AS d
   FROM late l LEFT JOIN est e ON e.clip = l.clip AND e.f = l.f AND e.y = l.y AND e.x = l.x AND e.chunk = l.chunk - 1)"""
 
 
+BLENDED = blended_sql(LAP)
+
+
 def blended(spark, sf):
     est = members(spark, sf).withColumn("d", F.col("d") * (1.0 + 0.01 * F.col("chunk")))
     return temporal.blend_overlap(est.select("clip", "chunk", "pos", "f", "y", "x", "d"), LAP)
