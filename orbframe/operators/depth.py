@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orbframe import FRAME
-from orbframe.operators import align, faces, grid, packing
+from orbframe.operators import align, faces, grid, packing, ranges
 from orbframe.session import cut
 
 # Pixel scaling of the image models, batch size, tile feather.
@@ -258,6 +258,6 @@ def guided_filter(df: DataFrame, w: int, h: int, radius: int = 8, eps: float = 1
 def smooth_depth(df: DataFrame, w: int, h: int, radius: int = 8, eps: float = 1e-3, keys: list[str] = FRAME) -> DataFrame:
     """Guided filter, clipped to the range the image had before."""
     span = df.groupBy(*keys).agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    return guided_filter(df, w, h, radius, eps, keys).join(span, keys).select(
+    return ranges.attach(guided_filter(df, w, h, radius, eps, keys), span, keys).select(
         *keys, "y", "x", F.greatest("lo", F.least("hi", "d")).alias("d")
     )

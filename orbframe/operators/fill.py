@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbframe import FRAME
-from orbframe.operators import warp
+from orbframe.operators import grid, warp
 
 # Fixed value: radius by which a hole mask grows before it is filled.
 DILATE = 2
@@ -77,29 +77,27 @@ def ring_threshold(df: DataFrame, k: int = DILATE, hole: str = "hole", depth: st
 def pyramid(df: DataFrame, levels: int, mask: str = "hole", values: tuple = ("r", "g", "b")) -> DataFrame:
     """Fill masked pixels from the finest block mean that has a valid pixel.
 
-    Each level averages sums of the level below, so the pixels are aggregated
-    once and every further level works on a quarter of the cells.
+    Pixels are summed into 2x2 cells once; all coarser levels are sums of
+    those cells, made in one aggregate. Only masked pixels look means up.
     """
-    good = lambda v: F.when(~F.col(mask), F.col(v).cast("double"))
-    cell = {"_y": F.shiftright("y", 1), "_x": F.shiftright("x", 1)}
-    level = (
-        df.withColumns(cell).groupBy(*FRAME, "_y", "_x")
-        .agg(F.sum((~F.col(mask)).cast("int")).alias("n"), *[F.sum(good(v)).alias(v) for v in values])
+    px = grid.by_frame(df)
+    cells = (
+        px.filter(~F.col(mask)).groupBy(*FRAME, F.shiftright("y", 1).alias("cy"), F.shiftright("x", 1).alias("cx"))
+        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(v).cast("double")).alias(v) for v in values])
     )
-    need = df
-    for k in range(1, levels + 1):
-        means = level.select(
-            *FRAME, F.col("_y").alias(f"y{k}"), F.col("_x").alias(f"x{k}"),
-            *[F.when(F.col("n") > 0, F.col(v) / F.col("n")).alias(f"{v}{k}") for v in values],
-        )
-        need = need.withColumns({f"y{k}": F.shiftright("y", k), f"x{k}": F.shiftright("x", k)}).join(
-            means, [*FRAME, f"y{k}", f"x{k}"], "left"
-        ).drop(f"y{k}", f"x{k}")
-        level = level.withColumns({"_y": F.shiftright("_y", 1), "_x": F.shiftright("_x", 1)}).groupBy(*FRAME, "_y", "_x").agg(
-            F.sum("n").alias("n"), *[F.sum(v).alias(v) for v in values]
-        )
-    filled = {v: F.when(F.col(mask), F.coalesce(*[F.col(f"{v}{k}") for k in range(1, levels + 1)])).otherwise(F.col(v)) for v in values}
-    return need.withColumns(filled).drop(*[f"{v}{k}" for v in values for k in range(1, levels + 1)])
+    level = F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("k")
+    means = (
+        cells.select("*", level).groupBy(*FRAME, "k", F.expr("shiftright(cy, k - 1)").alias("by"), F.expr("shiftright(cx, k - 1)").alias("bx"))
+        .agg(*[(F.sum(v) / F.sum("n")).alias(v) for v in values])
+    )
+    wanted = px.filter(mask).select(*FRAME, "y", "x", level).withColumns(
+        {"by": F.expr("shiftright(y, k)"), "bx": F.expr("shiftright(x, k)")}
+    )
+    found = wanted.join(means, [*FRAME, "k", "by", "bx"]).groupBy(*FRAME, "y", "x").agg(
+        F.min_by(F.struct(*values), "k").alias("_fill")
+    )
+    out = {v: F.when(F.col(mask), F.coalesce(f"_fill.{v}", v)).otherwise(F.col(v)) for v in values}
+    return px.join(found, [*FRAME, "y", "x"], "left").withColumns(out).select(*df.columns)
 
 
 def composite(df: DataFrame, keep: str, filled: str = "filled", values: tuple = ("r", "g", "b")) -> DataFrame:

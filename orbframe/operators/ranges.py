@@ -38,10 +38,20 @@ def unit(d: Column, lo: Column, hi: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (d - lo) / (top - lo)))
 
 
+def attach(df: DataFrame, per_group: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join one row per group onto pixels.
+
+    The groups are the build side and the pixels stream past: size estimates
+    do not see how many pixels an array explodes into, and a plan that builds
+    on the pixels would be ruinous. Pixels are shuffled by their group, which
+    the operators that follow need anyway.
+    """
+    return df.repartition(*keys).join(per_group.hint("shuffle_hash"), keys, how)
+
+
 def normalise(df: DataFrame, ranges: DataFrame, keys: list[str] = FRAME, value: str = "d") -> DataFrame:
-    """Join each group's range back on and scale; ranges are one row per group,
-    so Catalyst broadcasts them while they are small."""
-    return df.join(ranges, keys).withColumn(value, unit(F.col(value), F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    """Scale each group by its range."""
+    return attach(df, ranges, keys).withColumn(value, unit(F.col(value), F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
 def ranked(df: DataFrame, key: list[str], order: list[str], bucket: Column, name: str = "k") -> DataFrame:

@@ -44,12 +44,13 @@ def chunk_windows(df: DataFrame, lengths: DataFrame, size: int = CHUNK, overlap:
     )
 
 
-def blend_overlap(df: DataFrame, overlap: int = OVERLAP, value: str = "d") -> DataFrame:
+def blend_overlap(df: DataFrame, overlap: int = OVERLAP, value: str = "d", carry: list[str] = []) -> DataFrame:
     """One value per pixel and frame from its estimates in successive chunks.
 
     Each later chunk takes over by a linear ramp across its first ``overlap``
     frames. The few estimates of a pixel (at most size / step) are folded in
-    chunk order, so blends chain when the overlap exceeds the step.
+    chunk order, so blends chain when the overlap exceeds the step. Columns in
+    ``carry`` are the same in every estimate and come along.
     """
     start = F.struct(F.lit(None).cast("double").alias("v"), F.lit(0).alias("chunk"))
 
@@ -60,8 +61,8 @@ def blend_overlap(df: DataFrame, overlap: int = OVERLAP, value: str = "d") -> Da
 
     parts = F.array_sort(F.collect_list(F.struct("chunk", "pos", F.col(value).alias("v"))))
     return (
-        df.groupBy("clip", "f", "y", "x").agg(F.aggregate(parts, start, take).alias("m"))
-        .select("clip", "f", "y", "x", F.col("m.chunk").alias("chunk"), F.col("m.v").alias(value))
+        df.groupBy("clip", "f", "y", "x").agg(F.aggregate(parts, start, take).alias("m"), *[F.any_value(c).alias(c) for c in carry])
+        .select("clip", "f", "y", "x", F.col("m.chunk").alias("chunk"), F.col("m.v").alias(value), *carry)
     )
 
 
@@ -74,7 +75,7 @@ def chunk_normalise(emitted: DataFrame, stride: int = ranges.STRIDE) -> DataFram
     return ranges.normalise(emitted, chunk_range(emitted, stride), ["clip", "chunk"])
 
 
-def median_lock(df: DataFrame, tau: float = TAU) -> DataFrame:
+def median_lock(df: DataFrame, tau: float = TAU, carry: list[str] = []) -> DataFrame:
     """Blend pixels that barely vary over a chunk towards their chunk median.
 
     One shuffle by pixel track within a chunk; the track's few values travel
@@ -85,11 +86,12 @@ def median_lock(df: DataFrame, tau: float = TAU) -> DataFrame:
     moved = lambda e: F.struct(
         e["f"].alias("f"),
         F.when(F.col("n") >= 3, e["d"] + lock * (F.col("med") - e["d"])).otherwise(e["d"]).alias("d"),
+        *[e[c].alias(c) for c in carry],
     )
     return (
         df.groupBy("clip", "chunk", "y", "x")
         .agg(
-            F.collect_list(F.struct("f", "d")).alias("track"), F.count(F.lit(1)).alias("n"),
+            F.collect_list(F.struct("f", "d", *carry)).alias("track"), F.count(F.lit(1)).alias("n"),
             F.stddev_pop("d").alias("sd"), F.median("d").alias("med"),
         )
         .select("clip", "chunk", "y", "x", F.inline(F.transform("track", moved)))
@@ -135,12 +137,12 @@ def stabilise(df: DataFrame, tau: float = TAU, cap: float = CAP) -> DataFrame:
 
     The step is not linear, so a pixel's frames stay in order. Scanlines are
     spread over the cluster by (clip, y) and read as a sorted stream; only one
-    scanline of state is held, however long the clip.
+    scanline of state is held, however long the clip. Other columns stay.
     """
     if tau <= 0:
         return df
     order = ["clip", "y", "f", "x"]
-    rows = df.select(*order, "d").repartition("clip", "y").sortWithinPartitions(*order)
+    rows = df.repartition("clip", "y").sortWithinPartitions(*order)
 
     def finish(lines, state):
         out = []
@@ -151,7 +153,7 @@ def stabilise(df: DataFrame, tau: float = TAU, cap: float = CAP) -> DataFrame:
             state.clear()
             state[(clip, y)] = d
             out.append(line.assign(d=d))
-        return pd.concat(out)[["clip", "f", "y", "x", "d"]]
+        return pd.concat(out)
 
     def run(batches):
         state, rest = {}, None
@@ -166,4 +168,4 @@ def stabilise(df: DataFrame, tau: float = TAU, cap: float = CAP) -> DataFrame:
         if rest is not None and len(rest):
             yield finish(rest.groupby(["clip", "y", "f"], sort=False), state)
 
-    return rows.mapInPandas(run, "clip string, f int, y int, x int, d double")
+    return rows.mapInPandas(run, rows.schema)

@@ -154,23 +154,26 @@ def back_project(z: DataFrame, w: int, h: int, strength: float, pole: str = "cla
     )
 
 
-def synthesise(df: DataFrame, w: int, h: int, strength: float, pole: str = "clamp") -> DataFrame:
+def synthesise(df: DataFrame, w: int, h: int, strength: float, pole: str = "clamp", carry: list[str] = []) -> DataFrame:
     """The other eye before filling: ``(.., y, x, r, g, b, hole)``.
 
     ``df`` holds one row per pixel with colours and conditioned depth ``d`` in
     [0, 1]. A cell is a hole when nothing lands on it, or when the source eye
-    sees something clearly nearer along the ray back.
+    sees something clearly nearer along the ray back. Columns in ``carry`` are
+    constant within a frame and come along.
     """
     if strength == 0.0:
-        return df.select(*FRAME, "y", "x", "r", "g", "b", F.lit(False).alias("hole"))
-    px = grid.by_frame(df.select(*FRAME, "y", "x", "r", "g", "b", "d"))
+        return df.select(*FRAME, "y", "x", "r", "g", "b", F.lit(False).alias("hole"), *carry)
+    px = grid.by_frame(df.select(*FRAME, "y", "x", "r", "g", "b", "d", *carry))
     z = close_cracks(zbuffer(px.withColumn("dist", distance(F.col("d"))), w, h, strength))
-    src = grid.quads(px, ["r", "g", "b", "d"], FRAME, True, pole)
+    src = grid.quads(px, ["r", "g", "b", "d", *carry], FRAME, True, pole)
     seen = back_project(z, w, h, strength, pole).join(src, [*FRAME, "y0", "x0"])
     hidden = distance(grid.nearest("d")) < VISIBLE * F.col("need")
     hole = F.col("dist").isNull() | hidden
     colours = {c: F.when(F.col("hole"), F.lit(0.0)).otherwise(grid.mix(c)) for c in "rgb"}
-    return seen.withColumn("hole", hole).withColumns(colours).select(*FRAME, "y", "x", "r", "g", "b", "hole")
+    return seen.withColumn("hole", hole).withColumns(colours).select(
+        *FRAME, "y", "x", "r", "g", "b", "hole", *[F.col(f"q00.{c}").alias(c) for c in carry]
+    )
 
 
 def stereo_pair(df: DataFrame, w: int, h: int, strength: float, split: bool, soften: int = 0, gradient_limit: float = 0.0) -> DataFrame:

@@ -22,14 +22,14 @@ def fill_holes(eye: DataFrame, depth: DataFrame, w: int, h: int, strength: float
     valid pixel is left over; such frames take the residual path: near
     components touching the hole may not be read from, and the block pyramid
     of the remaining pixels fills the mask. Everything outside the grown mask
-    keeps its value. The directional result is written once because the
-    residual frames are looked up in it.
+    keeps its value. The directional result, and of the frames with leftovers
+    the pixels, are written once because several steps read them.
     """
     done = cut(background_fill(eye, w, strength).withColumn("left", F.col("hole_d") & ~F.col("done")))
     frames = done.filter("left").select(*FRAME).distinct()
-    open_frames = done.join(frames, FRAME, "left_semi").join(depth.select(*AT, "d"), AT).withColumn("hole", F.col("hole") & ~F.col("done"))
+    open_frames = cut(done.join(frames, FRAME, "left_semi").join(depth.select(*AT, "d"), AT).withColumn("hole", F.col("hole") & ~F.col("done")))
     split = fill.ring_threshold(open_frames, grown="left")
-    near = open_frames.join(split, FRAME).withColumn("near", ~F.col("hole") & (F.col("d") > F.col("threshold")))
+    near = ranges.attach(open_frames, split, FRAME).withColumn("near", ~F.col("hole") & (F.col("d") > F.col("threshold")))
     # Without anything far there is nothing better to read from.
     usable = near.groupBy(*FRAME).agg(F.bool_or(~F.col("hole") & ~F.col("near")).alias("any_far")).filter("any_far")
     blocked = components.touching_components(near.join(usable, FRAME, "left_semi")).withColumn("blocked", F.lit(True))
@@ -45,27 +45,27 @@ def frame_path(px: DataFrame, w: int, h: int, strength: float, stride: int = ran
 
     The stabiliser compares frames, so it comes after scaling.
     """
-    scaled = ranges.moving_normalise(px.select(*AT, "d"), stride)
-    steady = temporal.stabilise(scaled, tau).join(px.select(*AT, "r", "g", "b"), AT)
+    scaled = ranges.moving_normalise(px.select(*AT, "d", "r", "g", "b"), stride)
+    steady = temporal.stabilise(scaled, tau)
     eye = warp.synthesise(warp.condition(steady, w, strength, soften, gradient_limit), w, h, strength)
     return background_fill(eye, w, strength)
 
 
-def chunk_path(px: DataFrame, estimates: DataFrame, w: int, h: int, strength: float, overlap: int, stride: int = ranges.STRIDE,
-               tau: float = temporal.TAU, max_std: float = temporal.MAX_STD, soften: int = 0, gradient_limit: float = 0.0) -> DataFrame:
+def chunk_path(estimates: DataFrame, w: int, h: int, strength: float, overlap: int, stride: int = ranges.STRIDE, tau: float = temporal.TAU,
+               max_std: float = temporal.MAX_STD, soften: int = 0, gradient_limit: float = 0.0) -> DataFrame:
     """Chunk by chunk: blend, shared range, median lock, synthesise, fill over
     time, then in space.
 
-    ``estimates``: clip, chunk, pos, f, y, x, d. Only delivered frames are
-    scaled, so held-back maps blend unscaled.
+    ``estimates``: clip, chunk, pos, f, y, x, d, r, g, b. Only delivered frames
+    are scaled, so held-back maps blend unscaled. The unfilled eye is written
+    once: filling over time reads it three times.
     """
-    scaled = temporal.chunk_normalise(temporal.blend_overlap(estimates, overlap), stride)
-    locked = temporal.median_lock(scaled.select("clip", "chunk", "f", "y", "x", "d"), tau)
-    both = locked.join(px.select(*AT, "r", "g", "b"), AT)
-    eye = warp.synthesise(warp.condition(both, w, strength, soften, gradient_limit), w, h, strength)
-    chunk_of = estimates.groupBy(*FRAME).agg(F.max("chunk").alias("chunk"))
-    over_time = temporal.temporal_fill(eye.join(chunk_of, FRAME), max_std)
-    return background_fill(over_time.drop("chunk"), w, strength)
+    rgb = ["r", "g", "b"]
+    scaled = temporal.chunk_normalise(temporal.blend_overlap(estimates, overlap, carry=rgb), stride)
+    locked = temporal.median_lock(scaled, tau, carry=rgb)
+    ready = warp.condition(locked, w, strength, soften, gradient_limit)
+    eye = cut(warp.synthesise(ready, w, h, strength, carry=["chunk"]))
+    return background_fill(temporal.temporal_fill(eye, max_std).drop("chunk"), w, strength)
 
 
 def preview(px: DataFrame, f: int, w: int, h: int, strength: float) -> DataFrame:

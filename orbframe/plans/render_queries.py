@@ -51,7 +51,7 @@ td AS (SELECT clip, f, y, x, hole AND NOT take AS hole, CASE WHEN take THEN floo
 def chunk_path(spark, sf):
     px = pano(spark, sf)
     est = temporal.chunk_windows(px, temporal.clip_lengths(px), SIZE, LAP).withColumn("d", F.col("d") * (1.0 + 0.01 * F.col("chunk")))
-    return shown(render.chunk_path(px, est.select("clip", "chunk", "pos", "f", "y", "x", "d"), W, H, STRONG, LAP, 4, LOCK, SPREAD))
+    return shown(render.chunk_path(est, W, H, STRONG, LAP, 4, LOCK, SPREAD))
 
 
 @query("residual_fill")

@@ -73,7 +73,7 @@ st AS (
 SELECT clip, f, y, x, round(d, 6) + 0.0 AS d FROM st""")
 def stabiliser(spark, sf):
     """A wide band (0.3): neighbouring frames of these panoramas differ a lot."""
-    return rounded(temporal.stabilise(pano(spark, sf), TAU), "d")
+    return rounded(temporal.stabilise(pano(spark, sf).select(*FRAME, "y", "x", "d"), TAU), "d")
 
 
 def chunks_sql(size: int, lap: int) -> str:
