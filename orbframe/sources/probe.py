@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbframe.functions import media
+from orbframe.operators import grid
 
 STREAM = (
     "codec_type string, width string, height string, avg_frame_rate string, nb_frames string, duration string, "
@@ -14,7 +15,8 @@ DOCUMENT = f"struct<streams: array<struct<{STREAM.replace(' string', ': string')
 
 
 def parse(docs: DataFrame, column: str = "json") -> DataFrame:
-    return docs.withColumn("doc", F.from_json(column, DOCUMENT))
+    """Parse once; without the pin the parser would be copied per field."""
+    return grid.pin(docs, {"doc": F.from_json(column, DOCUMENT)})
 
 
 def _rate(text: Column) -> Column:
@@ -33,9 +35,8 @@ def facts(docs: DataFrame, column: str = "json") -> DataFrame:
     whole = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
     tag = lambda c: F.when(F.col(f"v.{c}") != "unknown", F.col(f"v.{c}"))
     rest = [c for c in docs.columns if c != column]
-    s = parse(docs, column).withColumns({"v": first("video"), "a": first("audio")}).withColumns(
-        {"sphere": guarded("Spherical Mapping"), "stereo": guarded("Stereo 3D")}
-    )
+    streams = grid.pin(parse(docs, column), {"v": first("video"), "a": first("audio")})
+    s = grid.pin(streams, {"sphere": guarded("Spherical Mapping"), "stereo": guarded("Stereo 3D")})
     return s.select(
         *rest, F.col("v.width").cast("int").alias("width"), F.col("v.height").cast("int").alias("height"),
         _rate(F.col("v.avg_frame_rate")).alias("fps"), F.col("v.nb_frames").try_cast("bigint").alias("frame_count"),
