@@ -76,22 +76,29 @@ def touching_components(df: DataFrame, hole: str = "hole", near: str = "near", k
 
 
 def _merge_frame(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Union boxes of one frame until none overlap."""
-    box = pdf[["x0", "y0", "x1", "y1"]].to_numpy()
+    """Union boxes of one frame until none overlap.
+
+    One sweep from left to right per round: a box only meets those still open
+    at its left edge.
+    """
+    box = [tuple(b) for b in pdf[["x0", "y0", "x1", "y1"]].to_numpy().tolist()]
     while True:
-        order = np.lexsort((box[:, 1], box[:, 0]))
-        box, kept = box[order], []
-        for b in box:
-            hit = [k for k in kept if b[0] < k[2] and k[0] < b[2] and b[1] < k[3] and k[1] < b[3]]
-            for k in hit:
-                kept.remove(k)
-                b = (min(b[0], k[0]), min(b[1], k[1]), max(b[2], k[2]), max(b[3], k[3]))
-            kept.append(tuple(b))
-        if len(kept) == len(box):
-            return pd.DataFrame(kept, columns=["x0", "y0", "x1", "y1"]).assign(clip=key[0], f=key[1])[
+        closed, live = [], []
+        for b in sorted(box):
+            closed += [k for k in live if k[2] <= b[0]]
+            live = [k for k in live if k[2] > b[0]]
+            met = [k for k in live if b[0] < k[2] and k[0] < b[2] and b[1] < k[3] and k[1] < b[3]]
+            if met:
+                live = [k for k in live if k not in met]
+                group = [b, *met]
+                b = (*(min(k[i] for k in group) for i in (0, 1)), *(max(k[i] for k in group) for i in (2, 3)))
+            live.append(b)
+        done = closed + live
+        if len(done) == len(box):
+            return pd.DataFrame(done, columns=["x0", "y0", "x1", "y1"]).assign(clip=key[0], f=key[1])[
                 ["clip", "f", "x0", "y0", "x1", "y1"]
             ]
-        box = np.array(kept)
+        box = done
 
 
 def hole_boxes(boxes: DataFrame, w: int, h: int, paint: DataFrame | None = None, margin: int = MARGIN) -> DataFrame:

@@ -9,6 +9,8 @@ from orbframe import FRAME
 
 # Percentiles of the robust range, sample stride, range smoothing.
 LOW, HIGH, STRIDE, ALPHA = 0.01, 0.99, 16, 0.05
+#: Longest segment of an ordered scan.
+SEGMENT = 1 << 20
 
 
 def strided(df: DataFrame, stride: int = STRIDE) -> DataFrame:
@@ -89,46 +91,32 @@ def smoothed(df: DataFrame, key: list[str], values: list[str], alpha: float = AL
     """Exponential average along ``rank`` (0, 1, 2, ..) within ``key``.
 
     The recurrence is linear, so it splits exactly: each segment of ranks sums
-    its own weighted values, one row per segment carries the state, and the
-    carried state is added back with its decay. No task sees more than one
-    segment of rows, or one row per segment.
+    its own weighted values, a state is carried from segment to segment, and
+    is added back with its decay. Segments are as long as their weights stay
+    small numbers; by then a state has decayed by 10^-12, and after a few
+    dozen segments it is below what a double can hold, so the carry needs only
+    those. No task holds more than one segment, or a few rows per segment.
     """
     keep = 1.0 - alpha
-    # Segments stay short enough for keep**-length to remain a small number.
-    length = 512 if keep >= 1.0 else max(1, min(512, int(27.0 / -math.log(max(keep, 1e-12)))))
-    seg, pos = F.floor(F.col(rank) / length), F.col(rank) % length
-    cut = df.withColumns({"_s": seg, "_p": pos})
+    rate = -math.log(max(keep, 1e-12)) or 1e-9
+    length = max(1, min(SEGMENT, int(27.0 / rate)))
+    reach = math.ceil(745.0 / (length * rate))
+    cut = df.withColumns({"_s": F.floor(F.col(rank) / length), "_p": F.col(rank) % length})
     inside = Window.partitionBy(*key, "_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     grown = lambda v: F.col(v) * F.pow(F.lit(keep), -F.col("_p")) * alpha
     part = cut.withColumns({f"_{v}": F.sum(grown(v)).over(inside) for v in values})
 
+    fade = keep**length
+    before = Window.partitionBy(*key).orderBy("_s").rowsBetween(-reach, -1)
     ends = cut.groupBy(*key, "_s").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(grown(v)).alias(f"w_{v}") for v in values],
+        *[(F.sum(grown(v)) * keep ** (length - 1)).alias(f"w_{v}") for v in values],
         *[F.min_by(v, "_p").alias(f"f_{v}") for v in values],
     )
-    fields = ["_s", "n"] + [f"w_{v}" for v in values] + [f"f_{v}" for v in values]
-    zero = F.struct(
-        F.array().cast("array<struct<_s:bigint," + ",".join(f"i_{v}:double" for v in values) + ">>").alias("out"),
-        *[F.lit(None).cast("double").alias(v) for v in values],
-    )
-
-    def step(acc, e):
-        start = {v: F.coalesce(acc[v], e[f"f_{v}"]) for v in values}
-        decay = F.pow(F.lit(keep), e["n"])
-        return F.struct(
-            F.concat(
-                acc["out"],
-                F.array(F.struct(e["_s"].alias("_s"), *[start[v].alias(f"i_{v}") for v in values])),
-            ).alias("out"),
-            *[
-                (decay * start[v] + F.pow(F.lit(keep), e["n"] - 1) * e[f"w_{v}"]).alias(v)
-                for v in values
-            ],
-        )
-
-    carried = ends.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("segs")).select(
-        *key, F.inline(F.aggregate("segs", zero, step)["out"])
+    # The very first value counts as the state before the first segment.
+    own = lambda v: F.col(f"w_{v}") + F.when(F.col("_s") == 0, fade * F.col(f"f_{v}")).otherwise(F.lit(0.0))
+    fold = lambda v: F.aggregate(F.collect_list(own(v)).over(before), F.lit(0.0), lambda acc, w: acc * fade + w)
+    carried = ends.select(
+        *key, "_s", *[F.when(F.col("_s") == 0, F.col(f"f_{v}")).otherwise(fold(v)).alias(f"i_{v}") for v in values]
     )
     decay = F.pow(F.lit(keep), F.col("_p"))
     return (

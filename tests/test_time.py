@@ -73,6 +73,18 @@ def test_smoothing_equals_a_loop_for_a_long_hot_clip(spark):
     assert np.allclose(got.lo, want, atol=1e-12) and len(got) == n
 
 
+@pytest.mark.parametrize("alpha", [0.0005, 0.3, 0.9, 1.0])
+def test_smoothing_for_any_weight(spark, alpha):
+    v = np.random.default_rng(24).random(3000)
+    df = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(v)], "clip string, k int, v double")
+    got = ranges.smoothed(df, ["clip"], ["v"], alpha).orderBy("k").toPandas().v
+    a, want = v[0], []
+    for x in v:
+        a += alpha * (x - a)
+        want.append(a)
+    assert np.allclose(got, want, atol=1e-12)
+
+
 def test_rank_of_a_hot_key_with_gaps(spark):
     df = spark.range(3000).select((F.col("id") % 3 == 0).cast("int").alias("k"), (F.col("id") * 7).alias("t"))
     got = ranges.ranked(df, ["k"], ["t"], F.floor(F.col("t") / 500), "r").toPandas().sort_values(["k", "t"])
