@@ -35,3 +35,25 @@ def components(edges: DataFrame) -> DataFrame:
 def _follow(known: DataFrame, step: DataFrame) -> DataFrame:
     moved = step.select(F.col("node").alias("component"), "to")
     return known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+
+
+def linked(nodes: DataFrame, keys_of, confirm) -> DataFrame:
+    """``node, component`` of the links that ``confirm`` leaves of nodes under a common key.
+
+    ``keys_of`` gives ``key, node`` for ``nodes``; ``confirm`` gives those of
+    ``pairs(a, b)`` that are links. Under a key, all nodes are held against the smallest
+    one. Only keys that still hold several components then compare across these, so a
+    group costs about its size and no link between components is lost.
+    """
+    keys = keys_of(nodes).select("key", "node")
+    first = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
+    pairs = cut(keys.join(first, "key").where("a < node").select("a", F.col("node").alias("b")).distinct())
+    links = cut(confirm(pairs))
+    group = cut(components(links))
+    placed = keys.join(group, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    some = cut(placed.join(open_, "key"))
+    other = some.select("key", F.col("node").alias("b"), F.col("c").alias("d"))
+    more = some.withColumnRenamed("node", "a").join(other, "key").where("a < b and c <> d").select("a", "b").distinct()
+    rest = cut(confirm(more.join(pairs, ["a", "b"], "left_anti")))
+    return group if rest.isEmpty() else components(links.union(rest))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbframe.llm import text as T
-from orbframe.llm.graph import components
+from orbframe.llm.graph import linked as linked_nodes
 from orbframe.session import cut
 
 COMPONENTS, CHUNKS = 32, 8
@@ -130,20 +130,7 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     sets = made.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
     sets = cut(sets)
     signed = sets.select("node", "signature")
-    keys = keys_of(signed)
-    centres = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
-    pairs = _agreeing(keys.join(centres, "key").where("a < node").select("a", F.col("node").alias("b")).distinct(), signed)
-    links = cut(confirmed(pairs, docs, k, percent))
-    group = cut(components(links))
-    # keys whose nodes are not yet in one component
-    placed = signed.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    under = keys_of(placed).join(placed.select("node", "component"), "node")
-    open_ = under.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
-    some = cut(under.join(open_, "key"))
-    other = some.select("key", F.col("node").alias("b"), F.col("component").alias("d"))
-    more = some.withColumnsRenamed({"node": "a", "component": "c"}).join(other, "key").where("a < b and c <> d").select("a", "b").distinct()
-    links = links.union(confirmed(_agreeing(more.join(pairs, ["a", "b"], "left_anti"), signed), docs, k, percent))
-    group = components(links)
+    group = linked_nodes(signed, keys_of, lambda pairs: confirmed(_agreeing(pairs, signed), docs, k, percent))
     of_set = sets.select("set_id", "node").join(group, "node", "left").select("set_id", F.coalesce("component", "node").alias("found"))
     done = made.join(of_set, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))

@@ -46,13 +46,12 @@ def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, WORD_GAP, " "))
 
 
-def says(text: Column) -> Column:
-    """Whether a boilerplate phrase occurs."""
-    low = F.lower(text)
+def says(low: Column) -> Column:
+    """Whether a boilerplate phrase occurs in a text in lower case."""
     return reduce(or_, [F.contains(low, F.lit(p)) for p in BOILERPLATE])
 
 
-def fails(text: Column) -> Column:
+def fails(text: Column, low: Column) -> Column:
     """Whether a line, made normal, breaks the punctuation, navigation or boilerplate rule."""
     n = F.length(text)
     words = n - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
@@ -61,7 +60,7 @@ def fails(text: Column) -> Column:
     marked = F.regexp_count(text, F.lit(MARK + r"(?= |$)"))
     navigation = (bars >= 3) & (bars * 4 >= words)
     punctuation = (marks * 100 > n * MOST_MARKS) | ((marked * 100 > words * MOST_MARKED) & (words >= 3))
-    return (n > 0) & (navigation | punctuation | ((words <= PHRASE_WORDS) & says(text)))
+    return (n > 0) & (navigation | punctuation | ((words <= PHRASE_WORDS) & says(low)))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -70,7 +69,7 @@ def judged(docs: DataFrame) -> DataFrame:
     New columns start with ``q_`` here, so that columns of ``docs`` keep theirs.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = pinned(docs, q_text=text, q_words=words_of(text), q_lines=F.split(text, "\n"))
+    df = pinned(docs, q_text=text, q_low=F.lower(text), q_words=words_of(text), q_lines=F.split(text, "\n"))
     n = F.size("q_words")
     # hashes of 1, 2, 4 and 8 words from each word on; the last seven windows are cut short and go
     df = pinned(df, q_h=F.transform("q_words", lambda w: F.xxhash64(w)))
@@ -78,9 +77,10 @@ def judged(docs: DataFrame) -> DataFrame:
         df = pinned(df.withColumnRenamed("q_h", "q_g"), q_h=F.zip_with("q_g", F.slice("q_g", step + 1, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))).drop("q_g")
     windows = F.slice("q_h", 1, F.greatest(n - (WINDOW - 1), F.lit(0)))
     # a line that fails has a mark or a phrase, and so has its text
-    normals = F.when(F.rlike("q_text", F.lit(MARK)) | says(F.col("q_text")), F.transform("q_lines", normal))
-    df = pinned(df, q_windows=windows, q_said=F.filter("q_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")), q_normals=normals)
-    good = F.when(F.isnotnull("q_normals"), F.filter("q_lines", lambda x, i: ~fails(F.get("q_normals", i)))).otherwise(F.col("q_lines"))
+    normals = F.when(F.rlike("q_text", F.lit(MARK)) | says(F.col("q_low")), F.transform("q_lines", normal))
+    df = pinned(df, q_windows=windows, q_said=F.filter("q_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")), q_normals=normals).drop("q_low")
+    df = pinned(df, q_lows=F.transform("q_normals", F.lower))
+    good = F.when(F.isnotnull("q_normals"), F.filter("q_lines", lambda x, i: ~fails(F.get("q_normals", i), F.get("q_lows", i)))).otherwise(F.col("q_lines"))
     # only texts with a window twice sort theirs, with positions
     twice = F.size(F.array_distinct("q_windows")) < F.size("q_windows")
     at = F.sort_array(F.transform("q_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -102,7 +102,7 @@ def judged(docs: DataFrame) -> DataFrame:
     failed = (F.col("q_n_words") < LEAST_WORDS) | (100 * F.col("q_n_repeat_words") > MOST_REPEATED * F.col("q_n_words"))
     lost = F.length("q_text") - F.length("q_cleaned")
     df = df.withColumn("q_base_failed", failed).withColumn("q_kept", ~failed & (lost * 100 <= F.length("q_text") * MOST_LOST))
-    return df.drop("q_text", "q_words", "q_lines", "q_windows", "q_h", "q_said", "q_normals", "q_good", "q_sorted", "q_hits")
+    return df.drop("q_text", "q_words", "q_lines", "q_windows", "q_h", "q_said", "q_normals", "q_lows", "q_good", "q_sorted", "q_hits")
 
 
 def digest(docs: DataFrame) -> DataFrame:

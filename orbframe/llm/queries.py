@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orbframe.llm import bpe, near, packing, quality
+from orbframe.llm import bpe, counts, licenses, lines, near, packing, quality, search
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -58,8 +58,8 @@ with d as materialized (
 ), judged as (
   select doc_id, pos, l, x, length(x) as n, length(x) - length(replace(x, ' ', '')) + 1 as words,
     length(x) - length(regexp_replace(x, '[#*$%&|<>{{}}\\^~_=!»•·]', '', 'g')) as marks,
-    len(list_filter(string_split(x, ' '), p -> regexp_matches(p, '[#*$%&|<>{{}}\\^~_=!»•·]$'))) as marked,
-    len(list_filter(string_split(x, ' ')[2:], p -> regexp_matches(p, '^[|>»•·]$'))) as bars
+    len(list_filter(string_split(x, ' '), lambda p: regexp_matches(p, '[#*$%&|<>{{}}\\^~_=!»•·]$'))) as marked,
+    len(list_filter(string_split(x, ' ')[2:], lambda p: regexp_matches(p, '^[|>»•·]$'))) as bars
   from line
 ), bad as (
   select doc_id, pos, l,
@@ -93,14 +93,14 @@ NEAR_SQL = rf"""
 with recursive d as materialized (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
 ), s as materialized (
-  select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(generate_series(1, len(w) - 3), i -> array_to_string(list_slice(w, i, i + 3), ' '))
+  select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))
     when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d
 ), n as materialized (select doc_id, count(*) as n from s group by doc_id
 ), e as materialized (
   select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as i from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by all) p
   join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * i >= 80 * (na.n + nb.n - i)
-), r(doc_id, at) as (select doc_id, doc_id from d union select r.doc_id, e.b from r join e on e.a = r.at)
-, c as (select doc_id, min(at) as component_id from r group by doc_id)
+), r(doc_id, node) as (select doc_id, doc_id from d union select r.doc_id, e.b from r join e on e.a = r.node)
+, c as (select doc_id, min(node) as component_id from r group by doc_id)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept
 from d join c using (doc_id) left join n using (doc_id)
 """
@@ -110,3 +110,39 @@ from d join c using (doc_id) left join n using (doc_id)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near duplicates among all documents."""
     return near.linked(table(spark, sf_dir, "documents"))
+
+
+SEARCH_SQL = """
+with v as materialized (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 10
+"""
+
+
+@query("op1_norm_sorted_search", SEARCH_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all other vectors for every hundredth."""
+    return search.top(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
+@query("op4_fuzzy_lines")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of all documents that takes part, and the line that stays for it."""
+    return lines.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_unigram_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents under the unigram model."""
+    return counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
