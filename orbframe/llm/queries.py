@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orbframe.llm import bpe, counts, licenses, lines, near, packing, quality, search
+from orbframe.llm import bpe, counts, fmindex, licenses, lines, near, packing, quality, search, suffixes
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -146,3 +146,27 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents under the unigram model."""
     return counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query("op3_suffix_merge")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without 50-byte strings that an earlier one has, as digests."""
+    return suffixes.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
+REPEATS_SQL = rf"""
+with d as materialized (select doc_id, {_WORDS} as w from documents
+), s as materialized (select doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') as s from d, lateral (select unnest(generate_series(1, len(w) - 49)) as i)
+), f as materialized (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) as least from s) where least < doc_id
+), gone as materialized (select distinct doc_id, unnest(generate_series(i, i + 49)) as i from f
+), word as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d
+), kept as (select word.doc_id, string_agg(word, ' ' order by word.i) as t, count(*) as n from word anti join gone on gone.doc_id = word.doc_id and gone.i = word.i group by 1)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(kept.n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
+
+
+@query("op7_fm_index", REPEATS_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without passages of 50 words that an earlier one has, as digests."""
+    return fmindex.removed(table(spark, sf_dir, "documents"))
