@@ -72,7 +72,7 @@ def occurrences(docs: DataFrame, least_words: int) -> DataFrame:
                     ["doc_id", "line_no", "node", "simhash"],
                 )
 
-    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = T.plain(docs).where("doc_id is not null and text is not null")
     return docs.mapInArrow(run, "doc_id long, line_no int, node long, simhash long")
 
 
@@ -96,7 +96,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     pairs = cut(pairs.where(F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) <= DISTANCE).select("a", "b", "at_a", "at_b"))
     wanted = pairs.select(F.col("a").alias("node"), F.col("at_a").alias("at")).union(pairs.select("b", "at_b")).distinct()
     wanted = wanted.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("node", "at.line_no")).alias("wanted"))
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
+    texts = T.plain(docs).where("text is not null").join(wanted, "doc_id")
     texts = texts.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("one")).select("one.node", normal(F.get("lines", F.col("one.line_no"))).alias("line"))
     texts = cut(texts.dropDuplicates(["node"]))
     for end in ("a", "b"):
@@ -162,11 +162,12 @@ def groups(docs: DataFrame, least_words: int = 5, percent: int = 80) -> DataFram
 
 def deduplicated(docs: DataFrame, least_words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with repeated lines gone; a document of which nothing is left goes as well."""
-    gone = groups(docs, least_words, percent).where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("gone_id"), "gone")
-    joined = docs.withColumn("own_id", F.col("doc_id").cast("long")).join(gone, F.col("own_id") == F.col("gone_id"), "left")
-    left = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    changes = {"text": text} | ({"n_chars": F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    done = joined.withColumns(changes)
-    return done.where(F.col("gone").isNull() | F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
+    gone = groups(docs, least_words, percent).where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("llm__gone"))
+    gone = gone.withColumnRenamed("doc_id", "llm__id")
+    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("llm__id"), "left")
+    left = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.array_contains("llm__gone", i)), "\n")
+    whole = F.col("llm__gone").isNull()
+    changes = {"text": F.when(whole, F.col("text")).otherwise(left)}
+    if "n_chars" in docs.columns:
+        changes["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType)
+    return joined.withColumns(changes).where(whole | F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
