@@ -34,7 +34,7 @@ def spans_of(size: int):
     def of(data, at):
         starts, ends, first = T.words(data, at)
         hashes = T.word_hashes(data, starts, ends)
-        return (*repeats.spans(hashes, T.gram_hashes(hashes, gram), first, size, gram), first, starts, ends)
+        return (*repeats.spans(hashes, T.gram_hashes(hashes, gram), first, size, gram), starts, ends)
 
     return of
 
@@ -208,13 +208,10 @@ def windows_repeated(known: DataFrame, size: int) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for first, last, data, at in T.chunks(batch.column(1)):
+            for ids, flagged, data, at in repeats.chunks(batch, 3):
                 rows = []
-                whole = of(data, at)
-                unit, starts, ends = whole[5:]
-                for i, h, a, b in repeats.by_row(batch.column(3)[first:last], data, at, lambda *_, whole=whole: whole):
-                    rows += [(x, ids[first + i], y - int(unit[i]), data[starts[y] : ends[z + size - 1]].tobytes()) for x, y, z in zip(h.view(np.int64).tolist(), a.tolist(), b.tolist())]
+                for i, h, a, b, (own, (starts, ends), unit) in repeats.by_row(flagged, data, at, of):
+                    rows += [(x, ids[i], y, own[starts[unit + y] : ends[unit + z + size - 1]].tobytes()) for x, y, z in zip(h.view(np.int64).tolist(), a.tolist(), b.tolist())]
                 yield pa.RecordBatch.from_pylist([dict(zip(("h", "doc_id", "start", "span"), r)) for r in rows], pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("span", pa.binary())]))
 
     def answer(batches):
@@ -234,6 +231,7 @@ def windows_repeated(known: DataFrame, size: int) -> DataFrame:
     def look(held):
         t = pa.Table.from_batches(held).combine_chunks()
         doc, start = shard_windows(t.column("span"), t.column("doc_id").to_numpy(), t.column("start").to_numpy(), size)
+        T.release()
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start)], ["doc_id", "start"])
 
     rows = known.select("doc_id", "text", "covered", "candidate").mapInArrow(emit, "h long, doc_id long, start long, span binary")
@@ -242,12 +240,10 @@ def windows_repeated(known: DataFrame, size: int) -> DataFrame:
 
 def kept_words(batch, data, at, of, size: int):
     """For each row: words, words removed, and the kept ones joined by one space."""
-    whole = of(data, at)
-    first, starts, ends = whole[5:]
+    starts, ends, first = T.words(data, at)
     gone = np.zeros(len(starts), bool)
-    for i, _, a, b in repeats.by_row(batch.column(2), data, at, lambda *_: whole):
-        s = slice(first[i], first[i + 1])
-        gone[s] |= repeats.covered_units(first[i + 1] - first[i], a - first[i], b - first[i], size)
+    for i, _, a, b, _ in repeats.by_row(batch.column(2), data, at, of):
+        gone[first[i] : first[i + 1]] |= repeats.covered_units(first[i + 1] - first[i], a, b, size)
     for i, s in enumerate(batch.column(3).to_pylist()):
         if s:
             gone[first[i] : first[i + 1]] |= repeats.covered_units(first[i + 1] - first[i], s, s, size)
@@ -288,11 +284,11 @@ def deduplicated(docs: DataFrame, size: int = 50) -> DataFrame:
     def finish(batch, data, at):
         _, out, kept = kept_words(batch, data, at, of, size)
         some = out > 0
-        return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(some)), pa.array([k.decode() for k, s in zip(kept, some) if s], pa.string())], ["own_id", "new_text"])
+        return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(some)), pa.array([k.decode() for k, s in zip(kept, some) if s], pa.string())], ["llm__id", "llm__text"])
 
-    changed = _resolved(docs, size, finish, "own_id long, new_text string").dropDuplicates(["own_id"])
-    joined = docs.join(changed, F.col("doc_id").cast("long") == F.col("own_id"), "left")
-    changes = {"text": F.coalesce("new_text", F.col("text"))}
+    changed = _resolved(docs, size, finish, "llm__id long, llm__text string").dropDuplicates(["llm__id"])
+    joined = docs.join(changed, F.col("doc_id").cast("long") == F.col("llm__id"), "left")
+    changes = {"text": F.coalesce("llm__text", F.col("text"))}
     if "n_chars" in docs.columns:
-        changes["n_chars"] = F.coalesce(F.length("new_text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return joined.where(F.col("new_text").isNull() | (F.length("new_text") > 0)).withColumns(changes).select(*docs.columns)
+        changes["n_chars"] = F.coalesce(F.length("llm__text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return joined.where(F.col("llm__text").isNull() | (F.length("llm__text") > 0)).withColumns(changes).select(*docs.columns)

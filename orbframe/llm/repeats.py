@@ -11,6 +11,7 @@ methods. Copies of a passage, however many, so send one span further.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +35,7 @@ def spans(values, grams, at, size: int, k: int):
     first = np.flatnonzero(change)
     last = np.r_[first[1:], len(least)] - 1 if len(first) else first
     first, last = first[inside[first]], last[inside[first]]
-    return least[first], np.searchsorted(at, first, "right") - 1, first, last, T.hash_spans(values, first, last + size)
-
-
-def plain(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return least[first], np.searchsorted(at, first, "right") - 1, first, last, T.hash_spans(values, first, last + size), at
 
 
 def flags(docs: DataFrame, spans_of, partitions: int | None = None) -> DataFrame:
@@ -80,7 +77,7 @@ def flags(docs: DataFrame, spans_of, partitions: int | None = None) -> DataFrame
             )
             state = (h[-1], span[-1], smallest[-1], bool(count[run[-1]] > 1))
 
-    made = plain(docs).where("doc_id is not null").mapInArrow(emit, "h long, span long, doc_id long")
+    made = T.plain(docs).where("doc_id is not null").mapInArrow(emit, "h long, span long, doc_id long")
     made = made.repartition("h").sortWithinPartitions("h", "span", "doc_id").mapInArrow(classify, "doc_id long, span long, kind int")
     pick = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("span")))
     return made.groupBy("doc_id").agg(pick(COVERED).alias("covered"), pick(CANDIDATE).alias("candidate"))
@@ -96,14 +93,29 @@ def among(span, flagged) -> np.ndarray:
 
 
 def by_row(column: pa.Array, data, at, spans_of):
-    """For each row with flagged spans: row, and of these the spans' ``first``, ``last``."""
-    h, row, first, last, span = spans_of(data, at)[:5]
+    """For each row with flagged spans: row, their hashes, first and last windows (from the row's
+    start on), the units of all such rows and where this row's begin. Other rows aren't looked at."""
+    lists = column.to_pylist()
+    rows = [i for i, flagged in enumerate(lists) if flagged]
+    if not rows:
+        return
+    if len(rows) < len(lists):
+        data = np.concatenate([data[at[i] : at[i + 1]] for i in rows])
+        at = np.r_[0, np.cumsum(np.diff(at)[rows])]
+    h, row, first, last, span, units, *rest = spans_of(data, at)
     edge = np.searchsorted(row, np.arange(len(at)))
-    for i, flagged in enumerate(column.to_pylist()):
-        if flagged:
-            s = slice(edge[i], edge[i + 1])
-            hit = among(span[s], flagged)
-            yield i, h[s][hit], first[s][hit], last[s][hit]
+    for j, i in enumerate(rows):
+        s = slice(edge[j], edge[j + 1])
+        hit = among(span[s], lists[i])
+        yield i, h[s][hit], first[s][hit] - units[j], last[s][hit] - units[j], (data, rest, int(units[j]))
+
+
+def chunks(batch, flagged: int):
+    """``ids, flagged, bytes, offsets`` of the rows with something flagged, by chunk."""
+    batch = batch.filter(pc.fill_null(pc.greater(pc.list_value_length(batch.column(flagged)), 0), False))
+    ids = batch.column(0).to_pylist()
+    for first, last, data, at in T.chunks(batch.column(1)):
+        yield ids[first:last], batch.column(flagged)[first:last], data, at
 
 
 def covered_units(n: int, first, last, size: int) -> np.ndarray:
@@ -118,14 +130,14 @@ def resolved(docs: DataFrame, spans_of, candidates_to_windows, finish, schema: s
     """Flag spans, find out about candidates, and finish each row with the windows covered.
 
     ``candidates_to_windows`` takes rows ``doc_id, text, covered, candidate`` and gives
-    ``doc_id, starts``; ``finish(ids, texts, covered, starts)`` gives the batch of results.
-    The shuffle of the texts serves both joins.
+    ``doc_id, start``; ``finish(rows, bytes, offsets)`` gives the batch of results. Both
+    uses of the flagged texts ask for the same columns and rows, so one shuffle serves both.
     """
     flagged = flags(docs, spans_of)
-    texts = plain(docs)
+    texts = T.plain(docs)
     known = texts.join(flagged, "doc_id", "left")
-    found = candidates_to_windows(known.where(F.size("candidate") > 0)).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    every = known.join(found, "doc_id", "left").select("doc_id", "text", "covered", "starts")
+    found = candidates_to_windows(known).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    every = known.join(found, "doc_id", "left").select("doc_id", "text", "covered", "starts", "candidate")
 
     def run(batches):
         for batch in batches:

@@ -1,14 +1,21 @@
 """Whole texts as flat arrays: what the operators of this package share inside a task."""
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and \x09 to \x0d.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: A task looks at about so many bytes of text at once; one longer document is looked at whole.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+#: Rows in an Arrow batch; at a few KB a text, a batch is a few MB on either side.
+BATCH = 1000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240607).integers(0, 2**64, 256, np.uint64)
 _powers = {}
@@ -24,7 +31,7 @@ def mix(h):
 def powers(n: int):
     """``b**i`` and ``b**-i`` modulo 2**64, for i up to ``n``."""
     if "up" not in _powers or len(_powers["up"]) <= n:
-        size = max(1 << 16, 1 << int(n).bit_length())
+        size = -(-(n + 1) // CHUNK) * CHUNK
         inverse = pow(_MULTIPLIER, -1, 2**64)
         for name, base in (("up", _MULTIPLIER), ("down", inverse)):
             a = np.full(size + 1, base, np.uint64)
@@ -59,6 +66,14 @@ def chunks(column, limit: int = CHUNK):
         last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
         yield first, last, data[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
+    release()
+
+
+def release() -> None:
+    """Hand freed memory back: idle Python workers share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def words(data, at):
@@ -117,3 +132,9 @@ def sliding_min(values, w: int):
 def rows_of(at):
     """Row number of each element, from the rows' offsets."""
     return np.repeat(np.arange(len(at) - 1), np.diff(at))
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` alone, to be handed to Python in small batches."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
