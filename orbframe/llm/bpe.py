@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbframe.llm import text as T
+from orbframe.session import cut
 
 #: Fixed values of the pattern that splits texts: letters, what follows an apostrophe.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 BREAK, LETTER, NUMBER, OTHER, BLANK, SPACE = 0, 1, 2, 3, 4, 5
 #: Entries that a worker remembers of words it has merged.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 LONG_WORD = 200
 NONE, HASH, TABLE_BITS = np.int64(1 << 40), np.uint64(0xD6E8FEB86659FD93), 19
 
@@ -401,7 +402,8 @@ def raw_file(path: str) -> bytes:
 
 
 def frequent(docs: DataFrame, path: str, size: int) -> list[bytes]:
-    """The ``size`` most frequent pre-tokens of all documents, ties to the smaller one."""
+    """The most frequent pre-tokens of all documents: those with a count of ``2**b`` or more,
+    for the least b that leaves at most ``size``."""
     raw = docs.sparkSession.sparkContext.broadcast(raw_file(path))
 
     def count(batches):
@@ -421,8 +423,12 @@ def frequent(docs: DataFrame, path: str, size: int) -> list[bytes]:
         if held is not None:
             yield from held.combine_chunks().to_batches()
 
-    counts = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return sorted(bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect())
+    counts = cut(T.plain(docs).select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    by_size = {r.b: r.words for r in counts.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count("*").alias("words")).collect()}
+    least, left = 63, size
+    while least > 0 and (left := left - by_size.get(least - 1, 0)) >= 0:
+        least -= 1
+    return sorted(bytes(r.word) for r in counts.where(F.col("n") >= F.lit(1 << least).cast("long")).collect())
 
 
 def lexicon_of(docs: DataFrame, path: str, size: int) -> str:
@@ -461,7 +467,7 @@ def _answers(docs, path, words, schema, form):
                 ids, offsets = encode(data, at, v, _state["opened"])
                 yield form(batch.column(0)[first:last], v, ids, offsets)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return T.plain(docs).mapInArrow(run, schema)
 
 
 def _full(doc_id, v, ids, at):
