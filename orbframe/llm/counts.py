@@ -126,5 +126,5 @@ def counted(docs: DataFrame, path: str) -> DataFrame:
                     pre = np.zeros(len(at) - 1, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(pre), pa.array(np.diff(n)), pa.array(np.diff(total))], ["doc_id", "n_pretokens", "n_tokens", "score"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = T.plain(docs)
     return docs.mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, score long")

@@ -134,5 +134,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
                     ["doc_id", "license", "matched", "words", "from_byte", "to_byte"],
                 )
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = T.plain(docs)
     return docs.mapInArrow(run, "doc_id long, license string, matched int, words int, from_byte long, to_byte long")

@@ -78,11 +78,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, signature.size + 1, COMPONENTS), pa.int32()), pa.array(signature.ravel().astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(np.diff(ends)), pa.array(ids, pa.binary()), lists], ["doc_id", "n_shingles", "set_id", "signature"])
 
-    return _plain(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature array<int>")
-
-
-def _plain(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return T.plain(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature array<int>")
 
 
 def keys_of(nodes: DataFrame) -> DataFrame:
@@ -100,7 +96,7 @@ def keys_of(nodes: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose documents' sets are similar enough."""
-    texts = _plain(docs)
+    texts = T.plain(docs)
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 

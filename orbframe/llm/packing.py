@@ -167,7 +167,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = T.plain(docs)
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
