@@ -66,7 +66,7 @@ def fails(text: Column, low: Column) -> Column:
 def judged(docs: DataFrame) -> DataFrame:
     """``docs`` with the figures, ``base_failed``, ``kept`` and the ``cleaned`` text.
 
-    New columns start with ``q_`` here, so that columns of ``docs`` keep theirs.
+    New columns start with ``q_`` here (names that ``docs`` shouldn't use), so that columns of ``docs`` keep theirs.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = pinned(docs, q_text=text, q_low=F.lower(text), q_words=words_of(text), q_lines=F.split(text, "\n"))
