@@ -41,9 +41,17 @@ def run_available(df: DataFrame, schema: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table's files as a stream."""
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
+    """A table's files as a stream, be it one file or a folder of part files.
+
+    Part files have no order among each other, so a folder is one batch, which the
+    stateful operators sort.
+    """
+    path = f"{sf}/{name}.parquet"
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema)
+    if any(f"/{name}.parquet/" in f for f in table.inputFiles()):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
 
 
 class _Ordered(StatefulProcessor):

@@ -116,3 +116,9 @@ def test_scans_read_only_what_is_used(spark):
     text = all_queries.QUERIES["frame_range"](spark, SF)._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "label" not in text.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_a_folder_of_part_files_streams_whole(spark, tmp_path):
+    spark.range(100).withColumn("v", F.col("id") * 2).repartition(4).write.parquet(f"{tmp_path}/t.parquet")
+    got = state.run_available(state.table_stream(spark, str(tmp_path), "t"), "id long, v long")
+    assert sorted((r.id, r.v) for r in got.collect()) == [(i, 2 * i) for i in range(100)]
