@@ -12,7 +12,7 @@ from orbframe.llm import fmindex, lines, near, packing, quality
 from orbframe.session import cut
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Packing can't be said in SQL; tests hold every stage against a brute-force version.
+#: Packing can't be said in SQL; tests hold each operator against brute force, and the stages to columns and kept rows.
 ORACLE_SQL = None
 
 
