@@ -82,7 +82,7 @@ def keys_of(nodes: DataFrame) -> DataFrame:
         parts.append(F.shiftrightunsigned("simhash", shift).bitwiseAND(F.lit((1 << size) - 1)))
         shift += size
     made = [F.shiftleft(F.lit(i * 8 + j).cast("long"), 32).bitwiseOR(F.shiftleft(parts[i], 16)).bitwiseOR(parts[j]) for i in range(5) for j in range(i)]
-    return nodes.select(F.explode(F.array(*made)).alias("key"), "node")
+    return nodes.select(F.explode(F.array(*made)).alias("key"), F.lit(0).alias("size"), "node")
 
 
 def normal(line: Column) -> Column:

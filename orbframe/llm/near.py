@@ -8,8 +8,9 @@ components agree on such a key (eight chunks with two errors each would make 16)
 Two sets of similarity 0.8 miss all keys with a probability of 1.2e-6.
 
 Equal sets are one node. Under a key, nodes are held against the first one; what is
-confirmed makes components. Only keys that still hold several components compare
-across these, where signatures agree enough. So a group costs about its size, and
+confirmed makes components. Of keys that still hold several components, small ones
+compare across these, where signatures agree enough. Large ones are split around a
+hub by the shingles that it lacks (``around``). So a group costs about its size, and
 no link between components is lost.
 
 A null text or one without words has an empty set and no links. A null doc_id has
@@ -91,7 +92,7 @@ def keys_of(nodes: DataFrame) -> DataFrame:
             for i in (i for i in range(size) if i != gone):
                 key = F.shiftleft(key, 16).bitwiseOR(F.get("signature", F.lit(c * size + i)).cast("long"))
             made.append(key)
-    return nodes.select(F.explode(F.array(*made)).alias("key"), "node")
+    return nodes.select(F.explode(F.array(*made)).alias("key"), F.col("n_shingles").alias("size"), "node")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -120,13 +121,60 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
+def around(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``pivot, node, size, linked, heads, reach`` for ``members(pivot, node)``.
+
+    Say x is no link of the pivot, and y is a link of x. In one order of all shingles,
+    by hash with the pivot's last, both have their first common shingle among their first
+    ``size - need + 1``, where ``need`` is the least overlap that any link has. If it is
+    not the pivot's, it is a head of both. If it is, all they share is the pivot's, so x
+    overlaps with the pivot as much as with y; that is too little for y of the pivot's
+    size, and is enough for y of a size up to ``reach`` at most (0 if that is no link's size).
+    """
+    texts = T.plain(docs)
+    both = members.join(texts.select(F.col("doc_id").alias("node"), F.col("text").alias("text_b")), "node")
+    both = both.join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("text_a")), "pivot").select("pivot", "node", "text_a", "text_b")
+
+    def run(batches):
+        last, known = None, None
+        for batch in batches:
+            pivots, left = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            for first, end, data, at in T.chunks(batch.column(3)):
+                sets, ends = shingle_sets(data, at, k)
+                heads, link, reach = [], [], []
+                for i in range(first, end):
+                    if (pivots[i], left[i]) != last:
+                        last = (pivots[i], left[i])
+                        known, _ = shingle_sets(*T.flat(pa.array([left[i]], pa.string())), k)
+                    own = sets[ends[i - first] : ends[i - first + 1]]
+                    outside = np.setdiff1d(own, known, assume_unique=True)
+                    size, same = len(own), len(own) - len(outside)
+                    least = -(-percent * size // 100)
+                    link.append(100 * same >= percent * (size + len(known) - same))
+                    most = (100 + percent) * same // percent - size
+                    reach.append(most if not link[-1] and most >= least else 0)
+                    heads.append((outside[: size - least + 1] ^ T.mix(pivots[i : i + 1].astype(np.uint64))).view(np.int64))
+                at_head = pa.array(np.cumsum([0, *map(len, heads)]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[first:end], batch.column(1)[first:end], pa.array(np.diff(ends)), pa.array(link, pa.bool_()), pa.ListArray.from_arrays(at_head, pa.array(np.concatenate(heads))), pa.array(reach, pa.int64())],
+                    ["pivot", "node", "size", "linked", "heads", "reach"],
+                )
+
+    return both.mapInArrow(run, "pivot long, node long, size long, linked boolean, heads array<long>, reach long")
+
+
 def linked(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``."""
     made = cut(sketches(docs, k))
-    sets = made.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
+    sets = made.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     sets = cut(sets)
-    signed = sets.select("node", "signature")
-    group = linked_nodes(signed, keys_of, lambda pairs: confirmed(_agreeing(pairs, signed), docs, k, percent))
+    signed = sets.select("node", "signature", "n_shingles")
+    group = linked_nodes(
+        signed,
+        keys_of,
+        lambda pairs: confirmed(_agreeing(pairs, signed), docs, k, percent),
+        lambda members: around(members, docs, k, percent),
+    )
     of_set = sets.select("set_id", "node").join(group, "node", "left").select("set_id", F.coalesce("component", "node").alias("found"))
     done = made.join(of_set, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))

@@ -145,14 +145,20 @@ def test_near_duplicates(docs, rows):
     assert {r.doc_id for r in near.deduplicated(docs).collect()} == {i for i in sets if at[i] == i}
 
 
-def test_near_copies_of_a_large_family(spark):
+@pytest.mark.parametrize("most,small", [(3, 16), (9, 2)])
+def test_near_copies_of_a_large_family(spark, monkeypatch, most, small):
+    monkeypatch.setattr(graph, "SMALL", small)
     r = random.Random(9)
     base = prose(11, 80).split()
     rows = [(0, " ".join(base))]
     for i in range(1, 150):
         w = list(base)
-        for _ in range(r.randint(0, 3)):
+        for _ in range(r.randint(0, most)):
             w[r.randrange(80)] = f"w{r.randint(0, 50)}"
+        if most > 3:
+            w = w[r.choice([0, 0, 0, 9]) :]
+            if i % 3 == 0:  # a family in the family
+                w[20], w[35], w[50], w[65] = "these", "are", "changed", "together"
         rows.append((i, " ".join(w)))
     sets = {i: shingles(t) for i, t in rows}
     edges = [(i, j) for i in sets for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
