@@ -129,7 +129,7 @@ def _movie(k: int, channels: int | None) -> bytes:
 def movie_files(spark: SparkSession, sf: str) -> DataFrame:
     """``path, content``: one MP4 per order. Tags version 1 for k % 3 = 0,
     version 2 for k % 4 = 0, sound for ambiX channel counts. The media data
-    leads for odd keys; every 17th file is cut short."""
+    leads for odd keys; every 17th file is cut short in its last box."""
 
     def build(batches):
         for pdf in batches:

@@ -189,8 +189,12 @@ def inventory(spark, sf):
     return boxes.boxes_of_content(movie_files(spark, sf))
 
 
+# Files cut short: with the movie first they keep it and lose the media box, else they have no movie box.
+NO_MOVIE = "(k % 17 = 0 AND k % 2 = 1)"
+
+
 @query("boxes", f"""WITH {CATALOGUE}, n AS (SELECT path, k, channels IS NOT NULL AS snd, channels IN (4, 9, 16) AS amb FROM cat),
-t AS (SELECT path, k, unnest(CASE WHEN k % 17 = 0 THEN ['corrupt'] ELSE list_concat(['ftyp', 'moov', 'mvhd', 'mdat', 'trak', 'mdia', 'hdlr', 'minf', 'stbl', 'stsd', 'avcC'],
+t AS (SELECT path, k, unnest(CASE WHEN {NO_MOVIE} THEN ['ftyp', 'mdat', 'corrupt'] ELSE list_concat([CASE WHEN k % 17 = 0 THEN 'corrupt' ELSE 'mdat' END, 'ftyp', 'moov', 'mvhd', 'trak', 'mdia', 'hdlr', 'minf', 'stbl', 'stsd', 'avcC'],
   CASE WHEN k % 3 = 0 THEN ['uuid'] ELSE [] END, CASE WHEN k % 4 = 0 THEN ['st3d', 'sv3d', 'svhd', 'proj', 'prhd', 'equi'] ELSE [] END,
   CASE WHEN snd THEN ['trak', 'mdia', 'hdlr', 'minf', 'stbl', 'stsd'] ELSE [] END, CASE WHEN amb THEN ['SA3D'] ELSE [] END) END) AS type FROM n)
 SELECT path, type, count(*) AS n FROM t GROUP BY path, type""")
@@ -198,29 +202,29 @@ def box_counts(spark, sf):
     return inventory(spark, sf).groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sphere_tags", f"""WITH {CATALOGUE} SELECT path, k % 3 = 0 AND k % 17 <> 0 AS v1, k % 4 = 0 AND k % 17 <> 0 AS v2, (k % 3 = 0 OR k % 4 = 0) AND k % 17 <> 0 AS tagged,
+@query("sphere_tags", f"""WITH {CATALOGUE} SELECT path, k % 3 = 0 AND NOT {NO_MOVIE} AS v1, k % 4 = 0 AND NOT {NO_MOVIE} AS v2, (k % 3 = 0 OR k % 4 = 0) AND NOT {NO_MOVIE} AS tagged,
   CASE WHEN k % 17 <> 0 THEN k % 2 = 0 END AS mdat_after_moov FROM cat""")
 def sphere_tags(spark, sf):
     b = inventory(spark, sf)
     return boxes.has_sphere_tags(b).join(boxes.media_after_movie(b), "path")
 
 
-@query("untagged_files", f"WITH {CATALOGUE} SELECT path FROM cat WHERE k % 17 = 0 OR NOT (k % 3 = 0 OR k % 4 = 0)")
+@query("untagged_files", f"WITH {CATALOGUE} SELECT path FROM cat WHERE {NO_MOVIE} OR NOT (k % 3 = 0 OR k % 4 = 0)")
 def untagged_files(spark, sf):
     return boxes.untagged(catalogue(spark, sf).select("path"), inventory(spark, sf))
 
 
 @query("ambisonic_tags", f"""WITH {CATALOGUE} SELECT path, 0 AS version, 0 AS ambisonic_type, {ORDER} AS "order", 0 AS channel_ordering, CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END AS normalization,
-  channels, k % 6 <> 0 AS usable FROM cat WHERE channels IN (4, 9, 16) AND k % 17 <> 0""")
+  channels, k % 6 <> 0 AS usable FROM cat WHERE channels IN (4, 9, 16) AND NOT {NO_MOVIE}""")
 def ambisonic_tags(spark, sf):
     a = boxes.ambisonic(inventory(spark, sf))
     return a.withColumn("usable", media.declares_ambix(F.struct(*a.columns)))
 
 
-FOUND = """found AS (SELECT path, 'st3d' AS tag, k % 3 AS value FROM cat WHERE k % 4 = 0 AND k % 17 <> 0
-  UNION ALL SELECT path, 'equi', CASE WHEN k % 8 = 0 THEN 1073741824 ELSE 0 END FROM cat WHERE k % 4 = 0 AND k % 17 <> 0
-  UNION ALL SELECT path, 'uuid', 1 FROM cat WHERE k % 3 = 0 AND k % 17 <> 0
-  UNION ALL SELECT path, 'SA3D', sqrt(channels)::INT - 1 FROM cat WHERE channels IN (4, 9, 16) AND k % 17 <> 0)"""
+FOUND = f"""found AS (SELECT path, 'st3d' AS tag, k % 3 AS value FROM cat WHERE k % 4 = 0 AND NOT {NO_MOVIE}
+  UNION ALL SELECT path, 'equi', CASE WHEN k % 8 = 0 THEN 1073741824 ELSE 0 END FROM cat WHERE k % 4 = 0 AND NOT {NO_MOVIE}
+  UNION ALL SELECT path, 'uuid', 1 FROM cat WHERE k % 3 = 0 AND NOT {NO_MOVIE}
+  UNION ALL SELECT path, 'SA3D', sqrt(channels)::INT - 1 FROM cat WHERE channels IN (4, 9, 16) AND NOT {NO_MOVIE})"""
 WANTED = """wanted AS (SELECT path, 'st3d' AS tag, CASE WHEN mode = 'vr180' THEN 2 ELSE 1 END AS value FROM cat
   UNION ALL SELECT path, 'equi', CASE WHEN mode = 'vr180' THEN 1073741824 ELSE 0 END FROM cat
   UNION ALL SELECT path, 'uuid', 1 FROM cat WHERE mode = '360'

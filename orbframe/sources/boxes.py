@@ -1,7 +1,8 @@
 """MP4 box inventory and what it says about sphere, stereo and sound.
 
 Spark spreads the files; each is opened by the task that lists it and only
-the movie box is read, wherever in the file it lies.
+the movie box is read, wherever in the file it lies. A file that is cut short
+keeps the boxes before the cut; a ``corrupt`` row says where it is.
 """
 
 import io
@@ -9,12 +10,13 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbframe.functions import media
 
-SCHEMA = "path string, pos bigint, type string, size bigint, header int, path_in_file array<string>, track bigint, body binary"
+SCHEMA = "path string, pos bigint, type string, size bigint, header int, path_in_file array<string>, track bigint, body binary, handler string"
 # Boxes with children, bytes before the children of a sample
 # entry by handler, and the identifier of version 1 sphere tags.
 CONTAINERS = {"moov", "trak", "mdia", "minf", "stbl"}
@@ -51,7 +53,7 @@ def _tree(src, start: int, end: int, above: tuple, track) -> Iterator[tuple]:
         here = pos if kind == "trak" else track
         src.seek(pos + header)
         body = src.read(min(size - header, BODY_BYTES.get(kind, 0)))
-        yield pos, kind, size, header, above, here, body
+        yield pos, kind, size, header, above, here, body, None
         if kind in CONTAINERS:
             inside = list(_tree(src, pos + header, pos + size, (*above, kind), here))
             yield from inside
@@ -74,7 +76,7 @@ def _sample_entry(src, boxes: list, track) -> Iterator[tuple]:
     if size < skip:
         return
     try:
-        children = list(_nested(src, first + skip, first + size, above, track))
+        children = [(*b, handler) for b in _nested(src, first + skip, first + size, above, track)]
     except CorruptBox:
         return
     yield from children
@@ -89,21 +91,29 @@ def _nested(src, start, end, above, track):
 
 
 def _inventory(src, length: int) -> list[tuple]:
-    """All boxes of one file; a corrupt file yields one ``corrupt`` row."""
+    """All boxes of one file. Where boxes end in a ``corrupt`` one, those before it count;
+    of a movie box that is broken inside, nothing below it does."""
+    rows, at = [], 0
     try:
-        return list(_tree(src, 0, length, (), None))
+        for pos, kind, size, header in _siblings(src, 0, length):
+            at = pos + size
+            try:
+                rows += list(_tree(src, pos, at, (), None))
+            except (CorruptBox, struct.error):
+                rows += [(pos, kind, size, header, (), None, b"", None), (pos + header, "corrupt", size - header, 0, (kind,), None, b"", None)]
     except (CorruptBox, struct.error):
-        return [(0, "corrupt", length, 0, (), None, b"")]
+        rows.append((at, "corrupt", length - at, 0, (), None, b"", None))
+    return rows
 
 
 def _rows(files: Iterator[pd.DataFrame], opener) -> Iterator[pd.DataFrame]:
-    names = ["path", "pos", "type", "size", "header", "path_in_file", "track", "body"]
+    names = ["path", "pos", "type", "size", "header", "path_in_file", "track", "body", "handler"]
     for pdf in files:
         rows = []
         for item in pdf.itertuples(index=False):
             src, length = opener(item)
             with src:
-                rows += [(item.path, *b[:4], list(b[4]), b[5], b[6]) for b in _inventory(src, length)]
+                rows += [(item.path, *b[:4], list(b[4]), *b[5:]) for b in _inventory(src, length)]
         yield pd.DataFrame(rows, columns=names).astype({"track": "Int64"})
 
 
@@ -112,8 +122,11 @@ def boxes_of_files(files: DataFrame) -> DataFrame:
     headers and small tag boxes are read."""
 
     def opener(item):
-        path = item.path.removeprefix("file:")
-        return open("/" + path.lstrip("/"), "rb"), item.length
+        if "://" in item.path and not item.path.startswith("file:"):
+            store, path = fs.FileSystem.from_uri(item.path)
+        else:
+            store, path = fs.LocalFileSystem(), "/" + item.path.removeprefix("file:").lstrip("/")
+        return store.open_input_file(path), item.length
 
     return files.select("path", "length").mapInPandas(lambda it: _rows(it, opener), SCHEMA)
 
@@ -130,10 +143,20 @@ def be_uint(body: Column, start: int, length: int) -> Column:
     return F.conv(F.hex(F.substring(body, start + 1, length)), 16, 10).cast("bigint")
 
 
+def _is_uuid() -> Column:
+    """A version 1 tag: only inside the movie box."""
+    return (F.col("type") == "uuid") & (F.col("body") == F.lit(SPHERE_UUID)) & F.get("path_in_file", F.lit(0)).eqNullSafe("moov")
+
+
+def _is_entry(handler: str, *kinds: str) -> Column:
+    """Boxes in the sample entry of a track with this handler."""
+    return F.col("type").isin(*kinds) & F.col("handler").eqNullSafe(handler)
+
+
 def ambisonic(boxes: DataFrame) -> DataFrame:
-    """First sound description per file, decoded."""
+    """First sound description per file, in the sample entry of a sound track, decoded."""
     b = F.col("body")
-    first = boxes.filter((F.col("type") == "SA3D") & (F.length("body") >= 12)).groupBy("path").agg(F.min_by("body", "pos").alias("body"))
+    first = boxes.filter(_is_entry("soun", "SA3D") & (F.length("body") >= 12)).groupBy("path").agg(F.min_by("body", "pos").alias("body"))
     return first.select(
         "path", be_uint(b, 0, 1).alias("version"), be_uint(b, 1, 1).alias("ambisonic_type"), be_uint(b, 2, 4).alias("order"),
         be_uint(b, 6, 1).alias("channel_ordering"), be_uint(b, 7, 1).alias("normalization"), be_uint(b, 8, 4).alias("channels"),
@@ -142,9 +165,8 @@ def ambisonic(boxes: DataFrame) -> DataFrame:
 
 def has_sphere_tags(boxes: DataFrame) -> DataFrame:
     """Per file: tagged in version 1 (uuid box) or 2 (boxes in the sample entry)."""
-    v1 = (F.col("type") == "uuid") & (F.col("body") == F.lit(SPHERE_UUID))
-    v2 = F.col("type").isin("st3d", "sv3d") & F.array_contains("path_in_file", "stsd")
-    return boxes.groupBy("path").agg(F.bool_or(v1).alias("v1"), F.bool_or(v2).alias("v2")).withColumn("tagged", F.col("v1") | F.col("v2"))
+    v2 = _is_entry("vide", "st3d", "sv3d")
+    return boxes.groupBy("path").agg(F.bool_or(_is_uuid()).alias("v1"), F.bool_or(v2).alias("v2")).withColumn("tagged", F.col("v1") | F.col("v2"))
 
 
 def untagged(files: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -171,8 +193,8 @@ def expected_tags(catalogue: DataFrame) -> DataFrame:
 def found_tags(boxes: DataFrame) -> DataFrame:
     b = F.col("body")
     value = (
-        F.when(F.col("type") == "st3d", be_uint(b, 4, 1)).when(F.col("type") == "equi", be_uint(b, 12, 4))
-        .when((F.col("type") == "uuid") & (b == F.lit(SPHERE_UUID)), F.lit(1)).when(F.col("type") == "SA3D", be_uint(b, 2, 4))
+        F.when(_is_entry("vide", "st3d"), be_uint(b, 4, 1)).when(_is_entry("vide", "equi"), be_uint(b, 12, 4))
+        .when(_is_uuid(), F.lit(1)).when(_is_entry("soun", "SA3D"), be_uint(b, 2, 4))
     )
     return boxes.select("path", F.col("type").alias("tag"), value.cast("bigint").alias("value")).filter(F.col("value").isNotNull())
 

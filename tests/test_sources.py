@@ -79,13 +79,13 @@ def files(spark, tmp_path, made):
 
 
 def test_boxes_of_files_equal_boxes_of_content(spark, tmp_path):
-    made = {f"{k}.mp4": _movie(k, ch) for k, ch in [(1, None), (4, 4), (12, 9), (17, 2), (24, 16)]}
+    made = {f"{k}.mp4": _movie(k, ch) for k, ch in [(1, None), (4, 4), (12, 9), (17, 2), (24, 16), (204, 2)]}
     listed = files(spark, tmp_path, made)
     by_file = boxes.boxes_of_files(listed)
     content = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
     assert by_file.exceptAll(boxes.boxes_of_content(content)).count() == 0
     tagged = {os.path.basename(r.path): (r.v1, r.v2) for r in boxes.has_sphere_tags(by_file).collect()}
-    assert tagged == {"1.mp4": (False, False), "4.mp4": (False, True), "12.mp4": (True, True), "17.mp4": (False, False), "24.mp4": (True, True)}
+    assert tagged == {"1.mp4": (False, False), "4.mp4": (False, True), "12.mp4": (True, True), "17.mp4": (False, False), "24.mp4": (True, True), "204.mp4": (True, True)}
 
 
 def test_long_and_open_ended_boxes(spark):
@@ -96,6 +96,25 @@ def test_long_and_open_ended_boxes(spark):
     assert rows == {("p", "free"): (24, 16), ("p", "mdat"): (11, 8), ("q", "corrupt"): (17, 0)}
 
 
+def test_cut_files_keep_what_lies_before_the_cut(spark):
+    df = spark.createDataFrame([("even", _movie(204, 4)), ("odd", _movie(51, 4))], "path string, content binary")
+    found = boxes.boxes_of_content(df)
+    top = {(r.path, r.type) for r in found.filter("size(path_in_file) = 0").collect()}
+    assert top == {("even", "ftyp"), ("even", "moov"), ("even", "corrupt"), ("odd", "ftyp"), ("odd", "mdat"), ("odd", "corrupt")}
+    assert {r.path: r.tagged for r in boxes.has_sphere_tags(found).collect()} == {"even": True, "odd": False}
+    assert [r.path for r in boxes.ambisonic(found).collect()] == ["even"]
+
+
+def test_tags_count_only_where_they_belong(spark):
+    uuid = _box("uuid", boxes.SPHERE_UUID, b"<rdf/>")
+    broken = _box("moov", _box("mvhd", bytes(20)), struct.pack(">I4s", 500, b"trak"))
+    content = [("outside", _movie(1, None) + uuid + _box("SA3D", bytes(12))), ("broken", broken + _box("mdat"))]
+    found = boxes.boxes_of_content(spark.createDataFrame(content, "path string, content binary"))
+    assert {r.path: r.tagged for r in boxes.has_sphere_tags(found).collect()} == {"outside": False, "broken": False}
+    assert boxes.ambisonic(found).count() == 0 and boxes.found_tags(found).count() == 0
+    assert {r.type for r in found.filter("path = 'broken'").collect()} == {"moov", "corrupt", "mdat"}
+
+
 def test_sound_description(spark):
     df = spark.createDataFrame([("p", _movie(4, 9))], "path string, content binary")
     r = boxes.ambisonic(boxes.boxes_of_content(df)).first()
