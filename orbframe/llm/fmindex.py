@@ -138,7 +138,7 @@ class Index:
 
 
 def matching_statistics(index: Index, text, at, owner, size: int):
-    """For each symbol of each part: how many symbols from it on (``size`` at most) a smaller owner has."""
+    """For each symbol of each part: how many symbols from it on (``size`` at most) a smaller owner has; none extends by 0."""
     found = np.zeros(len(text), np.int64)
     n = len(at) - 1
     place = at[1:].copy()  # what is left of it is to be matched
@@ -151,7 +151,7 @@ def matching_statistics(index: Index, text, at, owner, size: int):
             lo[long], hi[long] = index.widened(lo[long], hi[long], depth[long])
         c = text[place[active] - 1]
         new_lo, new_hi = index.extend(c, lo[active], hi[active])
-        ok = new_hi > new_lo
+        ok = (new_hi > new_lo) & (c > 0)  # 0 ends parts in the index, and is a word that it lacks here
         ok[ok] = index.least_owner(new_lo[ok], new_hi[ok]) < owner[active[ok]]
         on = active[ok]
         lo[on], hi[on] = new_lo[ok], new_hi[ok]

@@ -110,6 +110,29 @@ def test_matching_statistics_are_those_of_brute_force(monkeypatch):
         assert Counter(zip(doc.tolist(), start.tolist())) == want
 
 
+def test_words_that_an_index_lacks_end_matches(monkeypatch):
+    import pyarrow as pa
+
+    def windows(texts, size):
+        made = fmindex.shard_windows(pa.array([t.encode() for t in texts], pa.binary()), np.arange(len(texts)), np.zeros(len(texts), np.int64), size)
+        return Counter(zip(made[0].tolist(), made[1].tolist()))
+
+    def brute(texts, size):
+        w = [t.split() for t in texts]
+        own = [{tuple(x[s : s + size]) for s in range(len(x) - size + 1)} for x in w]
+        return Counter((i, s) for i, x in enumerate(w) for s in range(len(x) - size + 1) if any(tuple(x[s : s + size]) in o for o in own[:i]))
+
+    monkeypatch.setattr(fmindex, "SHARD", 10)
+    assert windows(["a b c d e", "p q r s t u v w", "a b c d e zz"], 6) == Counter()  # at the end of a span
+    assert windows(["a b c d e", "p q r s t u v w", "yy a b c d e"], 6) == Counter()  # at its start
+    assert windows(["a b c d e f", "p q r s t u v w", "yy a b c d e f zz"], 6) == Counter({(2, 1): 1})
+    r = random.Random(12)
+    for _ in range(60):
+        texts = [" ".join(r.choice(["a", "b", "a", "b", f"own{i // 3}"]) for _ in range(r.randint(1, 14))) for i in range(9)]
+        for size in (2, 3, 5):
+            assert windows(texts, size) == brute(texts, size)
+
+
 def test_loser_tree_merges_in_order():
     r = random.Random(5)
     blocks, every = [], []
