@@ -69,14 +69,14 @@ def judged(docs: DataFrame) -> DataFrame:
     New columns start with ``q_`` here (names that ``docs`` shouldn't use), so that columns of ``docs`` keep theirs.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = pinned(docs, q_text=text, q_low=F.lower(text), q_words=words_of(text), q_lines=F.split(text, "\n"))
+    df = pinned(docs, q_text=text, q_low=normal(F.lower(text)), q_words=words_of(text), q_lines=F.split(text, "\n"))
     n = F.size("q_words")
     # hashes of 1, 2, 4 and 8 words from each word on; the last seven windows are cut short and go
     df = pinned(df, q_h=F.transform("q_words", lambda w: F.xxhash64(w)))
     for step in (1, 2, 4):
         df = pinned(df.withColumnRenamed("q_h", "q_g"), q_h=F.zip_with("q_g", F.slice("q_g", step + 1, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))).drop("q_g")
     windows = F.slice("q_h", 1, F.greatest(n - (WINDOW - 1), F.lit(0)))
-    # a line that fails has a mark or a phrase, and so has its text
+    # a line that fails has a mark or a phrase, and so has its text, with gaps made normal
     normals = F.when(F.rlike("q_text", F.lit(MARK)) | says(F.col("q_low")), F.transform("q_lines", normal))
     df = pinned(df, q_windows=windows, q_said=F.filter("q_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")), q_normals=normals).drop("q_low")
     df = pinned(df, q_lows=F.transform("q_normals", F.lower))

@@ -289,6 +289,16 @@ def test_quality(docs, odd):
     assert quality.digest(odd).count() == 10
 
 
+def test_phrases_with_wide_gaps_count(spark):
+    words = prose(30, 21)
+    texts = {i: f"{words}\n" + "\n".join(f"click{gap}here {prose(31 + j, 8)}" for j in range(5)) for i, gap in enumerate([" ", "  ", "\t", "\x0b ", "\n"])}
+    texts[5] = texts[1] + " #"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.kept for r in quality.digest(df).collect()} == {0: False, 1: False, 2: False, 3: False, 4: True, 5: False}
+    some = spark.createDataFrame([(1, f"{words}\n{words[::-1]}\nPrivacy\tPolicy")], "doc_id long, text string")
+    assert [r.text for r in quality.cleaned(some).collect()] == [f"{words}\n{words[::-1]}"]
+
+
 def test_lines(docs, rows):
     got = {(r.doc_id, r.line_no): (r.group_doc, r.group_line) for r in lines.groups(docs).collect()}
     assert got[(49, 0)] == (46, 1)
