@@ -345,6 +345,23 @@ def test_fuzzy_lines_meet(spark):
     assert {r.doc_id: r.group_doc for r in got} == at
 
 
+@pytest.mark.parametrize("words", [6, 8, 12, 20, 50])
+def test_lines_with_a_changed_word_meet(spark, words):
+    r = random.Random(words)
+    rows, near = [], []
+    for i in range(150):
+        w = prose(1000 * words + i, words).split()
+        changed = list(w)
+        changed[r.randrange(words)] = "".join(r.choice("klmnop") for _ in range(4))
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(changed))]
+        x, y = rows[-2][1], rows[-1][1]
+        if lines.edits(x, y) * 5 <= max(len(x), len(y)):
+            near.append(2 * i)
+    got = {x.doc_id: x.group_doc for x in lines.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) >= 100 and sum(got[i + 1] == got[i] for i in near) >= 0.98 * len(near)
+    assert all(got[i + 1] != got[i] for i in range(0, 300, 2) if i not in near)
+
+
 def test_licenses(docs, spark):
     assert [(r.doc_id, r.license, r.matched) for r in licenses.scan(docs).collect()] == [(46, "MIT", 5)]
     text = prose(7, 40) + " this work is licensed under a Creative   Commons Attribution-4.0 International license! " + prose(8, 10)
