@@ -12,9 +12,10 @@ Edits scattered over all words can leave less and be missed. Equal normalised li
 one node. Of each connected group the occurrence with the smallest doc_id and line
 number stays.
 
-Lines with fewer than ``least_words`` words say too little and always stay, as do lines
-of rows without doc_id. A null text has no lines. Rows that repeat a doc_id share their
-line numbers' fate. An empty table gives no rows. ``deduplicated`` keeps all columns.
+Every line takes part that isn't blank, whatever its script. A line of marks alone is
+one node with lines of the same marks. Rows without doc_id have no lines here and stay.
+A null text has no lines. Rows that repeat a doc_id share their line numbers' fate. An
+empty table gives no rows. ``deduplicated`` keeps all columns.
 """
 
 import math
@@ -89,7 +90,20 @@ def spaced(data, starts, ends, words):
     return out, begin[words]
 
 
-def occurrences(docs: DataFrame, least_words: int) -> DataFrame:
+def hashed(data, edges):
+    """Words of each line as they are seen (starts, ends, first), and a hash of the whole line; 0 if it is blank."""
+    seen = _SEEN[data]
+    starts, ends, words = T.words(seen, edges)
+    whole = T.hash_spans(T.word_hashes(seen, starts, ends), words[:-1], words[1:])
+    bare = np.diff(words) == 0
+    if bare.any():  # marks alone, as they are
+        raw, stops, first = T.words(data, edges)
+        marks = T.mix(T.hash_spans(T.word_hashes(data, raw, stops), first[:-1], first[1:]) ^ np.uint64(len(GRAMS)))
+        whole[bare] = np.where(np.diff(first) > 0, marks, np.uint64(0))[bare]
+    return starts, ends, words, whole
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no, node`` of the lines that take part; line numbers start at 0."""
 
     def run(batches):
@@ -100,10 +114,8 @@ def occurrences(docs: DataFrame, least_words: int) -> DataFrame:
                 edges = np.unique(np.r_[at, breaks, len(data)])
                 row = np.searchsorted(at, edges[:-1], "right") - 1
                 start_of = np.searchsorted(edges, at)
-                starts, ends, words = T.words(_SEEN[data], edges)
-                hashes = T.word_hashes(_SEEN[data], starts, ends)
-                whole = T.hash_spans(hashes, words[:-1], words[1:])
-                take = np.diff(words) >= least_words
+                whole = hashed(data, edges)[-1]
+                take = whole != 0
                 # edges hold each row's start and each line break; a row that starts with a break has one edge for both
                 number = np.arange(len(edges) - 1) - start_of[row] + (data[np.minimum(at[row], max(0, len(data) - 1))] == 10)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[first + row[take]]), pa.array(number[take].astype(np.int32)), pa.array(whole[take].view(np.int64))], ["doc_id", "line_no", "node"])
@@ -119,7 +131,6 @@ def sketched(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             lines, wanted = batch.column(0), batch.column(1).to_pylist()
             for first, last, data, at in T.chunks(lines):
-                seen = _SEEN[data]
                 breaks = np.flatnonzero(data == 10)
                 edges, node = [], []
                 low = np.searchsorted(breaks, at)
@@ -132,13 +143,12 @@ def sketched(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 edges = np.array(edges, np.int64).reshape(-1, 2)
                 n = edges[:, 1] - edges[:, 0]
                 begin = np.r_[0, np.cumsum(n)]
-                flat = seen[np.arange(begin[-1]) + np.repeat(edges[:, 0] - begin[:-1], n)]
-                starts, ends, words = T.words(flat, begin)
-                whole = T.hash_spans(T.word_hashes(flat, starts, ends), words[:-1], words[1:]).view(np.int64)
-                text, offsets = spaced(flat, starts, ends, words)
+                flat = data[np.arange(begin[-1]) + np.repeat(edges[:, 0] - begin[:-1], n)]
+                *seen, whole = hashed(flat, begin)
+                text, offsets = spaced(_SEEN[flat], *seen)
                 lists, sketch = sketches(text, offsets)
                 made = pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.diff(offsets)), sketch, lists], ["node", "size", "sketch", "keys"])
-                yield made.filter(pa.array(whole == np.array(node, np.int64)))  # another row of the doc_id may have the line
+                yield made.filter(pa.array(whole.view(np.int64) == np.array(node, np.int64)))  # another row of the doc_id may have the line
 
     wanted = nodes.groupBy(F.col("place.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("node", "place.line_no")).alias("wanted"))
     texts = T.plain(docs).where("text is not null").join(wanted, "doc_id")
@@ -227,9 +237,9 @@ def edits(x: str, y: str) -> int:
     return distance
 
 
-def groups(docs: DataFrame, least_words: int = 5, percent: int = 80) -> DataFrame:
+def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``doc_id, line_no, group_doc, group_line, kept``: each line that takes part, and the one that stays for it."""
-    made = cut(occurrences(docs, least_words))
+    made = cut(occurrences(docs))
     place = F.min(F.struct("doc_id", "line_no")).alias("place")
     nodes = cut(made.groupBy("node").agg(place))
     nodes = cut(nodes.join(sketched(docs, nodes), "node"))
@@ -241,9 +251,9 @@ def groups(docs: DataFrame, least_words: int = 5, percent: int = 80) -> DataFram
     return made.join(of_node, "node").select("doc_id", "line_no", F.col("best.doc_id").alias("group_doc"), F.col("best.line_no").alias("group_line"), kept.alias("kept"))
 
 
-def deduplicated(docs: DataFrame, least_words: int = 5, percent: int = 80) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with repeated lines gone; a document of which nothing is left goes as well."""
-    gone = groups(docs, least_words, percent).where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("llm__gone"))
+    gone = groups(docs, percent).where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("llm__gone"))
     gone = gone.withColumnRenamed("doc_id", "llm__id")
     joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("llm__id"), "left")
     left = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.array_contains("llm__gone", i)), "\n")

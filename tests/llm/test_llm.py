@@ -362,6 +362,18 @@ def test_lines_with_a_changed_word_meet(spark, words):
     assert all(got[i + 1] != got[i] for i in range(0, 300, 2) if i not in near)
 
 
+def test_short_lines_and_any_script_take_part(spark):
+    chinese = "".join(chr(0x4E00 + random.Random(40).randrange(3000) + i) for i in range(60))
+    texts = [f"Contact Us\n{chinese}\n----", f"contact us!\n\n  {chinese}\n----\n====\nx", f"{chinese[:20]}字{chinese[21:]}\n \t\nHome", "ok\nHome\nHomes and gardens"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): (r.group_doc, r.group_line) for r in lines.groups(df).collect()}
+    assert got == {
+        (0, 0): (0, 0), (0, 1): (0, 1), (0, 2): (0, 2), (1, 0): (0, 0), (1, 2): (0, 1), (1, 3): (0, 2), (1, 4): (1, 4), (1, 5): (1, 5),
+        (2, 0): (0, 1), (2, 2): (2, 2), (3, 0): (3, 0), (3, 1): (2, 2), (3, 2): (3, 2),
+    }
+    assert {r.doc_id: r.text for r in lines.deduplicated(df).collect()} == {0: texts[0], 1: "\n====\nx", 2: " \t\nHome", 3: "ok\nHomes and gardens"}
+
+
 def test_licenses(docs, spark):
     assert [(r.doc_id, r.license, r.matched) for r in licenses.scan(docs).collect()] == [(46, "MIT", 5)]
     text = prose(7, 40) + " this work is licensed under a Creative   Commons Attribution-4.0 International license! " + prose(8, 10)
