@@ -382,6 +382,28 @@ def test_licenses(docs, spark):
     assert text[r[0].from_byte : r[0].to_byte].startswith("this work") and text[r[0].from_byte : r[0].to_byte].endswith("license")
 
 
+def test_templates_are_found_as_by_full_alignment():
+    every = licenses.all_templates()
+    ix = licenses.index(every)
+    r = random.Random(50)
+    for t, name in enumerate(ix["names"]):
+        known = re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), every[name]))
+        assert len(known) == len(ix["words"][t]), name
+        for gone in (0, len(known) // 10, len(known) // 5):
+            w = list(known)
+            for i in r.sample(range(len(w)), gone):
+                w[i] = "changed"
+            text = f"{prose(51, 30)} {' '.join(w)} {prose(52, 30)}".encode()
+            got = [m for m in licenses.matches(np.frombuffer(text, np.uint8), np.array([0, len(text)]), ix, 80) if m[1] == t]
+            full, _, _ = licenses.align(known, text.decode().split())
+            assert [m[2] for m in got] == [full], (name, gone)
+    mit = [ix["names"].index("MIT")]
+    for text, n in (("Released under MIT License", [4]), ("Released under the MIT License. a b c Released under the MIT License.", [5, 5])):
+        made = [m for m in licenses.matches(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), ix, 80) if m[1] in mit]
+        assert [m[2] for m in made] == n
+        assert made[0][3] == 0
+
+
 def test_counts(docs, rows):
     raw = bpe.raw_file(PATH)
     score = {p: s for p, s in zip(bpe.Vocabulary(raw).pieces.to_pylist(), counts.scores(50257).tolist()) if p}
