@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before kept.
 All but the last return the columns of ``documents``. Rows without a doc_id take no
-part in the duplicate stages and stay. No stage before packing changes an id.
+part in the duplicate stages and stay, but of rows that agree in doc_id and text, without
+one as well, one goes on. No stage before packing changes an id.
 """
 
 import public_tokenizers
@@ -27,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, and one of rows repeated with their doc_id."""
     return near.deduplicated(docs)
 
 

@@ -189,6 +189,6 @@ def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller doc_id."""
+    """``docs`` without the rows whose component has a smaller doc_id; of rows that agree in doc_id and text (nulls as well), one stays."""
     gone = linked(docs, k, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)

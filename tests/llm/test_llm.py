@@ -452,3 +452,47 @@ def test_pipeline_stages_keep_the_columns(spark, docs, rows, tmp_path):
     assert 13 in ids and 16 not in ids and 1 not in ids
     last = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert last == ids
+
+
+def test_pipeline_is_that_of_brute_force(spark, tmp_path):
+    one, two, three, four = (prose(60 + i, 90) for i in range(4))
+    passage, line = prose(70, 60), prose(71, 12)
+    near_one = one.split()
+    near_one[40] = "kkkk"
+    swap = two.split()
+    swap = " ".join(swap[45:] + swap[:45])
+    texts = [
+        (1, f"{one}\nclick\there {prose(72, 4)}"), (2, " ".join(near_one)), (3, f"{two}\n{line}"), (4, swap), (5, f"{three}\n{line.replace(line.split()[5], 'mnop')}\nTop"),
+        (6, f"{prose(73, 20)} {passage} {prose(74, 20)}\nTop"), (7, f"{prose(75, 20)} {passage} {prose(76, 20)}"), (8, "too short"), (9, four), (9, four), (None, prose(77, 40)), (None, prose(77, 40)),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars int")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+
+    # quality: of these texts, short ones and one line fail
+    docs = [(i, "\n".join(x for x in t.split("\n") if not x.startswith("click"))) for i, t in texts if len(t.split()) >= 20]
+    # lines
+    at = sorted({(i, n, x) for i, t in docs if i is not None for n, x in enumerate(t.split("\n"))})
+    best = {x[:2]: x[:2] for x in at}
+    for _ in at:
+        for x in at:
+            for y in at:
+                a, b = x[2].lower(), y[2].lower()
+                if lines.edits(a, b) * 5 <= max(len(a), len(b)):
+                    best[x[:2]] = best[y[:2]] = min(best[x[:2]], best[y[:2]])
+    docs = [(i, "\n".join(x for n, x in enumerate(t.split("\n")) if i is None or best[i, n] == (i, n))) for i, t in docs]
+    docs = [x for x in docs if x[1].strip()]
+    # near copies and repeated rows
+    sets = {i: shingles(t) for i, t in docs if i is not None}
+    gone = {i for i in sets for j in sets if j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    docs = list({x for x in docs if x[0] not in gone})
+    # passages
+    covered = windows_gone([x for x in docs if x[0] is not None], WORD.findall, 50)
+    kept = [(i, t if i is None or not any(covered[i][1]) else " ".join(w for w, g in zip(*covered[i]) if not g)) for i, t in docs]
+    assert 2 not in dict(kept) and 4 in gone and any(covered[7][1]) and len(kept) == 7
+
+    t = Tokenizer.from_file(PATH)
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in kept}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    made = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got)
+    assert made == Counter((i, 0, 0, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items())
+    assert all(sum(r.length for r in got if r.sequence_id == s) <= 2048 for s in {r.sequence_id for r in got})
