@@ -6,9 +6,11 @@ has both, so any two lines whose lengths allow the similarity have a gram size i
 Of 32 MinHash components, 24 triples are keys. Large keys are divided by length, which
 parts no two lines that can be links. Lines under a common key that agree in enough
 components are linked if their edit similarity, one minus the edit distance over the
-longer length, is 0.8 or more. A changed word leaves a similarity of gram sets of 0.55
-and more: all keys miss that with a probability of about 1 % at 0.55 and 0.01 % at 0.7.
-Edits scattered over all words can leave less and be missed. Equal normalised lines are
+longer length, is 0.8 or more. One changed stretch leaves
+a similarity of gram sets of about 0.5 and more in lines of over 25 bytes; were keys
+independent, all would miss that with a probability of 4 %, and 0.7 with 0.004 %. Shorter
+lines can be left with a third, and edits scattered over all words with less: these can
+be missed. Equal normalised lines are
 one node. Of each connected group the occurrence with the smallest doc_id and line
 number stays.
 
