@@ -5,9 +5,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orbframe.llm import bpe, counts, fmindex, licenses, lines, near, packing, quality, search, suffixes
+from orbframe.llm import bpe, counts, fmindex, lexical, licenses, lines, near, packing, pieces, quality, resample, search, suffixes
 
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,3 +171,66 @@ from d left join kept using (doc_id)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without passages of 50 words that an earlier one has, as digests."""
     return fmindex.removed(table(spark, sf_dir, "documents"))
+
+
+RANKED_SQL = r"""
+with t as materialized (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents
+), q as materialized (
+  select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+), d as materialized (select doc_id, count(*) as n from t group by 1
+), s as (select count(*) as docs_n, sum(n)::bigint as every from d
+), p as materialized (select doc_id, term, count(*) as tf from t where term in (select term from q) group by 1, 2
+), w as materialized (select term, floor(1000 * ln((2 * any_value(docs_n) + 2) / (2 * count(*) + 1)))::bigint as w from p, s group by 1
+), f as materialized (
+  select doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs_n) // every))) as f from p join d using (doc_id) join w using (term), s
+), r as (select item_id, doc_id, sum(f)::bigint as score from q join f using (term) group by 1, 2
+), o as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from r where score > 0)
+select item_id, rank::int as rank, doc_id, score from o where rank <= 10
+"""
+
+
+@query("op11_term_at_a_time", RANKED_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each item of the benchmark."""
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+_RUNS = r"""
+  select {id}, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]), list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as g
+  from (select {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from {table})
+"""
+RESAMPLED_SQL = rf"""
+with a as materialized ({_RUNS.format(id="doc_id", table="documents")}
+), b as materialized ({_RUNS.format(id="item_id", table="benchmark")}
+), g as materialized (select distinct g from (select g from a union all select g from b)
+), x as (select g, hex(encode(g)) as h from g
+), c as materialized (
+  -- a byte is taken in, then there are eight shifts
+  select g, (4294967295 - list_reduce(flatten(list_transform(generate_series(1, length(h), 2), lambda i: [(strpos('0123456789ABCDEF', h[i]) - 1) * 16 + strpos('0123456789ABCDEF', h[i + 1]) - 1, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda z, y: case when y >= 0 then xor(z, y) else xor(z >> 1, 3988292384 * (z & 1)) end, 4294967295::bigint)) % 10000 as bucket from x
+), n as materialized (select bucket, sum(s)::bigint as s, sum(t)::bigint as t from (
+    select bucket, 1 as s, 0 as t from a join c using (g) union all select bucket, 0, 1 from b join c using (g)) group by 1
+), whole as (select sum(s)::bigint as s, sum(t)::bigint as t from n
+), gain as materialized (select bucket, floor(1000 * ln(((n.t + 1) * (whole.s + 10000)) / ((n.s + 1) * (whole.t + 10000))))::bigint as gain from n, whole
+), f as materialized (select doc_id, count(*) as n_features, sum(gain)::bigint as weight from a join c using (g) join gain using (bucket) group by 1
+), d as materialized (
+  select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, ('0x' || sha256('42:' || doc_id)[:8])::bigint as h,
+    len(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) >= 20 as able
+  from documents left join f using (doc_id)
+), e as materialized (select *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0)))::bigint as score from d
+), r as (select *, row_number() over (partition by able order by score desc, doc_id) as place, count(*) over (partition by able) as n from e)
+select doc_id, n_features::bigint as n_features, weight, score, case when able and place <= 5 * n // 100 then place end as rank from r
+"""
+
+
+@query("op12_radix_resampling", RESAMPLED_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draw of five in a hundred documents, weighted towards the benchmark's texts."""
+    return resample.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_merge_rounds")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded texts of all documents under the vocabulary of pieces, as digests."""
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
