@@ -1,83 +1,137 @@
-"""Fuzzy line dedup: MinHash of byte grams, edit similarity, one line per group.
-
-A line is normalised (lower case, digits as 0, other marks as one space). Its features
-are its grams of 2, 3 or 5 bytes by its length; where two of these ranges overlap a line
-has both, so any two lines whose lengths allow the similarity have a gram size in common.
-Of 32 MinHash components, 24 triples are keys. Large keys are divided by length, which
-parts no two lines that can be links. Lines under a common key that agree in enough
-components are linked if their edit similarity, one minus the edit distance over the
-longer length, is 0.8 or more. One changed stretch leaves
-a similarity of gram sets of about 0.5 and more in lines of over 25 bytes; were keys
-independent, all would miss that with a probability of 4 %, and 0.7 with 0.004 %. Shorter
-lines can be left with a third, and edits scattered over all words with less: these can
-be missed. Equal normalised lines are
-one node. Of each connected group the occurrence with the smallest doc_id and line
-number stays.
+"""Fuzzy line dedup: SimHash over classes of words, pigeonhole blocks, edit similarity.
+
+A line is normalised (lower case, digits as 0, other marks as one space). Its tokens are
+its words; characters from U+0E00 up, whose scripts don't space words, are tokens each.
+A token's hash puts it into one of some classes, and each block of the line's SimHash sees
+the tokens of one class alone. A changed word is one token less and one more, so it touches
+two blocks at most, and by the pigeonhole principle the others are equal. What is joined on:
+
+- from 52 tokens, each of 16 blocks: up to 7 changed words leave two blocks as they were;
+- from 8 to 63 tokens, each two of 6 blocks together: up to 2 changed words leave two;
+- up to 9 tokens, the SimHash of the whole line, and of all its tokens but one, for each.
+
+More changes are found as long as one of these stays by chance. Ranges overlap, so lines
+of a few words more or less have a kind of key in common. A key holds two tokens at least,
+if the line has them, so lines of one or two tokens meet only if they are equal but for order.
+
+Under a key all lines are held against the one of the smallest hash; keys that then still
+hold several components compare across these, large ones by length (twice, so that lengths
+within 0.8 stay together). Lines are linked if their edit similarity, one minus the edit
+distance over the longer length, is 0.8 or more. Equal normalised lines are one node. Of
+each connected group the occurrence with the smallest doc_id and line number stays.
+
+Texts don't travel: a second pass over the documents picks the lines that are in pairs, by
+a bitmap of fixed size.
 
 Every line takes part that isn't blank, whatever its script. A line of marks alone is
 one node with lines of the same marks. Rows without doc_id have no lines here and stay.
-A null text has no lines. Rows that repeat a doc_id share their line numbers' fate. An
-empty table gives no rows. ``deduplicated`` keeps all columns.
+A null text has no lines. Rows that repeat a doc_id with other texts have lines each;
+those with the same text share their lines' fate. A text without breaks is one line; the
+edit distance of two lines of n characters that really differ takes n * n / 64 steps.
+An empty table gives no rows. ``deduplicated`` keeps all columns, whatever their names.
 """
 
+import itertools
 import math
 import os
+from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbframe.llm import text as T
-from orbframe.llm.graph import linked as linked_nodes
+from orbframe.llm.graph import components
 from orbframe.session import cut
 
-COMPONENTS, KEYS, ROWS = 32, 24, 3
-#: Bytes of a gram, and lengths of the lines (above, up to) that have such grams; 20/25 and 50/64 are no more than 0.8.
-GRAMS = ((2, 0, 25), (3, 20, 64), (5, 50, 1 << 40))
-#: Linked lines agree in so many components (of 8 bits) at least.
-AGREE = 4
-#: Keys with more nodes are divided by length.
+#: Classes of tokens, how many of them a key joins, and tokens of the lines (from, to) that have such keys.
+KINDS = ((16, 1, 52, 1 << 40), (6, 2, 8, 63))
+#: Tokens, at most, of lines with keys that leave out a token each.
+SHORT = 9
+#: Keys with more lines are divided by length before lines are compared across components.
 LARGE = 16
-_A = np.random.default_rng(17).integers(0, 2**63, COMPONENTS, np.uint64) * np.uint64(2) + np.uint64(1)
-_X = np.random.default_rng(18).integers(0, 2**64, COMPONENTS, np.uint64)
-_TRIPLES = np.array([np.random.default_rng(100 + i).permutation(COMPONENTS)[:ROWS] for i in range(KEYS)])
+#: Bits of the map of wanted lines, as a power of two.
+MAP_BITS = 25
 #: How bytes of ASCII are seen: letters in lower case, digits as 0, others as a space.
 _SEEN = np.arange(256, dtype=np.uint8)
 _SEEN[:128] = 32
 _SEEN[97:123] = _SEEN[65:91] = np.arange(97, 123)
 _SEEN[48:58] = 48
-
-
-def sketches(data, at):
-    """``lists, sketch`` for each line of ``data`` (normalised): its keys, and 8 bits of each component by gram size (0 where it has none)."""
-    n = np.diff(at)
-    sketch = np.zeros((len(n), len(GRAMS), COMPONENTS), np.uint8)
-    lines, keys = [], []
-    for g, (size, above, upto) in enumerate(GRAMS):
-        some = np.flatnonzero((n > above) & (n <= upto) & (n >= size))
+#: Four bits as four lanes of 16 bits.
+_LANES = np.array([sum((i >> j & 1) << (16 * j) for j in range(4)) for i in range(16)], np.uint64)
+
+
+def tokens(seen, edges):
+    """Start and end of each token of lines as they are seen, and the first token of each line (and of all)."""
+    if not len(seen):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(edges), np.int64)
+    inside = seen != 32
+    new = np.zeros(len(seen) + 5, bool)
+    new[edges] = True
+    after = np.r_[seen[1:], np.uint8(0)]
+    own = np.flatnonzero((seen >= 0xE1) | ((seen == 0xE0) & (after >= 0xB8)))
+    new[own] = new[own + 3 + (seen[own] >= 0xF0)] = True
+    new = new[: len(seen) + 1]
+    begin = inside & (np.r_[True, ~inside[:-1]] | new[:-1])
+    end = inside & (np.r_[~inside[1:], True] | new[1:])
+    starts = np.flatnonzero(begin)
+    return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, edges)
+
+
+def _key(ones, count, name):
+    """Keys of SimHashes, from how often each bit is set among ``count`` tokens."""
+    bits = np.packbits(ones > (count // 2).astype(np.uint16)[:, None], axis=1).view(np.uint64)[:, 0]
+    return T.mix(bits ^ T.mix(count.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(name)))
+
+
+def _lanes(hashes):
+    """The 64 bits of each hash as numbers of 16 bits, four in a word."""
+    return np.stack([_LANES[(hashes >> np.uint64(4 * i)) & np.uint64(15)] for i in range(16)], axis=1)
+
+
+def block_keys(seen, edges):
+    """Keys of each line, as a list array."""
+    starts, ends, first = tokens(seen, edges)
+    h, n = T.word_hashes(seen, starts, ends), np.diff(first)
+    row = T.rows_of(first)
+    mixed = T.mix(h)
+    lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for kind, (classes, joined, least, most) in enumerate(KINDS):
+        some = np.flatnonzero((n >= least) & (n <= most))
         if not len(some):
             continue
-        grams = T.fixed_hashes(data, size)
-        many = n[some] - size + 1
-        begin = np.cumsum(np.r_[0, many[:-1]])
-        grams = grams[np.arange(many.sum()) + np.repeat(at[some] - begin, many)]
-        least = np.empty((len(some), COMPONENTS), np.uint64)
-        for j in range(COMPONENTS):
-            least[:, j] = np.minimum.reduceat((grams ^ _X[j]) * _A[j], begin)
-        least = T.mix(least)
-        sketch[some, g] = (least >> np.uint64(56)).astype(np.uint8) | np.uint8(1)
-        for k, triple in enumerate(_TRIPLES):
-            key = np.full(len(some), g * KEYS + k + 1, np.uint64)
-            for j in triple:
-                key = T.mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, j])
-            lines.append(some)
-            keys.append(key)
-    order = np.argsort(np.concatenate([np.zeros(0, np.int64), *lines]), kind="stable")
-    count = np.bincount(np.concatenate([np.zeros(0, np.int64), *lines]), minlength=len(n))
-    keys = np.concatenate([np.zeros(0, np.uint64), *keys])[order].view(np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(keys))
-    return lists, pa.array([x.tobytes() for x in sketch], pa.binary())
+        place = np.full(len(n), -1, np.int64)
+        place[some] = np.arange(len(some))
+        mine = np.flatnonzero(place[row] >= 0)
+        group = place[row[mine]] * classes + ((h[mine] >> np.uint64(32 + 4 * kind)) % np.uint64(classes)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        held = np.bincount(group, minlength=len(some) * classes)
+        full = np.flatnonzero(held)
+        ones = np.zeros((len(held), 64), np.uint16)
+        ones[full] = np.add.reduceat(_lanes(mixed[mine[order]]), np.r_[0, np.cumsum(held[full])[:-1]], axis=0).view(np.uint16)
+        ones, held = ones.reshape(len(some), classes, 64), held.reshape(len(some), classes)
+        for which in itertools.combinations(range(classes), joined):
+            count = reduce(np.add, (held[:, c] for c in which))
+            good = count >= 2
+            lines.append(some[good])
+            keys.append(_key(reduce(np.add, (ones[good, c] for c in which)), count[good], kind << 16 | sum(1 << c for c in which)))
+    some = np.flatnonzero((n > 0) & (n <= SHORT))
+    if len(some):
+        mine = np.flatnonzero((n[row] <= SHORT))
+        lanes, count = _lanes(mixed[mine]), n[some]
+        whole = np.add.reduceat(lanes, np.r_[0, np.cumsum(count)[:-1]], axis=0)
+        lines.append(some)
+        keys.append(_key(whole.view(np.uint16), count, 1 << 18))
+        count = np.repeat(count, count)
+        good = count > 2
+        lines.append(row[mine][good])
+        keys.append(_key((np.repeat(whole, n[some], axis=0) - lanes)[good].view(np.uint16), count[good] - 1, 1 << 18))
+    lines, keys = np.concatenate(lines), np.concatenate(keys)
+    order = np.argsort(lines, kind="stable")
+    count = np.bincount(lines, minlength=len(n))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(keys[order].view(np.int64)))
 
 
 def spaced(data, starts, ends, words):
@@ -100,106 +154,109 @@ def hashed(data, edges):
     bare = np.diff(words) == 0
     if bare.any():  # marks alone, as they are
         raw, stops, first = T.words(data, edges)
-        marks = T.mix(T.hash_spans(T.word_hashes(data, raw, stops), first[:-1], first[1:]) ^ np.uint64(len(GRAMS)))
+        marks = T.mix(T.hash_spans(T.word_hashes(data, raw, stops), first[:-1], first[1:]) ^ np.uint64(3))
         whole[bare] = np.where(np.diff(first) > 0, marks, np.uint64(0))[bare]
     return starts, ends, words, whole
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, node`` of the lines that take part; line numbers start at 0."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, _, data, at in T.chunks(batch.column(1)):
-                breaks = np.flatnonzero(data == 10)
-                edges = np.unique(np.r_[at, breaks, len(data)])
-                row = np.searchsorted(at, edges[:-1], "right") - 1
-                start_of = np.searchsorted(edges, at)
-                whole = hashed(data, edges)[-1]
-                take = whole != 0
-                # edges hold each row's start and each line break; a row that starts with a break has one edge for both
-                number = np.arange(len(edges) - 1) - start_of[row] + (data[np.minimum(at[row], max(0, len(data) - 1))] == 10)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first + row[take]]), pa.array(number[take].astype(np.int32)), pa.array(whole[take].view(np.int64))], ["doc_id", "line_no", "node"])
-
-    docs = T.plain(docs).where("doc_id is not null and text is not null")
-    return docs.mapInArrow(run, "doc_id long, line_no int, node long")
+def lines_of(batches):
+    """``row, number, whole, words, data, edges`` of the lines in each run of texts: a line's row and number in it."""
+    for batch in batches:
+        for first, _, data, at in T.chunks(batch.column(batch.num_columns - 1)):
+            edges = np.unique(np.r_[at, np.flatnonzero(data == 10), len(data)])
+            row = np.searchsorted(at, edges[:-1], "right") - 1
+            # edges hold each row's start and each line break; a row that starts with a break has one edge for both
+            number = np.arange(len(edges) - 1) - np.searchsorted(edges, at)[row] + (data[np.minimum(at[row], max(0, len(data) - 1))] == 10)
+            *words, whole = hashed(data, edges)
+            yield batch, first + row, number.astype(np.int32), whole, words, data, edges
 
 
-def sketched(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, size, sketch, keys`` of the line at each node's place."""
+def occurrences(docs: DataFrame, keys: bool = False) -> DataFrame:
+    """``doc_id, row, line_no, node`` of the lines that take part (with ``size`` and ``keys``); line numbers start at 0, ``row`` is the text's hash."""
 
     def run(batches):
-        for batch in batches:
-            lines, wanted = batch.column(0), batch.column(1).to_pylist()
-            for first, last, data, at in T.chunks(lines):
-                breaks = np.flatnonzero(data == 10)
-                edges, node = [], []
-                low = np.searchsorted(breaks, at)
-                for i in range(last - first):
-                    cuts = np.r_[at[i] - 1, breaks[low[i] : low[i + 1]], at[i + 1]]
-                    for one in wanted[first + i]:
-                        if one["line_no"] < len(cuts) - 1:
-                            edges.append((cuts[one["line_no"]] + 1, cuts[one["line_no"] + 1]))
-                            node.append(one["node"])
-                edges = np.array(edges, np.int64).reshape(-1, 2)
-                n = edges[:, 1] - edges[:, 0]
-                begin = np.r_[0, np.cumsum(n)]
-                flat = data[np.arange(begin[-1]) + np.repeat(edges[:, 0] - begin[:-1], n)]
-                *seen, whole = hashed(flat, begin)
-                text, offsets = spaced(_SEEN[flat], *seen)
-                lists, sketch = sketches(text, offsets)
-                made = pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.diff(offsets)), sketch, lists], ["node", "size", "sketch", "keys"])
-                yield made.filter(pa.array(whole.view(np.int64) == np.array(node, np.int64)))  # another row of the doc_id may have the line
-
-    wanted = nodes.groupBy(F.col("place.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("node", "place.line_no")).alias("wanted"))
-    texts = T.plain(docs).where("text is not null").join(wanted, "doc_id")
-    return texts.select("text", "wanted").mapInArrow(run, "node long, size long, sketch binary, keys array<long>").dropDuplicates(["node"])
-
-
-def keys_of(nodes: DataFrame) -> DataFrame:
-    """``key, size, node`` of keys with several nodes; large ones go by length as well, twice, so that lengths within 0.8 have one in common."""
-    groups = nodes.select(F.explode("keys").alias("key"), "size", "node").groupBy("key").agg(F.collect_list(F.struct("size", "node")).alias("them"))
-    groups = groups.where(F.size("them") > 1).select("key", F.size("them").alias("n"), F.explode("them").alias("one")).select("key", "n", "one.*")
-    place = F.log(F.col("size").cast("double")) / (2 * math.log(1.25) + 1e-6)
-    parts = [F.xxhash64("key", F.lit(i), F.floor(place + i / 2)) for i in range(2)]
-    return cut(groups.select(F.explode(F.when(F.col("n") <= LARGE, F.array("key")).otherwise(F.array(*parts))).alias("key"), "size", "node"))
+        for batch, row, number, whole, words, data, edges in lines_of(batches):
+            take = whole != 0
+            of = pa.array(row[take])
+            made = [batch.column(0).take(of), batch.column(1).take(of), pa.array(number[take]), pa.array(whole[take].view(np.int64))]
+            names = ["doc_id", "row", "line_no", "node"]
+            if keys:
+                made += [pa.array(np.diff(edges)[take]), block_keys(_SEEN[data], edges).filter(pa.array(take))]
+                names += ["size", "keys"]
+            yield pa.RecordBatch.from_arrays(made, names)
 
+    docs = T.plain(docs).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
+    return docs.mapInArrow(run, "doc_id long, row long, line_no int, node long" + (", size long, keys array<long>" if keys else ""))
 
-def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
+def wanted_lines(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, line`` (normalised) of the lines of ``nodes``, read from the documents once more.
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs that agree in enough components and whose lines are similar in edits."""
-    for end in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}"), F.col("place").alias(f"at_{end}")), end)
+    A bitmap of ``2**MAP_BITS`` bits over the nodes' hashes goes to the tasks; what it lets through besides is dropped by the join.
+    """
+    place = nodes.select(F.shiftrightunsigned("node", 64 - MAP_BITS).alias("place"))
+    words = place.groupBy(F.shiftright("place", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 AS int)))").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << MAP_BITS - 6, np.uint64)
+    bitmap[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def agreeing(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, len(GRAMS), COMPONENTS) for i in (4, 5))
-                keep = pa.array((((x == y) & (x > 0)).sum(axis=2) >= AGREE).any(axis=1))
-                yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(4)], ["a", "b", "at_a", "at_b"])
-
-    # lengths in bytes differ by no more than three times the edits
-    pairs = pairs.where((F.greatest("n_a", "n_b") - F.least("n_a", "n_b")) * 100 <= 4 * (100 - percent) * F.greatest("n_a", "n_b")).select("a", "b", "at_a", "at_b", "s_a", "s_b")
-    place = "struct<doc_id: bigint, line_no: int>"
-    pairs = cut(pairs.mapInArrow(agreeing, f"a long, b long, at_a {place}, at_b {place}"))
-    wanted = pairs.select(F.col("a").alias("node"), F.col("at_a").alias("at")).union(pairs.select("b", "at_b")).distinct()
-    wanted = wanted.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("node", "at.line_no")).alias("wanted"))
-    texts = T.plain(docs).where("text is not null").join(wanted, "doc_id")
-    texts = texts.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("one")).select("one.node", normal(F.get("lines", F.col("one.line_no"))).alias("line"))
-    texts = cut(texts.dropDuplicates(["node"]))
-    for end in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("node").alias(end), F.col("line").alias(f"l_{end}")), end)
+    def run(batches):
+        seen_nodes: set[int] = set()
+        for _, _, _, whole, (starts, ends, first), data, edges in lines_of(batches):
+            place = (whole >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+            here = np.flatnonzero((shared.value[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1) == 1) & (whole != 0))
+            here = here[np.unique(whole[here], return_index=True)[1]]
+            here = here[[x not in seen_nodes for x in whole[here].tolist()]] if len(here) else here
+            if len(seen_nodes) > 1_000_000:
+                seen_nodes.clear()
+            seen_nodes.update(whole[here].tolist())
+            text, offsets = spaced(_SEEN[data], starts, ends, first)
+            lines = [text[offsets[i] : offsets[i + 1]].tobytes() for i in here.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(whole[here].view(np.int64)), pa.array(lines, pa.binary()).cast(pa.string())], ["node", "line"])
+
+    texts = T.plain(docs).where("doc_id is not null and text is not null").select("text")
+    return texts.mapInArrow(run, "node long, line string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose lines are similar in edits."""
+    texts = cut(wanted_lines(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+    # the other lines come to the line they are held against, whose text isn't repeated
+    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("line").alias("l_b")), "b")
+    both = with_b.join(texts.select(F.col("node").alias("a"), F.col("line").alias("l_a")), "a")
 
     def run(batches):
         for batch in batches:
             keep = pa.array([near_in_edits(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return pairs.select("a", "b", "l_a", "l_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "l_a", "l_b").mapInArrow(run, "a long, b long")
+
+
+def linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """``node, component`` of the links between ``nodes(node, size, keys)`` that share a key."""
+    # sizes in bytes of what is seen differ by no more than four bytes an edit
+    apart = lambda x, y: (F.greatest(x, y) - F.least(x, y)) * 100 <= 4 * (100 - percent) * F.greatest(x, y)
+    under = nodes.select(F.explode("keys").alias("key"), "node", "size")
+    first = F.first(F.struct("node", "size")).over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
+    star = under.withColumn("first", first).where("node <> first.node")
+    star = cut(star.select("key", F.col("first.node").alias("a"), F.col("first.size").alias("a_size"), F.col("node").alias("b"), "size"))
+    tried = cut(star.where(apart(F.col("a_size"), F.col("size"))).select("a", "b").distinct())
+    links = cut(confirmed(tried, docs, percent))
+    group = cut(components(links))
+    members = star.select("key", F.col("b").alias("node"), "size").union(star.select("key", "a", "a_size").distinct())
+    placed = members.join(group, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("c"))
+    open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
+    place = F.log(F.col("size").cast("double")) / (2 * math.log(1.25) + 1e-6)
+    parts = [F.xxhash64("key", F.lit(i), F.floor(place + i / 2)) for i in range(2)]
+    some = placed.join(open_, "key").select(F.explode(F.when(F.col("n") <= LARGE, F.array("key")).otherwise(F.array(*parts))).alias("key"), "node", "size", "c")
+    some = cut(some)
+    other = some.select("key", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("c").alias("d"))
+    more = some.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & apart(F.col("size"), F.col("b_size")))
+    more = cut(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    if more.isEmpty():
+        return group
+    return components(links.union(cut(confirmed(more, docs, percent))))
 
 
 def near_in_edits(x: str, y: str, percent: int) -> bool:
@@ -217,6 +274,9 @@ def near_in_edits(x: str, y: str, percent: int) -> bool:
         return True
     if abs(len(x) - len(y)) > allowed:
         return False
+    a, b = Counter(x), Counter(y)  # an edit mends one missing and one spare character at most
+    if max((a - b).total(), (b - a).total()) > allowed:
+        return False
     return edits(x, y) <= allowed
 
 
@@ -241,26 +301,32 @@ def edits(x: str, y: str) -> int:
 
 def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``doc_id, line_no, group_doc, group_line, kept``: each line that takes part, and the one that stays for it."""
-    made = cut(occurrences(docs))
-    place = F.min(F.struct("doc_id", "line_no")).alias("place")
-    nodes = cut(made.groupBy("node").agg(place))
-    nodes = cut(nodes.join(sketched(docs, nodes), "node"))
-    group = linked_nodes(nodes, keys_of, lambda pairs: confirmed(pairs, nodes, docs, percent))
-    found = nodes.join(group, "node", "left").select("node", "place", F.coalesce("component", "node").alias("component"))
+    return _groups(docs, percent).drop("row")
+
+
+def _groups(docs, percent):
+    place = F.min(F.struct("doc_id", "line_no", "row")).alias("place")
+    made = occurrences(docs, keys=True).groupBy("node").agg(place, F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = cut(made)
+    group = linked(nodes.select("node", "size", "keys"), docs, percent)
+    found = nodes.select("node", "place").join(group, "node", "left").select("node", "place", F.coalesce("component", "node").alias("component"))
     best = found.groupBy("component").agg(F.min("place").alias("best"))
     of_node = found.join(best, "component").select("node", "best")
-    kept = (F.col("doc_id") == F.col("best.doc_id")) & (F.col("line_no") == F.col("best.line_no"))
-    return made.join(of_node, "node").select("doc_id", "line_no", F.col("best.doc_id").alias("group_doc"), F.col("best.line_no").alias("group_line"), kept.alias("kept"))
+    kept = (F.col("doc_id") == F.col("best.doc_id")) & (F.col("line_no") == F.col("best.line_no")) & (F.col("row") == F.col("best.row"))
+    found = occurrences(docs).join(of_node, "node")
+    return found.select("doc_id", "row", "line_no", F.col("best.doc_id").alias("group_doc"), F.col("best.line_no").alias("group_line"), kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with repeated lines gone; a document of which nothing is left goes as well."""
-    gone = groups(docs, percent).where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("llm__gone"))
-    gone = gone.withColumnRenamed("doc_id", "llm__id")
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("llm__id"), "left")
-    left = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.array_contains("llm__gone", i)), "\n")
-    whole = F.col("llm__gone").isNull()
-    changes = {"text": F.when(whole, F.col("text")).otherwise(left)}
+    gone = _groups(docs, percent).where(~F.col("kept")).groupBy(F.col("doc_id").alias("i"), F.col("row").alias("h")).agg(F.collect_set("line_no").alias("gone"))
+    # the columns of docs are in a struct of their own, so no name clashes
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
+    text = F.col("d.text").cast("string")
+    joined = whole.join(gone, (F.col("d.doc_id").cast("long") == F.col("i")) & (F.xxhash64(text) == F.col("h")), "left")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    changes = {"text": F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(left)}
     if "n_chars" in docs.columns:
-        changes["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType)
-    return joined.withColumns(changes).where(whole | F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
+        changes["n_chars"] = F.when(F.col("gone").isNull(), F.col("d.n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType)
+    kept = joined.where(F.col("gone").isNull() | F.rlike(left, F.lit(r"[^\x20\x09-\x0D]")))
+    return kept.select(*(changes.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns))

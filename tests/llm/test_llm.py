@@ -327,22 +327,67 @@ def test_edit_similarity():
 
 
 def test_fuzzy_lines_meet(spark):
-    base = prose(20, 60)
-    rows = [(i, base if not i else base[: 5 * i] + "x" + base[5 * i + 1 :]) for i in range(30)]
-    got = lines.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    def simhash(t):
-        data, at = np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])
-        starts, ends, first = lines.T.words(lines._SEEN[data], at)
-        return int(lines.simhashes(lines.T.word_hashes(lines._SEEN[data], starts, ends), first)[0])
-
-    hashes = {i: simhash(t) for i, t in rows}
-    at = {i: i for i in hashes}
-    for _ in hashes:
-        for i in hashes:
-            for j in hashes:
-                if (hashes[i] ^ hashes[j]).bit_count() <= 3:
-                    at[i] = at[j] = min(at[i], at[j])
-    assert {r.doc_id: r.group_doc for r in got} == at
+    """The groups of all lines are those of all pairs of lines within 0.8, if one word differs at most."""
+    r = random.Random(21)
+    rows = []
+    for g in range(25):
+        base = prose(2000 + g, r.choice([3, 6, 9, 20, 55, 70])).split()
+        for _ in range(r.randint(1, 6)):
+            w = list(base)
+            if (k := r.randrange(4)) < 2:
+                w[r.randrange(len(w))] = "".join(r.choice("klmnop") for _ in range(r.randint(1, 9)))
+            elif k == 2:
+                w.insert(r.randrange(len(w)), "more")
+            rows.append("  ".join(w).upper() if r.random() < 0.3 else " ".join(w))
+    docs = [(i // 3, "\n".join(rows[i : i + 3])) for i in range(0, len(rows), 3)]
+    at = [(i, n, x.lower().split()) for i, t in docs for n, x in enumerate(t.split("\n"))]
+    best = {x[:2]: x[:2] for x in at}
+    links = []
+    for x in at:
+        for y in at:
+            one, other = Counter(x[2]), Counter(y[2])
+            a, b = " ".join(x[2]), " ".join(y[2])
+            if (one - other).total() <= 1 and (other - one).total() <= 1 and lines.edits(a, b) * 5 <= max(len(a), len(b)):
+                links.append((x[:2], y[:2]))
+    for _ in range(12):
+        for x, y in links:
+            best[x] = best[y] = min(best[x], best[y])
+    got = {(x.doc_id, x.line_no): (x.group_doc, x.group_line) for x in lines.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(got) == set(best)
+    assert {x for x, y in links if got[x] != got[y]} == set()
+    # what is linked besides is within 0.8 as well, through others
+    whole = {x[:2]: " ".join(x[2]) for x in at}
+    for x, y in got.items():
+        same = [z for z in got if got[z] == y and z != x]
+        assert x == y or any(lines.edits(whole[x], whole[z]) * 5 <= max(len(whole[x]), len(whole[z])) for z in same)
+
+
+@pytest.mark.parametrize("words,changes", [(12, 2), (30, 2), (60, 5), (100, 7)])
+def test_lines_with_several_changed_words_meet(spark, words, changes):
+    r = random.Random(words)
+    rows = []
+    for i in range(60):
+        w = prose(3000 * words + i, words).split()
+        changed = list(w)
+        for k in r.sample(range(words), changes):
+            changed[k] = w[k][::-1][:3] + "k"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(changed))]
+    near = [i for i in range(0, 120, 2) if lines.near_in_edits(rows[i][1], rows[i + 1][1], 80)]
+    got = {x.doc_id: x.group_doc for x in lines.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 20 and sum(got[i + 1] == got[i] for i in near) >= 0.9 * len(near)
+
+
+def test_rows_that_repeat_a_doc_id_have_lines_each(spark):
+    one, two = f"{prose(80, 9)}\n{prose(81, 9)}", f"{prose(82, 9)}\n{prose(81, 9)}\n{prose(83, 9)}"
+    df = spark.createDataFrame([(1, one), (1, two), (1, one), (2, prose(82, 9))], "doc_id long, text string")
+    assert Counter(lines.deduplicated(df).collect()) == Counter([(1, one), (1, one), (1, f"{prose(82, 9)}\n{prose(83, 9)}")]) or Counter(
+        lines.deduplicated(df).collect()) == Counter([(1, prose(80, 9)), (1, prose(80, 9)), (1, two)])
+
+
+def test_a_line_of_a_megabyte(spark):
+    long = "-".join(prose(90, 500) for _ in range(400))
+    df = spark.createDataFrame([(1, long), (2, long[:500_000] + "x" + long[500_001:]), (3, "x" * 1_000_000)], "doc_id long, text string")
+    assert {r.doc_id: r.group_doc for r in lines.groups(df).collect()} == {1: 1, 2: 1, 3: 3}
 
 
 @pytest.mark.parametrize("words", [6, 8, 12, 20, 50])
