@@ -6,19 +6,25 @@ A token's hash puts it into one of some classes, and each block of the line's Si
 the tokens of one class alone. A changed word is one token less and one more, so it touches
 two blocks at most, and by the pigeonhole principle the others are equal. What is joined on:
 
-- from 52 tokens, each of 16 blocks: up to 7 changed words leave two blocks as they were;
-- from 8 to 63 tokens, each two of 6 blocks together: up to 2 changed words leave two;
+- from 92 tokens, each of 16 blocks: up to 7 changed words leave two blocks as they were;
+- from 22 to 100 tokens, each of 8 blocks: up to 3 changed words leave two;
+- from 8 to 24 tokens, each two of 6 blocks together: up to 2 changed words leave two blocks;
 - up to 9 tokens, the SimHash of the whole line, and of all its tokens but one, for each.
 
 More changes are found as long as one of these stays by chance. Ranges overlap, so lines
-of a few words more or less have a kind of key in common. A key holds two tokens at least,
-if the line has them, so lines of one or two tokens meet only if they are equal but for order.
-
-Under a key all lines are held against the one of the smallest hash; keys that then still
-hold several components compare across these, large ones by length (twice, so that lengths
-within 0.8 stay together). Lines are linked if their edit similarity, one minus the edit
-distance over the longer length, is 0.8 or more. Equal normalised lines are one node. Of
-each connected group the occurrence with the smallest doc_id and line number stays.
+of a few words more or less have a kind of key in common. A key holds three tokens at least
+(in lines of up to 15 tokens two, if the line has them), so lines of one or two tokens meet
+only if they are equal but for order.
+
+Each key comes with the SimHash of the whole line (57 bits) and the class of its length.
+Lines that differ in more than 18 bits or by more than two classes (a class is a quarter
+longer than the one before) are no candidates; lines within 0.8 by a few changed words
+differ in 12 bits, with a deviation of 3. Under a key all lines are held against the one
+of the smallest hash; keys that then still hold several components compare across these,
+large ones by length (twice, so that lengths within 0.8 stay together). Lines are linked
+if their edit similarity, one minus the edit distance over the longer length, is 0.8 or
+more. Equal normalised lines are one node. Of each connected group the occurrence with the
+smallest doc_id and line number stays.
 
 Texts don't travel: a second pass over the documents picks the lines that are in pairs, by
 a bitmap of fixed size.
@@ -32,7 +38,6 @@ An empty table gives no rows. ``deduplicated`` keeps all columns, whatever their
 """
 
 import itertools
-import math
 import os
 from collections import Counter
 from functools import reduce
@@ -47,11 +52,15 @@ from orbframe.llm.graph import components
 from orbframe.session import cut
 
 #: Classes of tokens, how many of them a key joins, and tokens of the lines (from, to) that have such keys.
-KINDS = ((16, 1, 52, 1 << 40), (6, 2, 8, 63))
+KINDS = ((16, 1, 92, 1 << 40), (8, 1, 22, 100), (6, 2, 8, 24))
+#: Tokens of a key, at least (two in lines of fewer than FEW tokens).
+LEAST, FEW = 3, 16
 #: Tokens, at most, of lines with keys that leave out a token each.
 SHORT = 9
 #: Keys with more lines are divided by length before lines are compared across components.
 LARGE = 16
+#: Bits that the SimHashes of candidates differ in, at most; and the lowest bits of a sketch: class of length, mark of short lines.
+APART, LENGTH, IS_SHORT, LOW = 18, 63, 64, 7
 #: Bits of the map of wanted lines, as a power of two.
 MAP_BITS = 25
 #: How bytes of ASCII are seen: letters in lower case, digits as 0, others as a space.
@@ -92,7 +101,7 @@ def _lanes(hashes):
 
 
 def block_keys(seen, edges):
-    """Keys of each line, as a list array."""
+    """The line of each key, the keys, and each line's sketch: SimHash of all its tokens, whether they are few, class of length."""
     starts, ends, first = tokens(seen, edges)
     h, n = T.word_hashes(seen, starts, ends), np.diff(first)
     row = T.rows_of(first)
@@ -114,9 +123,20 @@ def block_keys(seen, edges):
         ones, held = ones.reshape(len(some), classes, 64), held.reshape(len(some), classes)
         for which in itertools.combinations(range(classes), joined):
             count = reduce(np.add, (held[:, c] for c in which))
-            good = count >= 2
+            good = count >= np.where(n[some] < FEW, 2, LEAST)
             lines.append(some[good])
             keys.append(_key(reduce(np.add, (ones[good, c] for c in which)), count[good], kind << 16 | sum(1 << c for c in which)))
+    whole = np.zeros((len(n), 64), np.uint16)
+    some = np.flatnonzero(n)
+    if len(some):
+        whole[some] = np.add.reduceat(_lanes(mixed), first[some], axis=0).view(np.uint16)
+    bits = np.packbits(whole > (n // 2).astype(np.uint16)[:, None], axis=1).view(np.int64)[:, 0] if len(n) else np.zeros(0, np.int64)
+    # characters of the line with one space between words, as its text will have it
+    chars = np.r_[0, np.cumsum((seen & 0xC0) != 0x80)]
+    gap = np.r_[False, starts[1:] > ends[:-1]] if len(starts) else np.zeros(0, bool)
+    wide = np.bincount(row, chars[ends] - chars[starts] + gap, len(n))
+    length = np.minimum(LENGTH, np.floor(np.log(np.maximum(wide, 1)) / np.log(1.25))).astype(np.int64)
+    sketch = bits & ~np.int64((1 << LOW) - 1) | np.where(n <= SHORT, IS_SHORT, 0) | length
     some = np.flatnonzero((n > 0) & (n <= SHORT))
     if len(some):
         mine = np.flatnonzero((n[row] <= SHORT))
@@ -128,10 +148,7 @@ def block_keys(seen, edges):
         good = count > 2
         lines.append(row[mine][good])
         keys.append(_key((np.repeat(whole, n[some], axis=0) - lanes)[good].view(np.uint16), count[good] - 1, 1 << 18))
-    lines, keys = np.concatenate(lines), np.concatenate(keys)
-    order = np.argsort(lines, kind="stable")
-    count = np.bincount(lines, minlength=len(n))
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(keys[order].view(np.int64)))
+    return np.concatenate(lines), np.concatenate(keys).view(np.int64), sketch
 
 
 def spaced(data, starts, ends, words):
@@ -171,22 +188,44 @@ def lines_of(batches):
             yield batch, first + row, number.astype(np.int32), whole, words, data, edges
 
 
-def occurrences(docs: DataFrame, keys: bool = False) -> DataFrame:
-    """``doc_id, row, line_no, node`` of the lines that take part (with ``size`` and ``keys``); line numbers start at 0, ``row`` is the text's hash."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """``doc_id, row, line_no, node`` of the lines that take part; line numbers start at 0, ``row`` is the text's hash."""
 
     def run(batches):
-        for batch, row, number, whole, words, data, edges in lines_of(batches):
+        for batch, row, number, whole, _, _, _ in lines_of(batches):
             take = whole != 0
             of = pa.array(row[take])
-            made = [batch.column(0).take(of), batch.column(1).take(of), pa.array(number[take]), pa.array(whole[take].view(np.int64))]
-            names = ["doc_id", "row", "line_no", "node"]
-            if keys:
-                made += [pa.array(np.diff(edges)[take]), block_keys(_SEEN[data], edges).filter(pa.array(take))]
-                names += ["size", "keys"]
-            yield pa.RecordBatch.from_arrays(made, names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(number[take]), pa.array(whole[take].view(np.int64))], ["doc_id", "row", "line_no", "node"])
 
     docs = T.plain(docs).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
-    return docs.mapInArrow(run, "doc_id long, row long, line_no int, node long" + (", size long, keys array<long>" if keys else ""))
+    return docs.mapInArrow(run, "doc_id long, row long, line_no int, node long")
+
+
+def _new(nodes, seen: set):
+    """Places of nodes that a task meets for the first time, as far as it remembers."""
+    first = np.sort(np.unique(nodes, return_index=True)[1])
+    fresh = first[[x not in seen for x in nodes[first].tolist()]] if len(first) else first
+    if len(seen) > 1_000_000:
+        seen.clear()
+    seen.update(nodes[fresh].tolist())
+    return fresh
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``key, node, sketch`` for each key of each line; a line that repeats in a task is given once."""
+
+    def run(batches):
+        met: set[int] = set()
+        for _, _, _, whole, _, data, edges in lines_of(batches):
+            lines, keys, sketch = block_keys(_SEEN[data], edges)
+            fresh = np.zeros(len(whole), bool)
+            fresh[_new(whole, met)] = True
+            fresh &= whole != 0
+            lines, keys = lines[fresh[lines]], keys[fresh[lines]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(whole[lines].view(np.int64)), pa.array(sketch[lines])], ["key", "node", "sketch"])
+
+    texts = T.plain(docs).where("doc_id is not null and text is not null").select("text")
+    return texts.mapInArrow(run, "key long, node long, sketch long")
 
 
 def wanted_lines(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -201,15 +240,11 @@ def wanted_lines(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
-        seen_nodes: set[int] = set()
+        met: set[int] = set()
         for _, _, _, whole, (starts, ends, first), data, edges in lines_of(batches):
             place = (whole >> np.uint64(64 - MAP_BITS)).astype(np.int64)
             here = np.flatnonzero((shared.value[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1) == 1) & (whole != 0))
-            here = here[np.unique(whole[here], return_index=True)[1]]
-            here = here[[x not in seen_nodes for x in whole[here].tolist()]] if len(here) else here
-            if len(seen_nodes) > 1_000_000:
-                seen_nodes.clear()
-            seen_nodes.update(whole[here].tolist())
+            here = here[_new(whole[here], met)]
             text, offsets = spaced(_SEEN[data], starts, ends, first)
             lines = [text[offsets[i] : offsets[i + 1]].tobytes() for i in here.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(whole[here].view(np.int64)), pa.array(lines, pa.binary()).cast(pa.string())], ["node", "line"])
@@ -233,26 +268,31 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "l_a", "l_b").mapInArrow(run, "a long, b long")
 
 
-def linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """``node, component`` of the links between ``nodes(node, size, keys)`` that share a key."""
-    # sizes in bytes of what is seen differ by no more than four bytes an edit
-    apart = lambda x, y: (F.greatest(x, y) - F.least(x, y)) * 100 <= 4 * (100 - percent) * F.greatest(x, y)
-    under = nodes.select(F.explode("keys").alias("key"), "node", "size")
-    first = F.first(F.struct("node", "size")).over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-    star = under.withColumn("first", first).where("node <> first.node")
-    star = cut(star.select("key", F.col("first.node").alias("a"), F.col("first.size").alias("a_size"), F.col("node").alias("b"), "size"))
-    tried = cut(star.where(apart(F.col("a_size"), F.col("size"))).select("a", "b").distinct())
+def _alike(a: str, b: str):
+    """Whether two sketches can be those of linked lines."""
+    return F.expr(f"abs(({a} & {LENGTH}) - ({b} & {LENGTH})) <= 2 and (({a} | {b}) & {IS_SHORT} > 0 or bit_count(shiftrightunsigned({a} ^ {b}, {LOW})) <= {APART})")
+
+
+def linked(docs: DataFrame, percent: int) -> DataFrame:
+    """``node, component`` of the links between lines that share a key."""
+    under = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    star = keyed(docs).withColumn("first", F.first(F.struct("node", "sketch")).over(under)).where("node <> first.node")
+    star = cut(star.select("key", F.col("first.node").alias("a"), F.col("first.sketch").alias("a_sketch"), F.col("node").alias("b"), "sketch"))
+    tried = cut(star.where(_alike("a_sketch", "sketch")).select("a", "b").distinct())
     links = cut(confirmed(tried, docs, percent))
     group = cut(components(links))
-    members = star.select("key", F.col("b").alias("node"), "size").union(star.select("key", "a", "a_size").distinct())
-    placed = members.join(group, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("c"))
-    open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
-    place = F.log(F.col("size").cast("double")) / (2 * math.log(1.25) + 1e-6)
-    parts = [F.xxhash64("key", F.lit(i), F.floor(place + i / 2)) for i in range(2)]
-    some = placed.join(open_, "key").select(F.explode(F.when(F.col("n") <= LARGE, F.array("key")).otherwise(F.array(*parts))).alias("key"), "node", "size", "c")
-    some = cut(some)
-    other = some.select("key", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("c").alias("d"))
-    more = some.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & apart(F.col("size"), F.col("b_size")))
+    # keys that still hold several components: a key's first line and all others
+    to = lambda end: group.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
+    placed = star.join(to("b"), "b", "left").join(to("a"), "a", "left")
+    placed = placed.withColumns({"a_c": F.coalesce("a_c", "a"), "b_c": F.coalesce("b_c", "b")})
+    held = placed.groupBy("key").agg(F.first(F.struct(F.col("a").alias("node"), F.col("a_sketch").alias("sketch"), F.col("a_c").alias("c"))).alias("one"), F.count("*").alias("n"), F.bool_or(F.col("a_c") != F.col("b_c")).alias("open"))
+    held = held.where("open")
+    some = placed.join(held.select("key", "n"), "key").select("key", "n", F.col("b").alias("node"), "sketch", F.col("b_c").alias("c"))
+    some = some.union(held.select("key", "n", "one.*"))
+    parts = [F.expr(f"xxhash64(key, {i}, ((sketch & {LENGTH}) + {2 * i}) div 4)") for i in range(2)]
+    some = cut(some.select(F.explode(F.when(F.col("n") <= LARGE, F.array("key")).otherwise(F.array(*parts))).alias("key"), "node", "sketch", "c"))
+    other = some.select("key", F.col("node").alias("b"), F.col("sketch").alias("b_sketch"), F.col("c").alias("d"))
+    more = some.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _alike("sketch", "b_sketch"))
     more = cut(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     if more.isEmpty():
         return group
@@ -305,16 +345,11 @@ def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def _groups(docs, percent):
-    place = F.min(F.struct("doc_id", "line_no", "row")).alias("place")
-    made = occurrences(docs, keys=True).groupBy("node").agg(place, F.first("size").alias("size"), F.first("keys").alias("keys"))
-    nodes = cut(made)
-    group = linked(nodes.select("node", "size", "keys"), docs, percent)
-    found = nodes.select("node", "place").join(group, "node", "left").select("node", "place", F.coalesce("component", "node").alias("component"))
-    best = found.groupBy("component").agg(F.min("place").alias("best"))
-    of_node = found.join(best, "component").select("node", "best")
+    made = cut(occurrences(docs))
+    placed = made.join(linked(docs, percent), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = placed.groupBy("component").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("best"))
     kept = (F.col("doc_id") == F.col("best.doc_id")) & (F.col("line_no") == F.col("best.line_no")) & (F.col("row") == F.col("best.row"))
-    found = occurrences(docs).join(of_node, "node")
-    return found.select("doc_id", "row", "line_no", F.col("best.doc_id").alias("group_doc"), F.col("best.line_no").alias("group_line"), kept.alias("kept"))
+    return placed.join(best, "component").select("doc_id", "row", "line_no", F.col("best.doc_id").alias("group_doc"), F.col("best.line_no").alias("group_line"), kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
