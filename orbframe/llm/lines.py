@@ -3,11 +3,11 @@
 A line is normalised (lower case, digits as 0, other marks as one space). Its tokens are
 its words; characters from U+0E00 up, whose scripts don't space words, are tokens each.
 A token's hash puts it into one of some classes, and each block of the line's SimHash sees
-the tokens of one class alone. A changed word is one token less and one more, so it touches
+the tokens of one class alone, each once. A changed word is one token less and one more, so it touches
 two blocks at most, and by the pigeonhole principle the others are equal. What is joined on:
 
-- from 92 tokens, each of 16 blocks: up to 7 changed words leave two blocks as they were;
-- from 22 to 100 tokens, each of 8 blocks: up to 3 changed words leave two;
+- from 160 tokens, each of 16 blocks: up to 7 changed words leave two blocks as they were;
+- from 22 to 180 tokens, each of 8 blocks: up to 3 changed words leave two;
 - from 8 to 24 tokens, each two of 6 blocks together: up to 2 changed words leave two blocks;
 - up to 9 tokens, the SimHash of the whole line, and of all its tokens but one, for each.
 
@@ -16,10 +16,13 @@ of a few words more or less have a kind of key in common. A key holds three toke
 (in lines of up to 15 tokens two, if the line has them), so lines of one or two tokens meet
 only if they are equal but for order.
 
-Each key comes with the SimHash of the whole line (57 bits) and the class of its length.
-Lines that differ in more than 18 bits or by more than two classes (a class is a quarter
-longer than the one before) are no candidates; lines within 0.8 by a few changed words
-differ in 12 bits, with a deviation of 3. Under a key all lines are held against the one
+Each key comes with the SimHash of the line's neighbouring tokens (57 bits) and the class of
+its length. Lines that differ in more than 21 bits or by more than two classes (a class is a
+quarter longer than the one before) are no candidates, if they have more than 9 tokens;
+lines with two changed words of twelve differ in 16 bits, with a deviation of 3.5, and less
+if a smaller share has changed.
+
+Under a key all lines are held against the one
 of the smallest hash; keys that then still hold several components compare across these,
 large ones by length (twice, so that lengths within 0.8 stay together). Lines are linked
 if their edit similarity, one minus the edit distance over the longer length, is 0.8 or
@@ -52,7 +55,7 @@ from orbframe.llm.graph import components
 from orbframe.session import cut
 
 #: Classes of tokens, how many of them a key joins, and tokens of the lines (from, to) that have such keys.
-KINDS = ((16, 1, 92, 1 << 40), (8, 1, 22, 100), (6, 2, 8, 24))
+KINDS = ((16, 1, 160, 1 << 40), (8, 1, 22, 180), (6, 2, 8, 24))
 #: Tokens of a key, at least (two in lines of fewer than FEW tokens).
 LEAST, FEW = 3, 16
 #: Tokens, at most, of lines with keys that leave out a token each.
@@ -60,7 +63,7 @@ SHORT = 9
 #: Keys with more lines are divided by length before lines are compared across components.
 LARGE = 16
 #: Bits that the SimHashes of candidates differ in, at most; and the lowest bits of a sketch: class of length, mark of short lines.
-APART, LENGTH, IS_SHORT, LOW = 18, 63, 64, 7
+APART, LENGTH, IS_SHORT, LOW = 21, 63, 64, 7
 #: Bits of the map of wanted lines, as a power of two.
 MAP_BITS = 25
 #: How bytes of ASCII are seen: letters in lower case, digits as 0, others as a space.
@@ -100,12 +103,23 @@ def _lanes(hashes):
     return np.stack([_LANES[(hashes >> np.uint64(4 * i)) & np.uint64(15)] for i in range(16)], axis=1)
 
 
+def _once(row, values):
+    """Marks one of those tokens of a row that are equal."""
+    key = T.mix(values + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(key)
+    new = np.r_[True, key[order][1:] != key[order][:-1]] if len(row) else np.zeros(0, bool)
+    out = np.zeros(len(row), bool)
+    out[order] = new
+    return out
+
+
 def block_keys(seen, edges):
     """The line of each key, the keys, and each line's sketch: SimHash of all its tokens, whether they are few, class of length."""
     starts, ends, first = tokens(seen, edges)
     h, n = T.word_hashes(seen, starts, ends), np.diff(first)
     row = T.rows_of(first)
     mixed = T.mix(h)
+    once = _once(row, h)
     lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for kind, (classes, joined, least, most) in enumerate(KINDS):
         some = np.flatnonzero((n >= least) & (n <= most))
@@ -113,7 +127,7 @@ def block_keys(seen, edges):
             continue
         place = np.full(len(n), -1, np.int64)
         place[some] = np.arange(len(some))
-        mine = np.flatnonzero(place[row] >= 0)
+        mine = np.flatnonzero((place[row] >= 0) & once)
         group = place[row[mine]] * classes + ((h[mine] >> np.uint64(32 + 4 * kind)) % np.uint64(classes)).astype(np.int64)
         order = np.argsort(group, kind="stable")
         held = np.bincount(group, minlength=len(some) * classes)
@@ -126,11 +140,17 @@ def block_keys(seen, edges):
             good = count >= np.where(n[some] < FEW, 2, LEAST)
             lines.append(some[good])
             keys.append(_key(reduce(np.add, (ones[good, c] for c in which)), count[good], kind << 16 | sum(1 << c for c in which)))
+    # neighbouring tokens, the line's two ends among them
+    before = np.r_[np.uint64(0), h[:-1]] if len(h) else h
+    before = np.where(np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool), np.uint64(1), before)
+    pair = T.mix(T.mix(before) + h * np.uint64(0x9E3779B97F4A7C15))
+    alone = np.flatnonzero(_once(row, pair))
+    held = np.bincount(row[alone], minlength=len(n))
+    some = np.flatnonzero(held)
     whole = np.zeros((len(n), 64), np.uint16)
-    some = np.flatnonzero(n)
     if len(some):
-        whole[some] = np.add.reduceat(_lanes(mixed), first[some], axis=0).view(np.uint16)
-    bits = np.packbits(whole > (n // 2).astype(np.uint16)[:, None], axis=1).view(np.int64)[:, 0] if len(n) else np.zeros(0, np.int64)
+        whole[some] = np.add.reduceat(_lanes(pair[alone]), np.r_[0, np.cumsum(held[some])[:-1]], axis=0).view(np.uint16)
+    bits = np.packbits(whole > (held // 2).astype(np.uint16)[:, None], axis=1).view(np.int64)[:, 0] if len(n) else np.zeros(0, np.int64)
     # characters of the line with one space between words, as its text will have it
     chars = np.r_[0, np.cumsum((seen & 0xC0) != 0x80)]
     gap = np.r_[False, starts[1:] > ends[:-1]] if len(starts) else np.zeros(0, bool)
