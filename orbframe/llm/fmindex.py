@@ -211,7 +211,8 @@ def windows_repeated(known: DataFrame, size: int) -> DataFrame:
             for ids, flagged, data, at in repeats.chunks(batch, 3):
                 rows = []
                 for i, h, a, b, (own, (starts, ends), unit) in repeats.by_row(flagged, data, at, of):
-                    rows += [(x, ids[i], y, own[starts[unit + y] : ends[unit + z + size - 1]].tobytes()) for x, y, z in zip(h.view(np.int64).tolist(), a.tolist(), b.tolist())]
+                    mark = repeats.marked(0, data[at[i] : at[i + 1]])
+                    rows += [(x, ids[i], mark + y, own[starts[unit + y] : ends[unit + z + size - 1]].tobytes()) for x, y, z in zip(h.view(np.int64).tolist(), a.tolist(), b.tolist())]
                 yield pa.RecordBatch.from_pylist([dict(zip(("h", "doc_id", "start", "span"), r)) for r in rows], pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("span", pa.binary())]))
 
     def answer(batches):
@@ -246,6 +247,7 @@ def kept_words(batch, data, at, of, size: int):
         gone[first[i] : first[i + 1]] |= repeats.covered_units(first[i + 1] - first[i], a, b, size)
     for i, s in enumerate(batch.column(3).to_pylist()):
         if s:
+            s = repeats.own(s, data[at[i] : at[i + 1]])
             gone[first[i] : first[i + 1]] |= repeats.covered_units(first[i + 1] - first[i], s, s, size)
     text, keep = data.copy(), np.zeros(len(data) + 1, np.int64)
     row_end = at[1:][np.repeat(np.arange(len(at) - 1), np.diff(first))]
@@ -283,12 +285,16 @@ def deduplicated(docs: DataFrame, size: int = 50) -> DataFrame:
 
     def finish(batch, data, at):
         _, out, kept = kept_words(batch, data, at, of, size)
-        some = out > 0
-        return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(some)), pa.array([k.decode() for k, s in zip(kept, some) if s], pa.string())], ["llm__id", "llm__text"])
-
-    changed = _resolved(docs, size, finish, "llm__id long, llm__text string").dropDuplicates(["llm__id"])
-    joined = docs.join(changed, F.col("doc_id").cast("long") == F.col("llm__id"), "left")
-    changes = {"text": F.coalesce("llm__text", F.col("text"))}
+        some = np.flatnonzero(out > 0).tolist()
+        whole = [hashlib.md5(data[at[i] : at[i + 1]]).hexdigest() for i in some]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some, pa.int64())), pa.array(whole, pa.string()), pa.array([kept[i].decode() for i in some], pa.string())], ["id", "whole", "left"])
+
+    changed = _resolved(docs, size, finish, "id long, whole string, left string").dropDuplicates(["id", "whole"])
+    # the columns of docs are in a struct of their own, so no name clashes
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
+    joined = rows.join(changed, (F.col("d.doc_id").cast("long") == F.col("id")) & (F.md5(F.col("d.text").cast("string").cast("binary")) == F.col("whole")), "left")
+    changes = {"text": F.coalesce("left", F.col("d.text"))}
     if "n_chars" in docs.columns:
-        changes["n_chars"] = F.coalesce(F.length("llm__text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return joined.where(F.col("llm__text").isNull() | (F.length("llm__text") > 0)).withColumns(changes).select(*docs.columns)
+        changes["n_chars"] = F.coalesce(F.length("left"), F.col("d.n_chars")).cast(docs.schema["n_chars"].dataType)
+    kept = joined.where(F.col("left").isNull() | (F.length("left") > 0))
+    return kept.select(*(changes.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns))

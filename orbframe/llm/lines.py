@@ -6,8 +6,8 @@ A token's hash puts it into one of some classes, and each block of the line's Si
 the tokens of one class alone, each once. A changed word is one token less and one more, so it touches
 two blocks at most, and by the pigeonhole principle the others are equal. What is joined on:
 
-- from 160 tokens, each of 16 blocks: up to 7 changed words leave two blocks as they were;
-- from 22 to 180 tokens, each of 8 blocks: up to 3 changed words leave two;
+- from 84 tokens, each of 16 blocks: up to 7 changed words leave two blocks as they were;
+- from 22 to 94 tokens, each of 8 blocks: up to 3 changed words leave two;
 - from 8 to 24 tokens, each two of 6 blocks together: up to 2 changed words leave two blocks;
 - up to 9 tokens, the SimHash of the whole line, and of all its tokens but one, for each.
 
@@ -29,8 +29,8 @@ if their edit similarity, one minus the edit distance over the longer length, is
 more. Equal normalised lines are one node. Of each connected group the occurrence with the
 smallest doc_id and line number stays.
 
-Texts don't travel: a second pass over the documents picks the lines that are in pairs, by
-a bitmap of fixed size.
+Texts don't travel: a second pass over the documents picks the lines that share a key, by a
+bitmap of fixed size.
 
 Every line takes part that isn't blank, whatever its script. A line of marks alone is
 one node with lines of the same marks. Rows without doc_id have no lines here and stay.
@@ -55,7 +55,7 @@ from orbframe.llm.graph import components
 from orbframe.session import cut
 
 #: Classes of tokens, how many of them a key joins, and tokens of the lines (from, to) that have such keys.
-KINDS = ((16, 1, 160, 1 << 40), (8, 1, 22, 180), (6, 2, 8, 24))
+KINDS = ((16, 1, 84, 1 << 40), (8, 1, 22, 94), (6, 2, 8, 24))
 #: Tokens of a key, at least (two in lines of fewer than FEW tokens).
 LEAST, FEW = 3, 16
 #: Tokens, at most, of lines with keys that leave out a token each.
@@ -144,13 +144,11 @@ def block_keys(seen, edges):
     before = np.r_[np.uint64(0), h[:-1]] if len(h) else h
     before = np.where(np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool), np.uint64(1), before)
     pair = T.mix(T.mix(before) + h * np.uint64(0x9E3779B97F4A7C15))
-    alone = np.flatnonzero(_once(row, pair))
-    held = np.bincount(row[alone], minlength=len(n))
-    some = np.flatnonzero(held)
+    some = np.flatnonzero(n)
     whole = np.zeros((len(n), 64), np.uint16)
     if len(some):
-        whole[some] = np.add.reduceat(_lanes(pair[alone]), np.r_[0, np.cumsum(held[some])[:-1]], axis=0).view(np.uint16)
-    bits = np.packbits(whole > (held // 2).astype(np.uint16)[:, None], axis=1).view(np.int64)[:, 0] if len(n) else np.zeros(0, np.int64)
+        whole[some] = np.add.reduceat(_lanes(pair), first[some], axis=0).view(np.uint16)
+    bits = np.packbits(whole > (n // 2).astype(np.uint16)[:, None], axis=1).view(np.int64)[:, 0] if len(n) else np.zeros(0, np.int64)
     # characters of the line with one space between words, as its text will have it
     chars = np.r_[0, np.cumsum((seen & 0xC0) != 0x80)]
     gap = np.r_[False, starts[1:] > ends[:-1]] if len(starts) else np.zeros(0, bool)
@@ -209,16 +207,30 @@ def lines_of(batches):
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, line_no, node`` of the lines that take part; line numbers start at 0, ``row`` is the text's hash."""
+    """``doc_id, row, line_no, node, sketch, keys`` of the lines that take part; line numbers start at 0, ``row`` is the text's hash.
+
+    Of lines that are equal a task gives one its keys, as far as it remembers.
+    """
 
     def run(batches):
-        for batch, row, number, whole, _, _, _ in lines_of(batches):
-            take = whole != 0
+        met: set[int] = set()
+        for batch, row, number, whole, _, data, edges in lines_of(batches):
+            take = np.flatnonzero(whole)
+            line, keys, sketch = block_keys(_SEEN[data], edges)
+            fresh = np.zeros(len(whole), bool)
+            fresh[take[_new(whole[take], met)]] = True
+            line, keys = line[fresh[line]], keys[fresh[line]]
+            order = np.argsort(line, kind="stable")
+            ends = np.r_[0, np.cumsum(np.bincount(line, minlength=len(whole))[take])]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[order]))
             of = pa.array(row[take])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(number[take]), pa.array(whole[take].view(np.int64))], ["doc_id", "row", "line_no", "node"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(of), batch.column(1).take(of), pa.array(number[take]), pa.array(whole[take].view(np.int64)), pa.array(sketch[take]), lists],
+                ["doc_id", "row", "line_no", "node", "sketch", "keys"],
+            )
 
     docs = T.plain(docs).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
-    return docs.mapInArrow(run, "doc_id long, row long, line_no int, node long")
+    return docs.mapInArrow(run, "doc_id long, row long, line_no int, node long, sketch long, keys array<long>")
 
 
 def _new(nodes, seen: set):
@@ -231,23 +243,6 @@ def _new(nodes, seen: set):
     return fresh
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``key, node, sketch`` for each key of each line; a line that repeats in a task is given once."""
-
-    def run(batches):
-        met: set[int] = set()
-        for _, _, _, whole, _, data, edges in lines_of(batches):
-            lines, keys, sketch = block_keys(_SEEN[data], edges)
-            fresh = np.zeros(len(whole), bool)
-            fresh[_new(whole, met)] = True
-            fresh &= whole != 0
-            lines, keys = lines[fresh[lines]], keys[fresh[lines]]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(whole[lines].view(np.int64)), pa.array(sketch[lines])], ["key", "node", "sketch"])
-
-    texts = T.plain(docs).where("doc_id is not null and text is not null").select("text")
-    return texts.mapInArrow(run, "key long, node long, sketch long")
-
-
 def wanted_lines(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, line`` (normalised) of the lines of ``nodes``, read from the documents once more.
 
@@ -273,9 +268,8 @@ def wanted_lines(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, line string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose lines are similar in edits."""
-    texts = cut(wanted_lines(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose lines, among ``texts(node, line)``, are similar in edits."""
     # the other lines come to the line they are held against, whose text isn't repeated
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("line").alias("l_b")), "b")
     both = with_b.join(texts.select(F.col("node").alias("a"), F.col("line").alias("l_a")), "a")
@@ -293,13 +287,15 @@ def _alike(a: str, b: str):
     return F.expr(f"abs(({a} & {LENGTH}) - ({b} & {LENGTH})) <= 2 and (({a} | {b}) & {IS_SHORT} > 0 or bit_count(shiftrightunsigned({a} ^ {b}, {LOW})) <= {APART})")
 
 
-def linked(docs: DataFrame, percent: int) -> DataFrame:
-    """``node, component`` of the links between lines that share a key."""
+def linked(made: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """``node, component`` of the links between lines of ``docs`` that share a key in ``made`` (their occurrences)."""
     under = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    star = keyed(docs).withColumn("first", F.first(F.struct("node", "sketch")).over(under)).where("node <> first.node")
+    keyed = made.select(F.explode("keys").alias("key"), "node", "sketch")
+    star = keyed.withColumn("first", F.first(F.struct("node", "sketch")).over(under)).where("node <> first.node")
     star = cut(star.select("key", F.col("first.node").alias("a"), F.col("first.sketch").alias("a_sketch"), F.col("node").alias("b"), "sketch"))
     tried = cut(star.where(_alike("a_sketch", "sketch")).select("a", "b").distinct())
-    links = cut(confirmed(tried, docs, percent))
+    texts = cut(wanted_lines(docs, star.select(F.col("a").alias("node")).union(star.select("b")).distinct()))
+    links = cut(confirmed(tried, texts, percent))
     group = cut(components(links))
     # keys that still hold several components: a key's first line and all others
     to = lambda end: group.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
@@ -316,7 +312,7 @@ def linked(docs: DataFrame, percent: int) -> DataFrame:
     more = cut(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     if more.isEmpty():
         return group
-    return components(links.union(cut(confirmed(more, docs, percent))))
+    return components(links.union(cut(confirmed(more, texts, percent))))
 
 
 def near_in_edits(x: str, y: str, percent: int) -> bool:
@@ -334,12 +330,22 @@ def near_in_edits(x: str, y: str, percent: int) -> bool:
         return True
     if abs(len(x) - len(y)) > allowed:
         return False
+    if within_words(x, y, allowed):
+        return True
     a, b = Counter(x), Counter(y)  # an edit mends one missing and one spare character at most
     if max((a - b).total(), (b - a).total()) > allowed:
         return False
     return edits(x, y) <= allowed
 
 
+def within_words(x: str, y: str, allowed: int) -> bool:
+    """Whether word by word the changes cost no more than ``allowed``: enough, as the edit distance is no greater."""
+    one, other = x.split(" "), y.split(" ")
+    if len(one) != len(other):
+        return False
+    return sum(max(len(a), len(b)) for a, b in zip(one, other) if a != b) <= allowed
+
+
 def edits(x: str, y: str) -> int:
     """Edit distance; a column of the table is two bit vectors: where it rises and where it falls."""
     if not x or not y:
@@ -366,7 +372,7 @@ def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def _groups(docs, percent):
     made = cut(occurrences(docs))
-    placed = made.join(linked(docs, percent), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = made.select("doc_id", "row", "line_no", "node").join(linked(made, docs, percent), "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = placed.groupBy("component").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("best"))
     kept = (F.col("doc_id") == F.col("best.doc_id")) & (F.col("line_no") == F.col("best.line_no")) & (F.col("row") == F.col("best.row"))
     return placed.join(best, "component").select("doc_id", "row", "line_no", F.col("best.doc_id").alias("group_doc"), F.col("best.line_no").alias("group_line"), kept.alias("kept"))

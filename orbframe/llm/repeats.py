@@ -9,6 +9,8 @@ windows may stand in another span as well, which the operators find out by their
 methods. Copies of a passage, however many, so send one span further.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from orbframe.llm import text as T
 
 COVERED, CANDIDATE = 1, 2
+#: Bits of a window's start; above them is the mark of the row's text, as rows may repeat a doc_id with another one.
+START = 40
 
 
 def spans(values, grams, at, size: int, k: int):
@@ -118,6 +122,17 @@ def chunks(batch, flagged: int):
         yield ids[first:last], batch.column(flagged)[first:last], data, at
 
 
+def marked(start, text):
+    """``start`` with the mark of its text above it."""
+    return start + ((zlib.crc32(text) & 0x7FFFFF) << START)
+
+
+def own(starts, text):
+    """Of marked starts, those of this very text, without the mark."""
+    starts = np.asarray(starts, np.int64)
+    return starts[starts >> START == zlib.crc32(text) & 0x7FFFFF] & ((1 << START) - 1)
+
+
 def covered_units(n: int, first, last, size: int) -> np.ndarray:
     """Units covered by windows that start from ``first`` to ``last``."""
     step = np.zeros(n + 1, np.int64)

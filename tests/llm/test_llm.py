@@ -92,6 +92,35 @@ def test_words_repeated(docs, rows):
             assert whole[i] == dict((r[0], r[1]) for r in rows)[i]
 
 
+def test_rows_that_repeat_a_doc_id_with_other_texts(spark):
+    """Each row is answered by its own text, be the other one shorter or longer."""
+    shared, more = prose(100, 80), prose(101, 90)
+    rows = [
+        (1, f"{prose(102, 30)} {shared} {prose(103, 10)}"), (2, f"{prose(104, 200)} {more}"), (5, shared), (5, f"{prose(105, 60)} {shared} {prose(106, 60)}"),
+        (5, prose(107, 70)), (5, f"{prose(108, 61)} {more} x"), (7, more), (7, more), (7, prose(109, 3)), (7, None), (9, f"{shared} {more}"), (9, f"{more} {shared}"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for units, size, join, got in (
+        (lambda t: t.encode(), 50, bytes, [(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffixes.removed(df).collect()]),
+        (WORD.findall, 50, lambda w: " ".join(w).encode(), [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in fmindex.removed(df).collect()]),
+    ):
+        least, want = {}, []
+        for i, t in rows:
+            u = units(t or "")
+            for s in range(len(u) - size + 1):
+                least[tuple(u[s : s + size])] = min(i, least.get(tuple(u[s : s + size]), i))
+        for i, t in rows:
+            u = units(t or "")
+            gone = [False] * len(u)
+            for s in range(len(u) - size + 1):
+                if least[tuple(u[s : s + size])] < i:
+                    gone[s : s + size] = [True] * size
+            want.append((i, len(u), sum(gone), sha(join([x for x, g in zip(u, gone) if not g]))))
+        assert Counter(got) == Counter(want)
+    left = Counter(r.text for r in fmindex.deduplicated(df).collect())
+    assert left[rows[3][1].replace(f" {shared} ", " ")] == 1 and left[prose(107, 70)] == 1 and left[None] == 1 and left[prose(109, 3)] == 1 and shared not in left
+
+
 def test_matching_statistics_are_those_of_brute_force(monkeypatch):
     import pyarrow as pa
 
