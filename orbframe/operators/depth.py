@@ -6,7 +6,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,16 +45,49 @@ def explode_depth(df: DataFrame, keys: list[str], w: int, column: str = "depth")
 
 
 def preprocess(df: DataFrame, keys: list[str], w: int, h: int, tw: int, th: int) -> DataFrame:
-    """Model input by column arithmetic: area resize when shrinking, bilinear
-    placement otherwise, then scale, centre and divide per channel."""
+    """Model input by column arithmetic: area resize when shrinking, cubic taps
+    otherwise, then scale, centre and divide per channel."""
     if tw * th < w * h:
         px = packing.area_resize(df, w, h, tw, th, ["r", "g", "b"], keys)
     else:
-        px = resize_bilinear(df, keys, w, h, tw, th, ["r", "g", "b"])
+        px = resize_cubic(df, keys, w, h, tw, th, ["r", "g", "b"])
     scaled = {c: (F.col(c) / 255.0 - m) / s for c, m, s in zip("rgb", IMAGE_MEAN, IMAGE_STD)}
     return px.withColumns(scaled)
 
 
+#: Sharpness of the cubic kernel.
+CUBIC = -0.75
+
+
+def cubic_weights(t: Column) -> list[Column]:
+    """Weights of the four taps around a place, ``t`` behind the second one."""
+    near = lambda x: ((CUBIC + 2.0) * x - (CUBIC + 3.0)) * x * x + 1.0
+    far = lambda x: ((x - 5.0) * x + 8.0) * x * CUBIC - 4.0 * CUBIC
+    inner = [far(t + 1.0), near(t), near(1.0 - t)]
+    return [*inner, 1.0 - inner[0] - inner[1] - inner[2]]
+
+
+def resize_cubic(df: DataFrame, keys: list[str], w: int, h: int, ow: int, oh: int, values: list[str]) -> DataFrame:
+    """Enlarge by cubic taps, first along rows, then along columns; edges repeat.
+
+    Each axis has a fixed list of taps, four for each new place, which a row (a column) of
+    pixels looks up in its own array, so a pixel is shuffled once for each axis.
+    """
+
+    def along(src, axis, n, on):
+        other = "x" if axis == "y" else "y"
+        line = F.array_sort(F.collect_list(F.struct(axis, *values)))
+        rows = src.groupBy(*keys, other).agg(line.alias("_line"))
+        at = (F.col(f"_{axis}") + 0.5) * (n / on) - 0.5
+        tap = lambda k: F.get(F.col("_line"), F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(at).cast("int") + k)))
+        weights = cubic_weights(at - F.floor(at))
+        mixed = [sum(wt * tap(k)[v] for wt, k in zip(weights, (-1, 0, 1, 2))).alias(v) for v in values]
+        places = rows.withColumn(f"_{axis}", F.explode(F.sequence(F.lit(0), F.lit(on - 1))))
+        return places.select(*keys, other, F.col(f"_{axis}").alias(axis), *mixed)
+
+    return along(along(df, "x", w, ow), "y", h, oh).select(*keys, "y", "x", *values)
+
+
 def resize_bilinear(df: DataFrame, keys: list[str], w: int, h: int, ow: int, oh: int, values: list[str]) -> DataFrame:
     """Resize by bilinear sampling at pixel centres, clamped at the edges."""
     at = grid.image_grid(df.sparkSession, ow, oh).withColumns({

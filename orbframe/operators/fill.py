@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbframe import FRAME
-from orbframe.operators import grid, warp
+from orbframe.operators import grid, ranges, warp
 
 # Fixed value: radius by which a hole mask grows before it is filled.
 DILATE = 2
@@ -51,6 +51,29 @@ def directional(df: DataFrame, w: int, sign: float, mask: str = "hole_d", keys:
     return rows.select(*keys, "y", F.inline(px)).select(*keys, "y", "x", *others, mask, "done")
 
 
+def _radii(k: int) -> list[int]:
+    return [k, 2 * k + 2, 4 * k + 4, 8 * k + 8]
+
+
+def _rings(df: DataFrame, k: int, hole: str, grown: str | None) -> DataFrame:
+    """Adds the hole mask grown by each radius, ``_m0`` to ``_m3``."""
+    for i, r in enumerate(_radii(k)):
+        df = df.withColumn("_m0", F.col(grown)) if grown and i == 0 else dilate(df, r, hole, f"_m{i}")
+    return df
+
+
+def search_mask(df: DataFrame, split: DataFrame, out: str, k: int = DILATE, hole: str = "hole", grown: str | None = None) -> DataFrame:
+    """The grown mask up to the ring that gave a frame its threshold (``split``), and the threshold.
+
+    A fill is made over this mask: where the ring had to be widened, so is what may not be read.
+    """
+    ringed = ranges.attach(_rings(df, k, hole, grown), split, FRAME, "left")
+    pick = F.col("_m0")
+    for i, r in list(enumerate(_radii(k)))[1:]:
+        pick = F.when(F.col("radius") == r, F.col(f"_m{i}")).otherwise(pick)
+    return ringed.withColumn(out, pick).drop("radius", *[f"_m{i}" for i in range(4)])
+
+
 def ring_threshold(df: DataFrame, k: int = DILATE, hole: str = "hole", depth: str = "d", grown: str | None = None) -> DataFrame:
     """Near/far split per frame: half way between the extremes of the ring.
 
@@ -58,9 +81,8 @@ def ring_threshold(df: DataFrame, k: int = DILATE, hole: str = "hole", depth: st
     widened to the first of three larger radii that shows some. ``grown``
     names a mask to use instead of growing the holes by ``k``.
     """
-    radii = [k, 2 * k + 2, 4 * k + 4, 8 * k + 8]
-    for i, r in enumerate(radii):
-        df = df.withColumn("_m0", F.col(grown)) if grown and i == 0 else dilate(df, r, hole, f"_m{i}")
+    radii = _radii(k)
+    df = _rings(df, k, hole, grown)
     aggs = []
     for i in range(len(radii)):
         ring = F.when(F.col(f"_m{i}") & ~F.col(hole), F.col(depth))

@@ -1,10 +1,13 @@
 """Progress events of jobs: dispatch, rates, throttling, outcomes."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbframe.operators import order as order_
 from orbframe.operators import ranges
+from orbframe.session import cut
 
 LEVELS = ("info", "warning", "error")
 INTERVAL = 0.1
@@ -69,38 +72,128 @@ def due(ts, last: float | None, interval: float) -> bool:
     return last is None or ts - last >= interval
 
 
-def throttle(df: DataFrame, bucket: Column, key: list[str], order: list[str], interval: float = INTERVAL) -> DataFrame:
+def throttle(df: DataFrame, bucket: Column | None, key: list[str], order: list[str], interval: float = INTERVAL, size: int = order_.BUCKET) -> DataFrame:
     """Keep a job's first event, its last (``frame = total``), and others only
     when ``interval`` seconds passed since the last one kept.
 
-    An event after a pause of at least ``interval`` is kept whatever came
-    before, so the stream falls apart at pauses into islands that do not
-    depend on each other. A hot job is split by island; one island is read in
-    order, holding only the time of the last event kept.
+    Every event points to the one that is kept next if it is kept. Rows are put into
+    buckets of ``size``, in order, whatever job they belong to; inside a bucket the
+    pointers are followed by doubling. What a bucket makes of the time of the last event
+    kept before it is a step function. Neighbouring buckets of a job are combined pair by
+    pair, then pairs of pairs, and on the way back each bucket learns the time it starts
+    with. So a job of any length and density runs on all cores. ``bucket`` isn't needed any more.
     """
-    lane = Window.partitionBy(*key, "_b").orderBy(*order)
-    prior = Window.partitionBy(*key).orderBy("_b")
-    marked = df.withColumn("_b", bucket)
-    ends = marked.groupBy(*key, "_b").agg(F.max("ts").alias("_e")).withColumn("_before", F.lag("_e").over(prior)).drop("_e")
-    gap = F.col("ts") - F.coalesce(F.lag("ts").over(lane), F.col("_before"))
-    islands = marked.join(ends, [*key, "_b"]).withColumn("_new", F.coalesce(gap >= interval, F.lit(True)).cast("int"))
-    numbered = ranges.running_total(islands.drop("_b", "_before"), key, order, bucket, "_new", "_island").drop("_new")
-    sorted_rows = numbered.repartition(*key, "_island").sortWithinPartitions(*key, "_island", *order)
-
-    def run(batches):
-        last, here = None, None
-        for pdf in batches:
-            keep = []
-            marks = list(zip(*[pdf[c] for c in [*key, "_island"]]))
-            for mark, ts, frame, total in zip(marks, pdf["ts"], pdf["frame"], pdf["total"]):
-                if mark != here:
-                    here, last = mark, None
-                ok = due(ts, last, interval) or frame == total
-                last = ts if ok else last
-                keep.append(ok)
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)].drop(columns="_island")
-
-    return sorted_rows.mapInPandas(run, numbered.drop("_island").schema)
+    rows = order_.indexed(df, [*key, *order]).withColumn("_b", order_.bucket(size))
+    cols = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in key)
+    steps = rows.groupBy("_b").applyInPandas(lambda pdf: _steps(pdf, key, interval), f"{cols}, _b long, due array<double>, leaves array<double>")
+    seq = F.row_number().over(Window.partitionBy(*key).orderBy("_b")) - 1
+    starts = _starts(cut(steps.withColumn("_seq", seq)), key, interval)
+    columns = df.columns
+    kept = lambda left, right: _kept(left, right, key, interval)[columns]
+    return rows.groupBy("_b").cogroup(starts.withColumnRenamed("_b", "_of").groupBy("_of")).applyInPandas(kept, df.schema)
+
+
+def _jobs(pdf: pd.DataFrame, key: list[str]):
+    """Rows from, to and the name of each job in a sorted bucket."""
+    job = pdf.groupby(key, dropna=False, sort=False).ngroup().to_numpy()
+    edges = np.r_[0, np.flatnonzero(np.diff(job)) + 1, len(pdf)].tolist()
+    names = pdf[key].astype(object).where(pdf[key].notna(), None)
+    return [(a, b, tuple(names.iloc[a])) for a, b in zip(edges, edges[1:])]
+
+
+def _first_due(ts, last, interval):
+    """The first of the sorted ``ts`` that is ``interval`` after each ``last``; the rule is on the rounded difference."""
+    last = np.asarray(last, float)
+    at = np.searchsorted(ts, last + interval, "left")
+    before = ts[np.maximum(at - 1, 0)]
+    at = np.where((at > 0) & (before - last >= interval), np.searchsorted(ts, before, "left"), at)
+    here = ts[np.minimum(at, len(ts) - 1)]
+    return np.where((at < len(ts)) & (here - last < interval), np.searchsorted(ts, here, "right"), at)
+
+
+def _pointers(ts, forced, interval):
+    """The place of the event that is kept next after each one; the length, if there is none."""
+    n = len(ts)
+    due_at = np.maximum(_first_due(ts, ts, interval), np.arange(n) + 1)
+    following = np.minimum.accumulate(np.where(forced, np.arange(n), n)[::-1])[::-1]
+    return np.minimum(due_at, np.r_[following, n][1:])
+
+
+def _steps(pdf: pd.DataFrame, key: list[str], interval: float) -> pd.DataFrame:
+    """For each job of a bucket: from the last event kept before it (the first step that is due)
+    to the time of the last one kept in it (``leaves``; NaN if there is none)."""
+    pdf = pdf.sort_values("_at", ignore_index=True)
+    out = []
+    for a, b, name in _jobs(pdf, key):
+        ts = pdf["ts"].to_numpy(float)[a:b]
+        forced = (pdf["frame"] == pdf["total"]).to_numpy()[a:b]
+        n = len(ts)
+        hop = np.r_[_pointers(ts, forced, interval), n]
+        last = np.where(hop < n, hop, np.arange(n + 1))
+        while (hop[:n] < n).any():  # all chains at once, twice as far each time
+            last, hop = last[last], hop[hop]
+        # a chain comes in at the first event that is due, at a forced one at the latest
+        stop = int(np.argmax(np.r_[forced, True]))
+        due_at = np.r_[ts[:stop], np.inf]
+        leaves = np.r_[ts, np.nan][last[: stop + 1]]
+        change = np.r_[leaves[1:] != leaves[:-1], True]
+        out.append((*name, int(pdf["_b"].iloc[0]), due_at[change], leaves[change]))
+    return pd.DataFrame(out, columns=[*key, "_b", "due", "leaves"])
+
+
+def _starts(steps: DataFrame, key: list[str], interval: float) -> DataFrame:
+    """``start`` for each job and bucket: the time of the last event kept before it."""
+    names, kind = steps.columns, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in steps.schema)
+    levels, most = [steps], steps.agg(F.max("_seq")).first()[0] or 0
+    while most > 0:  # up: two neighbours become one
+        pairs = levels[-1].groupBy(*key, F.shiftright("_seq", 1).alias("_pair"))
+        levels.append(cut(pairs.applyInPandas(lambda pdf: _combined(pdf, interval)[names], kind)))
+        most >>= 1
+    known = levels[-1].select(*key, "_seq", F.lit(float("-inf")).alias("start"))
+    pair = F.shiftright("_seq", 1).alias("_pair")
+    first = F.get(F.filter(F.arrays_zip("due", "leaves"), lambda s: s["due"] - F.col("start") >= interval), F.lit(0))["leaves"]
+    for level in levels[-2::-1]:  # down: the left one starts as the pair does, the right one behind the left one
+        left = level.where("_seq % 2 = 0").select(*key, pair, "due", "leaves")
+        both = level.select(*key, "_seq", pair).join(known.withColumnRenamed("_seq", "_pair"), [*key, "_pair"]).join(left, [*key, "_pair"])
+        behind = F.when(first.isNull() | F.isnan(first), F.col("start")).otherwise(first)
+        known = cut(both.select(*key, "_seq", F.when(F.col("_seq") % 2 == 0, F.col("start")).otherwise(behind).alias("start")))
+    return steps.select(*key, "_seq", "_b").join(known, [*key, "_seq"])
+
+
+def _combined(pdf: pd.DataFrame, interval: float) -> pd.DataFrame:
+    """The step function of two neighbouring buckets."""
+    pdf = pdf.sort_values("_seq", ignore_index=True)
+    due_at, leaves = (np.asarray(pdf[c][0], float) for c in ("due", "leaves"))
+    if len(pdf) == 2:
+        right_due, right_leaves = (np.asarray(pdf[c][1], float) for c in ("due", "leaves"))
+        to = right_leaves[np.minimum(_first_due(right_due, leaves, interval), len(right_due) - 1)]
+        to = np.where(np.isnan(to), leaves, to)
+        if np.isnan(leaves[-1]):  # what the left one lets pass meets the steps of the right one
+            due_at, to = np.r_[due_at[:-1], right_due], np.r_[to[:-1], right_leaves]
+        change = np.r_[to[1:] != to[:-1], True]
+        due_at, leaves = due_at[change], to[change]
+    made = pdf.iloc[:1].copy()
+    made["_seq"] //= 2
+    made["due"], made["leaves"] = [due_at], [leaves]
+    return made
+
+
+def _kept(pdf: pd.DataFrame, starts: pd.DataFrame, key: list[str], interval: float) -> pd.DataFrame:
+    """The events of a bucket that are kept, from where each job's chain comes in."""
+    pdf = pdf.sort_values("_at", ignore_index=True)
+    start_of = {name: starts["start"].iloc[a] for a, _, name in _jobs(starts, key)}
+    keep = np.zeros(len(pdf), bool)
+    for a, b, name in _jobs(pdf, key):
+        ts = pdf["ts"].to_numpy(float)[a:b]
+        forced = (pdf["frame"] == pdf["total"]).to_numpy()[a:b]
+        hop = np.r_[_pointers(ts, forced, interval), b - a]
+        on = np.zeros(b - a + 1, bool)
+        on[np.argmax(np.r_[(ts - start_of[name] >= interval) | forced, True])] = True
+        while (hop[:-1] < b - a).any():  # what is reached in 1, 2, 4 .. hops
+            on[hop[on]] = True
+            hop = hop[hop]
+        keep[a:b] = on[:-1]
+    return pdf[keep]
 
 
 def outcome(events: DataFrame, key: list[str] = ["job"]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orbframe import FRAME
 from orbframe.functions import sphere
-from orbframe.operators import grid, warp
+from orbframe.operators import grid, selection, warp
 
 # Jump sizes, edge strength, fingerprint tolerance.
 JUMP, POP, EDGE, TOLERANCE = 8, 32, 0.05, 0.30
@@ -17,7 +17,8 @@ def temporal_spread(df: DataFrame, values: list[str], keys: list[str]) -> DataFr
     """Mean and 99th percentile of each pixel's spread over the frames."""
     spread = sum((F.stddev_pop(v) for v in values[1:]), F.stddev_pop(values[0])) / len(values)
     per = df.groupBy(*keys, "y", "x").agg(spread.alias("sd"))
-    return per.groupBy(*keys).agg(F.avg("sd").alias("mean_sd"), F.percentile("sd", F.lit(0.99)).alias("p99_sd"))
+    high = selection.quantiles(per, keys, "sd", [0.99]).select(*keys, F.col("q")[0].alias("p99_sd"))
+    return per.groupBy(*keys).agg(F.avg("sd").alias("mean_sd")).join(high, keys)
 
 
 def response(a: DataFrame, b: DataFrame, roi: DataFrame | None = None, keys: list[str] = FRAME) -> DataFrame:
@@ -62,10 +63,10 @@ def seam_step(df: DataFrame, w: int, h: int, one: str = "+Z", other: str = "-Y")
     step = own.withColumns({"pd": F.lag("d").over(col), "pf": F.lag("face").over(col)})
     across = ((F.col("pf") == one) & (F.col("face") == other)) | ((F.col("pf") == other) & (F.col("face") == one))
     low = F.when(F.col("y") >= h // 2, F.col("d"))
-    return step.groupBy(*FRAME).agg(
-        F.median(F.when(across, F.abs(F.col("d") - F.col("pd")))).alias("step"),
-        F.percentile(low, F.array(F.lit(0.01), F.lit(0.99))).alias("p"),
-    ).select(*FRAME, (F.col("step") / (F.col("p")[1] - F.col("p")[0])).alias("seam_step"))
+    spread = selection.quantiles(df.select(*FRAME, low.alias("low")).repartition(*FRAME), FRAME, "low", [0.01, 0.99], "p")
+    # a seam is as long as a few scanlines
+    middle = step.groupBy(*FRAME).agg(F.median(F.when(across, F.abs(F.col("d") - F.col("pd")))).alias("step"))
+    return middle.join(spread, FRAME).select(*FRAME, (F.col("step") / (F.col("p")[1] - F.col("p")[0])).alias("seam_step"))
 
 
 def fingerprint(df: DataFrame, h: int, w: int, rows: int, cols: int, values: list[str], keys: list[str] = FRAME) -> DataFrame:

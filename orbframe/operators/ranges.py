@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbframe import FRAME
+from orbframe.operators import selection
 
 # Percentiles of the robust range, sample stride, range smoothing.
 LOW, HIGH, STRIDE, ALPHA = 0.01, 0.99, 16, 0.05
@@ -21,12 +22,16 @@ def strided(df: DataFrame, stride: int = STRIDE) -> DataFrame:
 def robust_range(
     df: DataFrame, keys: list[str] = FRAME, value: str = "d", approx: int | None = None
 ) -> DataFrame:
-    """1st and 99th percentile per group, interpolated; ``approx`` takes an accuracy."""
-    points = F.array(F.lit(LOW), F.lit(HIGH))
-    pair = F.percentile_approx(value, points, approx) if approx else F.percentile(value, points)
-    return df.groupBy(*keys).agg(pair.alias("p")).select(
-        *keys, F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi")
-    )
+    """1st and 99th percentile per group, interpolated; ``approx`` takes an accuracy.
+
+    Exact ones are selected by rank (``selection``). Frames are selected from where their
+    pixels lie; other groups may be of any size and are spread over buckets of values.
+    """
+    if approx:
+        pair = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(F.lit(LOW), F.lit(HIGH)), approx).alias("q"))
+    else:
+        pair = selection.quantiles(df.repartition(*keys) if keys == FRAME else df, keys, value, [LOW, HIGH])
+    return pair.select(*keys, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
 def frame_range(df: DataFrame, stride: int = 1, keys: list[str] = FRAME) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from orbframe.operators import progress, ranges, soundfield
-from orbframe.plans.lenses import AUDIO, JOBS, audio, day, jobs
+from orbframe.operators import order, progress, ranges, soundfield
+from orbframe.plans.lenses import AUDIO, JOBS, audio, jobs
 from orbframe.plans.registry import query, r6, rounded
 from orbframe.sources import lines
 
@@ -15,7 +15,8 @@ rated AS (SELECT *, CASE WHEN el > 0 THEN frame / el ELSE 0.0 END AS rate FROM r
 
 
 def with_totals(spark, sf):
-    j = jobs(spark, sf)
+    """Events in the order of their jobs, with a bucket of so many rows each."""
+    j = order.indexed(jobs(spark, sf), ["job", "ts", "event_id"])
     return j.join(j.groupBy("job").agg(F.sum("n").alias("total")), "job")
 
 
@@ -23,7 +24,7 @@ def with_totals(spark, sf):
 SELECT job, event_id, frame, total, round_even(el, 3) + 0.0 AS elapsed, round_even(rate, 3) + 0.0 AS fps,
   round_even(CASE WHEN total > 0 AND rate > 0 THEN (total - frame) / rate END, 1) + 0.0 AS eta FROM rated""")
 def progress_eta(spark, sf):
-    out = progress.rates(with_totals(spark, sf), day(), ["job"], ["ts", "event_id"])
+    out = progress.rates(with_totals(spark, sf), order.bucket(), ["job"], ["ts", "event_id"])
     zero = {c: F.col(c) + F.lit(0.0) for c in ("elapsed", "fps", "eta")}
     return out.withColumns(zero).select("job", "event_id", "frame", "total", "elapsed", "fps", "eta")
 
@@ -42,8 +43,8 @@ kept AS (
 SELECT job, event_id, frame, total FROM kept WHERE ok""")
 def progress_throttle(spark, sf):
     """One report per 36 hours, and the first and last of each job."""
-    done = progress.rates(with_totals(spark, sf), day(), ["job"], ["ts", "event_id"]).select("job", "event_id", "ts", "frame", "total")
-    return progress.throttle(done, day(), ["job"], ["ts", "event_id"], HOURS).select("job", "event_id", "frame", "total")
+    done = progress.rates(with_totals(spark, sf), order.bucket(), ["job"], ["ts", "event_id"]).select("job", "event_id", "ts", "frame", "total")
+    return progress.throttle(done, None, ["job"], ["ts", "event_id"], HOURS).select("job", "event_id", "frame", "total")
 
 
 TYPED = f"""{JOBS},
@@ -94,15 +95,15 @@ def job_outcome(spark, sf):
 
 @query("job_sessions", f"WITH {TYPED} SELECT job, event_id, type, CAST(sum(CASE WHEN type = 'start' THEN 1 ELSE 0 END) OVER (PARTITION BY job ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM ev")
 def job_sessions(spark, sf):
-    ev = typed(spark, sf).withColumn("is_start", F.col("type") == "start")
-    return progress.job_sessions(ev, day(), "job", ["ts", "event_id"]).select("job", "event_id", "type", "session")
+    ev = order.indexed(typed(spark, sf), ["job", "ts", "event_id"]).withColumn("is_start", F.col("type") == "start")
+    return progress.job_sessions(ev, order.bucket(), "job", ["ts", "event_id"]).select("job", "event_id", "type", "session")
 
 
 @query("job_status", f"""WITH {FRAMES}
 SELECT job, arg_max(frame, ts) AS frame, max(total) AS total, round(arg_max(el, ts), 3) + 0.0 AS elapsed,
   round(least(1.0, arg_max(frame, ts) / max(total)), 6) + 0.0 AS fraction FROM rated GROUP BY job""")
 def job_status(spark, sf):
-    done = progress.rates(with_totals(spark, sf), day(), ["job"], ["ts", "event_id"])
+    done = progress.rates(with_totals(spark, sf), order.bucket(), ["job"], ["ts", "event_id"])
     return rounded(progress.latest_status(done).select("job", "frame", "total", "elapsed", "fraction"), "elapsed", "fraction")
 
 
@@ -123,6 +124,24 @@ def yaw_rotate(spark, sf):
     return rounded(rows(soundfield.rotate(audio(spark, sf), 3, YAW)), "v")
 
 
+@query("yaw_checks", f"""WITH {AUDIO}, c AS (SELECT clip, count(*) // 16 AS samples, max(abs(v)) AS most FROM audio GROUP BY clip)
+SELECT clip, samples, o AS sound_order, true AS orthogonal, true AS undone FROM c, range(1, 4) t(o)""")
+def yaw_checks(spark, sf):
+    """For each order: the matrix by its transpose is the identity, and turning back restores all samples of a clip."""
+    px = audio(spark, sf)
+    found = None
+    for o in (1, 2, 3):
+        m = soundfield.yaw_matrix(spark, o, YAW)
+        worst = soundfield.off_identity(soundfield.product(m, soundfield.transpose(m)))
+        first = px.withColumn("ch", F.slice("ch", 1, (o + 1) ** 2))
+        back = soundfield.rotate(soundfield.rotate(first.withColumn("sent", F.col("ch")), o, YAW), o, -YAW)
+        off = F.array_max(F.zip_with("sent", "ch", lambda a, b: F.abs(a - b)))
+        part = back.groupBy("clip").agg(F.count(F.lit(1)).alias("samples"), (F.max(off) < 1e-12).alias("undone")).crossJoin(F.broadcast(worst.select((F.col("worst") < 1e-12).alias("orthogonal"))))
+        part = part.select("clip", "samples", F.lit(o).cast("long").alias("sound_order"), "orthogonal", "undone")
+        found = part if found is None else found.union(part)
+    return found
+
+
 @query("bearing", f"""WITH {TURNED},
 p AS (SELECT clip, n, max(CASE WHEN c = 0 THEN v END) AS w, max(CASE WHEN c = 1 THEN v END) AS y, max(CASE WHEN c = 3 THEN v END) AS x FROM turned GROUP BY clip, n)
 SELECT clip, round(degrees(atan2(sum(y * w), sum(x * w))), 4) + 0.0 AS bearing FROM p GROUP BY clip""")

@@ -74,21 +74,20 @@ rays AS (
   FROM lineitem)"""
 
 
-# --- sound: the first 16 values of a vector are a third-order sample.
+# --- sound: the 64 values of a vector are four third-order samples.
 
 
 def audio(spark: SparkSession, sf: str) -> DataFrame:
     emb = table(spark, sf, "embeddings")
-    return emb.select(
-        F.col("label").cast("string").alias("clip"), F.col("vec_id").alias("n"),
-        F.transform(F.slice("embedding", 1, 16), lambda v: v.cast("double")).alias("ch"),
-    )
+    sample = lambda j: F.struct(F.lit(j).alias("j"), F.transform(F.slice("embedding", 16 * j + 1, 16), lambda v: v.cast("double")).alias("ch"))
+    four = emb.select("label", "vec_id", F.inline(F.array(*[sample(j) for j in range(4)])))
+    return four.select(F.col("label").cast("string").alias("clip"), (F.col("vec_id") * 4 + F.col("j")).alias("n"), "ch")
 
 
 AUDIO = """
 audio AS (
-  SELECT CAST(label AS VARCHAR) AS clip, vec_id AS n, CAST(i AS INT) AS c, CAST(embedding[i + 1] AS DOUBLE) AS v
-  FROM embeddings, range(16) t(i))"""
+  SELECT CAST(label AS VARCHAR) AS clip, vec_id * 4 + i // 16 AS n, CAST(i % 16 AS INT) AS c, CAST(embedding[i + 1] AS DOUBLE) AS v
+  FROM embeddings, range(64) t(i))"""
 
 
 # --- events as tracks and as jobs.
@@ -120,8 +119,3 @@ jobs AS (
   SELECT user_id AS job, event_id, epoch_us(ts) / 1e6 AS ts, event_type,
          CAST(json_extract(props, '$.k') AS BIGINT) AS n, value
   FROM events)"""
-
-
-def day(ts: str = "ts"):
-    """Time bucket of an event in seconds; grows with time, bounded in size."""
-    return F.floor(F.col(ts) / 86400)

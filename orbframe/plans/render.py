@@ -15,29 +15,33 @@ def background_fill(eye: DataFrame, w: int, strength: float) -> DataFrame:
     return fill.directional(fill.dilate(eye), w, 1.0 if strength >= 0 else -1.0)
 
 
-def fill_holes(eye: DataFrame, depth: DataFrame, w: int, h: int, strength: float) -> DataFrame:
+def fill_holes(eye: DataFrame, depth: DataFrame, w: int, h: int, strength: float, mode: str = "simple", make_model=None) -> DataFrame:
     """Directional fill, then what it cannot reach.
 
-    ``depth`` is the normalised depth before softening. A row without any
-    valid pixel is left over; such frames take the residual path: near
-    components touching the hole may not be read from, and the block pyramid
-    of the remaining pixels fills the mask. Everything outside the grown mask
-    keeps its value. The directional result, and of the frames with leftovers
-    the pixels, are written once because several steps read them.
+    ``depth`` is the normalised depth before softening. A hole in a row without any valid
+    pixel is left over; its frame takes the residual path. The mask grows to the ring that
+    shows a depth contrast, near components touching the holes join it, and what lies under
+    it is painted from the pixels outside: by the block pyramid (``simple``) or, component
+    by component, by the user's model (``learned``). Only what was left over takes the
+    painted colours. A frame in which only grown pixels are left stays as it is. The
+    directional result, and of the frames with leftovers the pixels, are written once
+    because several steps read them.
     """
+    if mode not in ("simple", "learned"):
+        raise ValueError(f"fill mode {mode!r} is not known")
     done = cut(background_fill(eye, w, strength).withColumn("left", F.col("hole_d") & ~F.col("done")))
-    frames = done.filter("left").select(*FRAME).distinct()
+    frames = done.filter(F.col("left") & F.col("hole")).select(*FRAME).distinct()
     open_frames = cut(done.join(frames, FRAME, "left_semi").join(depth.select(*AT, "d"), AT).withColumn("hole", F.col("hole") & ~F.col("done")))
     split = fill.ring_threshold(open_frames, grown="left")
-    near = ranges.attach(open_frames, split, FRAME).withColumn("near", ~F.col("hole") & (F.col("d") > F.col("threshold")))
+    near = fill.search_mask(open_frames, split, "mask", grown="left").withColumn("near", F.coalesce(~F.col("hole") & (F.col("d") > F.col("threshold")), F.lit(False)))
     # Without anything far there is nothing better to read from.
     usable = near.groupBy(*FRAME).agg(F.bool_or(~F.col("hole") & ~F.col("near")).alias("any_far")).filter("any_far")
     blocked = components.touching_components(near.join(usable, FRAME, "left_semi")).withColumn("blocked", F.lit(True))
-    paint = open_frames.join(blocked, AT, "left").withColumn("paint", F.col("left") | F.coalesce("blocked", F.lit(False)))
+    paint = near.join(blocked, AT, "left").withColumn("paint", F.col("mask") | F.coalesce("blocked", F.lit(False)))
     base = paint.select(*AT, "r", "g", "b", "paint")
-    filled = fill.pyramid(base, max(w, h).bit_length(), "paint").select(*AT, F.struct("r", "g", "b").alias("filled"))
-    merged = done.join(filled, AT, "left")
-    return fill.composite(merged, "left").select(*AT, "r", "g", "b", "hole", "hole_d")
+    painted = components.learned_fill(base, w, h, make_model, "paint") if mode == "learned" else fill.pyramid(base, max(w, h).bit_length(), "paint")
+    merged = done.join(painted.select(*AT, F.struct("r", "g", "b").alias("filled")), AT, "left")
+    return fill.composite(merged, "left").select(*AT, "r", "g", "b", "hole", "hole_d", "done")
 
 
 def frame_path(px: DataFrame, w: int, h: int, strength: float, stride: int = ranges.STRIDE, tau: float = temporal.TAU, soften: int = 0, gradient_limit: float = 0.0) -> DataFrame:
@@ -47,8 +51,9 @@ def frame_path(px: DataFrame, w: int, h: int, strength: float, stride: int = ran
     """
     scaled = ranges.moving_normalise(px.select(*AT, "d", "r", "g", "b"), stride)
     steady = temporal.stabilise(scaled, tau)
+    steady = cut(steady)
     eye = warp.synthesise(warp.condition(steady, w, strength, soften, gradient_limit), w, h, strength)
-    return background_fill(eye, w, strength)
+    return fill_holes(eye, steady, w, h, strength)
 
 
 def chunk_path(estimates: DataFrame, w: int, h: int, strength: float, overlap: int, stride: int = ranges.STRIDE, tau: float = temporal.TAU,
@@ -62,14 +67,15 @@ def chunk_path(estimates: DataFrame, w: int, h: int, strength: float, overlap: i
     """
     rgb = ["r", "g", "b"]
     scaled = temporal.chunk_normalise(temporal.blend_overlap(estimates, overlap, carry=rgb), stride)
-    locked = temporal.median_lock(scaled, tau, carry=rgb)
+    locked = cut(temporal.median_lock(scaled, tau, carry=rgb))
     ready = warp.condition(locked, w, strength, soften, gradient_limit)
     eye = cut(warp.synthesise(ready, w, h, strength, carry=["chunk"]))
-    return background_fill(temporal.temporal_fill(eye, max_std).drop("chunk"), w, strength)
+    return fill_holes(temporal.temporal_fill(eye, max_std).drop("chunk"), locked, w, h, strength)
 
 
 def preview(px: DataFrame, f: int, w: int, h: int, strength: float) -> DataFrame:
     """One frame by index, scaled by its own full range; a filter in front of
     the same operators, so only that frame is read."""
     one = px.filter(F.col("f") == f)
-    return background_fill(warp.synthesise(ranges.normalise(one, ranges.frame_range(one)), w, h, strength), w, strength)
+    ready = cut(ranges.normalise(one, ranges.frame_range(one)))
+    return fill_holes(warp.synthesise(ready, w, h, strength), ready, w, h, strength)

@@ -11,7 +11,7 @@ from orbframe.plans.registry import query, rounded
 from orbframe.plans.time_queries import EMA, blended_sql, chunks_sql
 from orbframe.plans.warp_queries import NORM, normalised
 
-OUT = "SELECT clip, f, y, x, round(r, 3) + 0.0 AS r, round(g, 3) + 0.0 AS g, round(b, 3) + 0.0 AS b, hole, done FROM filled"
+OUT = "SELECT clip, f, y, x, round(r, 3) + 0.0 AS r, round(g, 3) + 0.0 AS g, round(b, 3) + 0.0 AS b, hole, done FROM res"
 TAU = 0.3
 
 
@@ -19,14 +19,14 @@ def shown(df):
     return rounded(df.select(*FRAME, "y", "x", "r", "g", "b", "hole", "done"), "r", "g", "b", places=3)
 
 
-@query("frame_path", f"""WITH RECURSIVE {PANO}, {EMA},
+@query("frame_path", q.once(f"""WITH RECURSIVE {PANO}, {EMA},
 scaled AS (SELECT p.clip, p.f, p.y, p.x, r, g, b, greatest(0.0, least(1.0, (d - lo) / (CASE WHEN hi <= lo THEN 1e-6 ELSE hi - lo END))) AS d FROM pano p JOIN ema USING (clip, f)),
 st AS (
   SELECT clip, f, y, x, r, g, b, d FROM scaled WHERE f = 0
   UNION ALL
   SELECT p.clip, p.f, p.y, p.x, p.r, p.g, p.b, p.d + 0.9 * greatest(0.0, least(1.0, (2.0 * {TAU} - abs(p.d - s.d)) / {TAU})) * (s.d - p.d)
   FROM st s JOIN scaled p ON p.clip = s.clip AND p.y = s.y AND p.x = s.x AND p.f = s.f + 1),
-{q.eye('st', STRONG, W, H)}, {q.morph('eye', 'hole', 'hole_d', 2, 'max', 'grown')}, {q.directional('grown', W, 1.0)} {OUT}""")
+{q.eye('st', STRONG, W, H)}, {q.morph('eye', 'hole', 'hole_d', 2, 'max', 'grown')}, {q.directional('grown', W, 1.0)}, {q.residual('filled', 'st', W, H)} {OUT}"""))
 def frame_path(spark, sf):
     return shown(render.frame_path(pano(spark, sf), W, H, STRONG, 4, TAU))
 
@@ -34,7 +34,7 @@ def frame_path(spark, sf):
 SIZE, LAP, LOCK, SPREAD = 5, 2, 0.2, 70.0
 
 
-@query("chunk_path", f"""WITH {PANO}, {chunks_sql(SIZE, LAP)}, {blended_sql(LAP)}, {q.normalised('blended', 4, 'cn', 'clip, chunk')},
+@query("chunk_path", q.once(f"""WITH RECURSIVE {PANO}, {chunks_sql(SIZE, LAP)}, {blended_sql(LAP)}, {q.normalised('blended', 4, 'cn', 'clip, chunk')},
 trk AS (SELECT clip, chunk, y, x, count(*) AS n, stddev_pop(d) AS sd, median(d) AS med FROM cn GROUP BY ALL),
 ready AS (SELECT c.clip, c.f, c.chunk, c.y, c.x, p.r, p.g, p.b,
   CASE WHEN n < 3 THEN c.d ELSE c.d + greatest(0.0, least(1.0, (2.0 * {LOCK} - sd) / {LOCK})) * (med - c.d) END AS d
@@ -47,17 +47,29 @@ tf AS (SELECT clip, chunk, y, x, count(*) FILTER (NOT hole) AS n, median(r) FILT
 tj AS (SELECT ev.*, mr, mg, mb, hole AND (n = 1 OR (n >= 2 AND sd <= {SPREAD})) AS take FROM ev JOIN tf USING (clip, chunk, y, x)),
 td AS (SELECT clip, f, y, x, hole AND NOT take AS hole, CASE WHEN take THEN floor(mr) ELSE r END AS r, CASE WHEN take THEN floor(mg) ELSE g END AS g,
   CASE WHEN take THEN floor(mb) ELSE b END AS b FROM tj),
-{q.morph('td', 'hole', 'hole_d', 2, 'max', 'grown')}, {q.directional('grown', W, 1.0)} {OUT}""")
+{q.morph('td', 'hole', 'hole_d', 2, 'max', 'grown')}, {q.directional('grown', W, 1.0)}, {q.residual('filled', 'ready', W, H)} {OUT}"""))
 def chunk_path(spark, sf):
     px = pano(spark, sf)
     est = temporal.chunk_windows(px, temporal.clip_lengths(px), SIZE, LAP).withColumn("d", F.col("d") * (1.0 + 0.01 * F.col("chunk")))
     return shown(render.chunk_path(est, W, H, STRONG, LAP, 4, LOCK, SPREAD))
 
 
-@query("residual_fill")
+HOLE = "(y % 16 BETWEEN 10 AND 11) OR (r + x) % 23 = 0"
+
+
+@query("residual_fill", q.once(f"""{NORM.replace('WITH', 'WITH RECURSIVE', 1)},
+eye AS (SELECT clip, f, y, x, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b, {HOLE} AS hole FROM norm),
+{q.morph('eye', 'hole', 'hole_d', 2, 'max', 'grown')}, {q.directional('grown', W, 1.0)}, {q.residual('filled', 'norm', W, H)}
+SELECT clip, f, y, x, round(r, 3) + 0.0 AS r, round(g, 3) + 0.0 AS g, round(b, 3) + 0.0 AS b, hole, done FROM res"""))
 def residual_fill(spark, sf):
     """Every eighth pair of rows is a hole all along, which no row can fill."""
     px = normalised(spark, sf)
-    hole = (F.col("y") % 16 >= 10) & (F.col("y") % 16 <= 11) | ((F.col("r") + F.col("x")) % 23 == 0)
-    eye = px.withColumns({"hole": hole, **{c: F.col(c).cast("double") for c in "rgb"}}).drop("d")
-    return rounded(render.fill_holes(eye, px, W, H, STRONG), "r", "g", "b", places=3)
+    eye = px.withColumns({"hole": F.expr(HOLE), **{c: F.col(c).cast("double") for c in "rgb"}}).drop("d")
+    return shown(render.fill_holes(eye, px, W, H, STRONG))
+
+
+@query("preview", q.once(f"""WITH RECURSIVE {PANO}, one AS (SELECT * FROM pano WHERE f = 3), {q.normalised('one')}, {q.eye('norm', STRONG, W, H)},
+{q.morph('eye', 'hole', 'hole_d', 2, 'max', 'grown')}, {q.directional('grown', W, 1.0)}, {q.residual('filled', 'norm', W, H)} {OUT}"""))
+def preview(spark, sf):
+    """The fourth frame of every clip, by its own range."""
+    return shown(render.preview(pano(spark, sf), 3, W, H, STRONG))

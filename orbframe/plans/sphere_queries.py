@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from orbframe import FRAME
 from orbframe.functions import sphere
-from orbframe.operators import faces, grid
+from orbframe.operators import faces, grid, quality
 from orbframe.plans import sqltext as q
 from orbframe.plans.lenses import PANO, W, H, pano
 from orbframe.plans.registry import query, r6, rounded
@@ -89,12 +89,16 @@ def cubemap_nearest(spark, sf):
     return rounded(faces.faces_to_panorama(cube(spark, sf), SIZE, W, H, ["r", "g", "b", "d"], "nearest"), "r", "g", "b", "d", places=4)
 
 
-PADDED = f"""
+def PADDED_OF(src):
+    return f"""
 {q.face_px(SIZE + 4, (SIZE + 4) / SIZE, 'wide_px')},
 ring AS (SELECT face, y - 2 AS y, x - 2 AS x, {OWN['face']} AS sface, {COORD(OWN['a'], SIZE)} AS u, {COORD(OWN['b'], SIZE)} AS v FROM wide_px
   WHERE y < 2 OR x < 2 OR y >= {SIZE + 2} OR x >= {SIZE + 2}),
-{q.bilinear('cube', 'ring', [], ['d'], ['face', 'y', 'x'], SIZE, SIZE, False, 'rim', face=True)},
-padded AS (SELECT clip, f, face, y, x, d FROM cube UNION ALL SELECT clip, f, face, y, x, d FROM rim)"""
+{q.bilinear(src, 'ring', [], ['d'], ['face', 'y', 'x'], SIZE, SIZE, False, 'rim', face=True)},
+padded AS (SELECT clip, f, face, y, x, d FROM {src} UNION ALL SELECT clip, f, face, y, x, d FROM rim)"""
+
+
+PADDED = PADDED_OF("cube")
 
 
 @query("padded_faces", f"{CUBE}, {PADDED} SELECT clip, f, face, y, x, {R4('d')} FROM padded")
@@ -164,6 +168,18 @@ def overlap_plan_sums(spark, sf):
         r6(F.sum("wt")).alias("weight"), r6(F.sum(F.col("wt") * F.col("d"))).alias("weighed_d"), F.count(F.lit(1)).alias("pixels"))
 
 
+@query("blend_weights", f"""WITH {PANO}, {q.AXES}, {BLEND}, t AS (SELECT y, x, sum(wt) AS total, count(*) AS n FROM blend_map GROUP BY y, x)
+SELECT p.clip, p.f, p.y, p.x, round(total, 6) + 0.0 AS total, n, abs(total - 1.0) <= 1e-5 AS whole FROM pano p JOIN t USING (y, x)""")
+def blend_weights(spark, sf):
+    """The weights that each pixel of every frame is blended with add up to one."""
+    gmap = faces.blend_map(spark, W, H, WIDE)
+    per = gmap.groupBy("y", "x").agg(F.sum("wt").alias("total"), F.count(F.lit(1)).alias("n"))
+    off = quality.weight_sums(gmap).select("y", "x", F.lit(False).alias("whole"))
+    checked = per.join(off, ["y", "x"], "left").withColumn("whole", F.coalesce("whole", F.lit(True)))
+    px = pano(spark, sf).select(*FRAME, "y", "x").join(grid.shared_map(checked, W * H), ["y", "x"])
+    return rounded(px.select(*FRAME, "y", "x", "total", "n", "whole"), "total")
+
+
 @query("overlap_blend", f"""{WIDENED}, {BLEND},
 {q.bilinear('wide', 'blend_map', [], ['d'], ['y', 'x', 'sface', 'wt'], WIDE, WIDE, False, 'tap', face=True)}
 SELECT clip, f, y, x, round(sum(d * wt), 4) + 0.0 AS d FROM tap GROUP BY clip, f, y, x""")

@@ -1,5 +1,7 @@
 """Pieces of SQL text the oracles share."""
 
+import re
+
 PI = "pi()"
 
 
@@ -177,3 +179,52 @@ def directional(src: str, w: int, sign: float, name: str = "filled") -> str:
          CASE WHEN s.hole_d AND s.bound IS NOT NULL THEN q.g ELSE s.g END AS g,
          CASE WHEN s.hole_d AND s.bound IS NOT NULL THEN q.b ELSE s.b END AS b
   FROM {name}_s s LEFT JOIN {src} q ON q.clip = s.clip AND q.f = s.f AND q.y = s.y AND q.x = s.sx)"""
+
+
+def residual(src: str, depth: str, w: int, h: int, name: str = "res") -> str:
+    """CTEs: what the directional fill of ``src`` (hole, hole_d, done) has left, painted from the block pyramid.
+
+    Holes grow to the first ring with a depth contrast; near components that touch them
+    may not be read from; only leftovers of frames with a true hole left are replaced.
+    """
+    on = lambda a, b, *more: " AND ".join(f"{a}.{k} = {b}.{k}" for k in ("clip", "f", *more))
+    radii = [2, 6, 12, 24]
+    grown, last = "", f"{name}_0"
+    for i, r in list(enumerate(radii))[1:]:
+        grown += f",{morph(last, 'hole', f'm{i}', r, 'bool_or', f'{name}_{i}')}"
+        last = f"{name}_{i}"
+    grown += f",{morph(last, 'hole', 'touch', 6, 'bool_or', f'{name}_w')}"
+    lohi = ", ".join(f"min(d) FILTER (m{i} AND NOT hole) AS lo{i}, max(d) FILTER (m{i} AND NOT hole) AS hi{i}" for i in range(4))
+    pick = "CASE WHEN hi0 - lo0 >= 1e-6 THEN 0 " + " ".join(f"WHEN hi{i} - lo{i} > 1e-6 THEN {i}" for i in (1, 2, 3)) + " WHEN lo0 IS NOT NULL THEN 0 END"
+    mid = "CASE pick " + " ".join(f"WHEN {i} THEN 0.5 * (lo{i} + hi{i})" for i in range(4)) + " END"
+    mask = "CASE pick " + " ".join(f"WHEN {i} THEN m{i}" for i in (1, 2, 3)) + " ELSE m0 END"
+    levels = range(1, max(w, h).bit_length() + 1)
+    means = ",".join(f"""
+{name}_p{k} AS (SELECT clip, f, y >> {k} AS py, x >> {k} AS px, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM {name}_paint WHERE NOT paint GROUP BY ALL)""" for k in levels)
+    joins = " ".join(f"LEFT JOIN {name}_p{k} p{k} ON {on('a', f'p{k}')} AND p{k}.py = a.y >> {k} AND p{k}.px = a.x >> {k}" for k in levels)
+    value = lambda c: f"coalesce({', '.join(f'p{k}.{c}' for k in levels)}, a.{c}) AS {c}"
+    out = lambda c: f"CASE WHEN s.hole_d AND NOT s.done THEN coalesce(v.{c}, s.{c}) ELSE s.{c} END AS {c}"
+    return f"""
+{name}_f AS (SELECT DISTINCT clip, f FROM {src} WHERE hole AND hole_d AND NOT done),
+{name}_0 AS (SELECT s.clip, s.f, s.y, s.x, s.r, s.g, s.b, p.d, s.hole AND NOT s.done AS hole, s.hole_d AND NOT s.done AS m0
+  FROM {src} s JOIN {name}_f USING (clip, f) JOIN {depth} p ON {on('s', 'p', 'y', 'x')}){grown},
+{name}_s AS (SELECT clip, f, {lohi} FROM {name}_w GROUP BY clip, f),
+{name}_t AS (SELECT clip, f, pick, {mid} AS threshold FROM (SELECT *, {pick} AS pick FROM {name}_s)),
+{name}_n AS (SELECT w.*, {mask} AS mask, coalesce(NOT hole AND d > threshold, false) AS near FROM {name}_w w JOIN {name}_t USING (clip, f)),
+{name}_far AS (SELECT clip, f FROM {name}_n GROUP BY clip, f HAVING bool_or(NOT hole AND NOT near)),
+{name}_near AS (SELECT clip, f, y, x, touch FROM {name}_n JOIN {name}_far USING (clip, f) WHERE near),
+{name}_b AS (
+  SELECT clip, f, y, x FROM {name}_near WHERE touch
+  UNION
+  SELECT n.clip, n.f, n.y, n.x FROM {name}_b b JOIN {name}_near n ON {on('n', 'b')} AND n.y BETWEEN b.y - 1 AND b.y + 1 AND n.x BETWEEN b.x - 1 AND b.x + 1),
+{name}_bd AS (SELECT DISTINCT clip, f, y, x, true AS blocked FROM {name}_b),
+{name}_paint AS (SELECT n.*, mask OR coalesce(blocked, false) AS paint FROM {name}_n n LEFT JOIN {name}_bd USING (clip, f, y, x)),{means},
+{name}_v AS (SELECT a.clip, a.f, a.y, a.x, {value('r')}, {value('g')}, {value('b')} FROM {name}_paint a {joins} WHERE paint),
+{name} AS (SELECT s.* REPLACE ({out('r')}, {out('g')}, {out('b')}) FROM {src} s LEFT JOIN {name}_v v ON {on('s', 'v', 'y', 'x')})"""
+
+
+def once(sql: str) -> str:
+    """``sql`` with every CTE worked out once, however often it is read; recursive ones are anyway."""
+    part = re.compile(r"(\b(\w+)(?:\([^()]*\))?) AS \((?=\s*(?:SELECT|VALUES))")
+    own = {m[2] for m in part.finditer(sql) if re.search(rf"UNION(?: ALL)?\s+SELECT[^;]*?\b(?:FROM|JOIN) {m[2]}\b", sql[m.end() :].split(" AS (")[0])}
+    return part.sub(lambda m: m[0] if m[2] in own else m[0].replace(" AS (", " AS MATERIALIZED ("), sql)

@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from orbframe import FRAME
-from orbframe.operators import grid, quality, ranges, temporal
+from orbframe.operators import grid, order, quality, ranges, selection, temporal
 from orbframe.plans import sqltext as q
-from orbframe.plans.lenses import PANO, CLIP, H, W, day, pano, tracks
+from orbframe.plans.lenses import PANO, CLIP, H, W, pano, tracks
 from orbframe.plans.registry import query, r6, rounded
 
 SIZE, LAP = 4, 2
@@ -51,10 +51,10 @@ ema AS (
   SELECT t.user_id, t.event_id, t.k, e.v + 0.05 * (t.value - e.v) FROM ema e JOIN t ON t.user_id = e.user_id AND t.k = e.k + 1)
 SELECT user_id, event_id, k, round(v + 0.000000013, 6) + 0.0 AS value FROM ema""")
 def ema_tracks(spark, sf):
-    """Smoothed event values per user; a hot user is ranked day by day and
+    """Smoothed event values per user; a hot user is ranked bucket by bucket and
     smoothed segment by segment."""
-    ev = tracks(spark, sf)
-    k = ranges.ranked(ev, ["user_id"], ["ts", "event_id"], F.to_date("ts"))
+    ev = order.indexed(tracks(spark, sf), ["user_id", "ts", "event_id"])
+    k = ranges.ranked(ev, ["user_id"], ["ts", "event_id"], order.bucket())
     # Values have two decimals, so averages fall on rounding ties; a small
     # offset on both sides keeps the comparison off them.
     out = ranges.smoothed(k, ["user_id"], ["value"]).withColumn("value", F.col("value") + 0.000000013)
@@ -139,6 +139,19 @@ def chunk_normalise(spark, sf):
     return rounded(temporal.chunk_normalise(blended(spark, sf), 4), "d")
 
 
+@query("sketched_range", f"""WITH {PANO}, {CHUNKS}, {BLENDED}
+SELECT clip, chunk, count(*) AS n, true AS lo_within, true AS hi_within FROM blended GROUP BY clip, chunk""")
+def sketched_range(spark, sf):
+    """A chunk's range from its frames' sketches, and whether their true ranks are as near as promised."""
+    px = blended(spark, sf)
+    frames = selection.sketched(px, [*FRAME, "chunk"])
+    per_chunk = selection.ranges_of(selection.merged(frames, ["clip", "chunk"]), [ranges.LOW, ranges.HIGH])
+    of_frame = frames.select(*FRAME, "chunk").join(per_chunk, ["clip", "chunk"])
+    true = selection.ranks(px, of_frame, ["clip", "chunk"])
+    within = lambda end, p: (F.abs(F.col(f"rank_{end}") - p) <= selection.ERROR).alias(f"{end}_within")
+    return true.select("clip", "chunk", "n", within("lo", ranges.LOW), within("hi", ranges.HIGH))
+
+
 LOCK = 0.2
 WIDE_CHUNK = f"wide AS (SELECT clip, f, f // 5 AS chunk, y, x, d, r, g, b FROM pano)"
 

@@ -1,12 +1,13 @@
 """Stateful operators on frame and progress streams.
 
-The order is frame order within a clip and time order within a job. What
-arrives for a frame at or before the last one processed is late: it is
-dropped and counted in the state, which is our own rule.
+The order is frame order within a clip and time order within a job. With ``patience`` rows
+may come in any order: what is ahead of its turn waits in the state, keyed by its position,
+until all before it has come or the watermark has passed its time (a timer), and gaps are
+given up then. What comes after its turn is late: it goes out flagged, as a side output.
+Without ``patience`` nothing waits: a batch is sorted, and what comes at or before the last
+position is late.
 """
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,15 +19,11 @@ from orbframe.operators.ranges import ALPHA
 from orbframe.operators.temporal import CAP, CHUNK, OVERLAP, TAU, pulled
 from orbframe.session import scratch_path
 
+#: Seconds that late rows are still put out for.
+DAY = 86_400
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stateful(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str = "append") -> DataFrame:
-    """Apply a processor per key; state lives in RocksDB."""
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return df.groupBy(*keys).transformWithStateInPandas(processor, schema, mode, "none")
-
-
 def run_available(df: DataFrame, schema: str) -> DataFrame:
     """Run a stream over what is there now and return what it wrote.
 
@@ -54,157 +51,314 @@ def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return reader.option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
 
 
+def clocked(df: DataFrame, ts: str, patience: int, grace: int) -> DataFrame:
+    """Adds ``at_ms`` of ``ts``, and ``at_clock`` with a watermark ``patience`` seconds behind the latest ``ts``.
+
+    The engine drops rows that are behind the watermark before an operator sees them. The
+    clock runs ``grace`` seconds ahead of ``ts``, so late rows still come through and can be
+    put out; rows later than ``patience`` and ``grace`` together are the engine's to drop.
+    """
+    clock = F.expr(f"{ts} + INTERVAL {int(grace)} SECONDS")
+    return df.withColumns({"at_ms": F.unix_millis(ts), "at_clock": clock}).withWatermark("at_clock", f"{int(grace + patience)} seconds")
+
+
 class _Ordered(StatefulProcessor):
-    """Keeps the last position seen and hands on what comes after it, sorted."""
+    """Hands a key's rows to ``step`` in their order; ``columns`` (all but the key) come as tuples.
+
+    ``at`` names the positions. If they ``count`` from 0, a row's turn comes when all
+    before it have come; else only time brings it. Of rows with one position the first
+    stays. A row without a position moves the watermark and does nothing else.
+    """
 
     state_schema = ""
-    order: list[str] = ["f"]
+    at, at_schema = ["f"], "f bigint"
+    columns: list[tuple[str, str]] = []
+    output: list[str] = []
+    count = True
+    #: Positions that come back are late, or (False) rows of their own.
+    distinct = True
+    #: Below all positions.
+    start: tuple = (-1,)
+
+    def __init__(self, waits: bool):
+        self.waits = waits
 
     def init(self, handle):
+        self.handle = handle
         self.state = handle.getValueState("state", self.state_schema)
+        # the first position that hasn't been passed (or the last passed one), rows that wait, the time of the last one released
+        self.mark = handle.getValueState("mark", ", ".join(f"m_{c}" for c in self.at_schema.split(", ")) + ", waiting bigint, time bigint")
+        self.held = handle.getMapState("held", self.at_schema, ", ".join(f"{n} {t}" for n, t in [*self.columns, ("at_ms", "bigint")])) if self.waits else None
 
     def close(self):
         pass
 
-    def _gather(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        return pd.concat(list(rows)).sort_values(self.order, ignore_index=True)
+    def step(self, key, rows: list[tuple]) -> list[tuple]:
+        raise NotImplementedError
+
+    def finish(self, key) -> list[tuple]:
+        """What is left to put out when a key has been quiet for long."""
+        return []
+
+    def quiet(self, time: int) -> int | None:
+        """When ``finish`` is due, if no row comes after one of ``time``."""
+        return None
+
+    def _load(self):
+        if not self.mark.exists():
+            return self.start, 0, 0
+        *passed, waiting, time = self.mark.get()
+        return tuple(passed), waiting, time
+
+    def _passed(self, position, passed) -> bool:
+        return position <= passed if self.distinct else position < passed
+
+    def handleInputRows(self, key, rows, timerValues):
+        passed, waiting, time = self._load()
+        ready: dict[tuple, tuple] | list = []
+        late = []
+        names = [n for n, _ in self.columns]
+        for pdf in rows:
+            pdf = pdf[pdf[self.at].notna().all(axis=1)]
+            ms = pdf["at_ms"].astype("int64").tolist() if self.waits else [0] * len(pdf)
+            for position, values, t in zip(pdf[self.at].itertuples(index=False, name=None), pdf[names].itertuples(index=False, name=None), ms):
+                (late if self._passed(position, passed) else ready).append((position, values, t))
+        ready.sort(key=lambda r: r[0])
+        if self.distinct:
+            first = {}
+            for r in ready:
+                if first.setdefault(r[0], r) is not r:
+                    late.append(r)
+            ready = list(first.values())
+        if self.waits:
+            ready, passed, waiting = self._in_turn(ready, passed, waiting)
+        elif ready:
+            passed = ready[-1][0]
+        yield from self._out(key, ready, late, passed, waiting, time)
+
+    def _in_turn(self, ready, passed, waiting):
+        """Of new rows, and those that have waited, what can go; the rest waits."""
+        go, left = [], list(ready)
+        if self.count:
+            turn = passed[0] + 1
+            new = {r[0][0]: r for r in left}
+            while True:
+                if turn in new:
+                    go.append(new.pop(turn))
+                elif waiting and self.held.containsKey((turn,)):
+                    *values, t = self.held.getValue((turn,))
+                    go.append(((turn,), tuple(values), t))
+                    self.held.removeKey((turn,))
+                    waiting -= 1
+                else:
+                    break
+                turn += 1
+            passed = (turn - 1,)
+            left = list(new.values())
+        for position, values, t in left:
+            if not self.held.containsKey(position):
+                waiting += 1
+                self.held.updateValue(position, (*(_plain(v) for v in values), t))
+                self.handle.registerTimer(t)
+        return go, passed, waiting
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now, (passed, waiting, time) = expiredTimerInfo.getExpiryTimeInMs(), self._load()
+        every = [(k, v) for k, v in self.held.iterator()] if waiting else []
+        due = [k for k, v in every if v[-1] <= now]
+        go = []
+        if due:
+            last = max(due)
+            go = sorted(((k, tuple(v[:-1]), v[-1]) for k, v in every if k <= last), key=lambda r: r[0])
+            for k, _, _ in go:
+                self.held.removeKey(k)
+            waiting, passed = waiting - len(go), last
+            if self.count:  # what waited behind the gap may follow at once
+                more, passed, waiting = self._in_turn([], passed, waiting)
+                go += more
+        yield from self._out(key, go, [], passed, waiting, time, now)
+
+    def _out(self, key, go, late, passed, waiting, time, now=None):
+        rows = self.step(key, [(*position, *values) for position, values, _ in go]) if go else []
+        if go:
+            time = max(r[2] for r in go)
+            if self.waits and (end := self.quiet(time)) is not None:
+                self.handle.registerTimer(end)
+        elif now is not None and (end := self.quiet(time)) is not None and now >= end and not waiting:
+            rows = self.finish(key)
+        self.mark.update((*(_plain(p) for p in passed), waiting, time))
+        blank = {n: None for n in self.output}
+        side = [{**blank, **dict(zip(self.key, key)), **{a: v for a, v in zip(self.at, r[0]) if a in blank}, "late": True} for r in late]
+        out = [dict(zip(self.output, (*r, False))) for r in rows]
+        yield pd.DataFrame(out + side, columns=self.output).astype(self.types)
+
+
+def _plain(v):
+    """Numpy scalars and arrays as Python values; what is missing as None."""
+    if isinstance(v, np.ndarray):
+        return v.tolist()
+    if isinstance(v, np.generic):
+        v = v.item()
+    return None if isinstance(v, float) and np.isnan(v) else v
+
+
+def _ordered(df, keys, processor, schema, ts, patience, grace, side):
+    """Apply an ordered processor; its side output is left out unless asked for."""
+    if patience is not None:
+        df = clocked(df, ts, patience, grace)
+    processor.waits = patience is not None
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    mode = "none" if patience is None else "EventTime"
+    out = df.groupBy(*keys).transformWithStateInPandas(processor, f"{schema}, late boolean", "append", mode)
+    return out if side else out.where(~F.col("late")).drop("late")
 
 
 class MovingRange(_Ordered):
     """Exponential average of ``lo`` and ``hi``; the first frame sets it."""
 
-    state_schema = "f bigint, lo double, hi double, late bigint"
+    state_schema = "lo double, hi double"
+    columns = [("lo", "double"), ("hi", "double")]
+    key, output, types = ["clip"], ["clip", "f", "lo", "hi", "late"], {"lo": "float64", "hi": "float64", "late": bool}
 
-    def __init__(self, alpha: float = ALPHA):
+    def __init__(self, alpha: float = ALPHA, waits: bool = False):
+        super().__init__(waits)
         self.alpha = alpha
 
-    def handleInputRows(self, key, rows, timerValues):
-        f0, lo, hi, late = self.state.get() if self.state.exists() else (-1, None, None, 0)
+    def step(self, key, rows):
+        lo, hi = self.state.get() if self.state.exists() else (None, None)
         out = []
-        for r in self._gather(rows).itertuples():
-            if r.f <= f0:
-                late += 1
-                continue
-            lo = r.lo if lo is None else lo + self.alpha * (r.lo - lo)
-            hi = r.hi if hi is None else hi + self.alpha * (r.hi - hi)
-            f0 = r.f
-            out.append((*key, f0, lo, hi))
-        self.state.update((int(f0), lo, hi, int(late)))
-        yield pd.DataFrame(out, columns=["clip", "f", "lo", "hi"])
+        for f, new_lo, new_hi in rows:
+            lo = new_lo if lo is None else lo + self.alpha * (new_lo - lo)
+            hi = new_hi if hi is None else hi + self.alpha * (new_hi - hi)
+            out.append((*key, f, lo, hi))
+        self.state.update((lo, hi))
+        return out
 
 
-def moving_range(frames: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """``frames``: clip, f, lo, hi, one row per frame."""
-    return stateful(frames, ["clip"], MovingRange(alpha), "clip string, f bigint, lo double, hi double")
+def moving_range(frames: DataFrame, alpha: float = ALPHA, ts: str = "ts", patience: int | None = None, grace: int = DAY, side: bool = False) -> DataFrame:
+    """``frames``: clip, f, lo, hi (and ``ts``), one row per frame."""
+    return _ordered(frames, ["clip"], MovingRange(alpha), "clip string, f bigint, lo double, hi double", ts, patience, grace, side)
 
 
 class Stabiliser(_Ordered):
     """Previous output of one scanline; the next one leans on it."""
 
-    state_schema = "f int, line array<double>, late bigint"
+    state_schema = "line array<double>"
+    columns = [("line", "array<double>")]
+    key, output, types = ["clip", "y"], ["clip", "y", "f", "line", "late"], {"late": bool}
 
-    def __init__(self, tau: float = TAU, cap: float = CAP):
+    def __init__(self, tau: float = TAU, cap: float = CAP, waits: bool = False):
+        super().__init__(waits)
         self.tau, self.cap = tau, cap
 
-    def handleInputRows(self, key, rows, timerValues):
-        f0, line, late = self.state.get() if self.state.exists() else (-1, None, 0)
-        prev = None if line is None else np.asarray(line)
+    def step(self, key, rows):
+        prev = np.asarray(self.state.get()[0]) if self.state.exists() else None
         out = []
-        for r in self._gather(rows).itertuples():
-            if r.f <= f0:
-                late += 1
-                continue
-            d = np.asarray(r.line, dtype=float)
+        for f, line in rows:
+            d = np.asarray(line, dtype=float)
             if prev is not None and len(prev) == len(d) and self.tau > 0:
                 d = pulled(d, prev, self.tau, self.cap)
-            f0, prev = r.f, d
-            out.append((*key, f0, d))
-        self.state.update((int(f0), [float(v) for v in prev], int(late)))
-        yield pd.DataFrame(out, columns=["clip", "y", "f", "line"])
+            prev = d
+            out.append((*key, f, d))
+        self.state.update(([float(v) for v in prev],))
+        return out
 
 
-def stabilise(lines: DataFrame, tau: float = TAU, cap: float = CAP) -> DataFrame:
-    """``lines``: clip, y, f, line array<double>. State is one scanline per key,
-    so a clip spreads over as many keys as it has rows."""
-    return stateful(lines, ["clip", "y"], Stabiliser(tau, cap), "clip string, y int, f int, line array<double>")
+def stabilise(lines: DataFrame, tau: float = TAU, cap: float = CAP, ts: str = "ts", patience: int | None = None, grace: int = DAY, side: bool = False) -> DataFrame:
+    """``lines``: clip, y, f, line array<double> (and ``ts``). State is one scanline per key,
+    and those that wait, so a clip spreads over as many keys as it has rows."""
+    return _ordered(lines, ["clip", "y"], Stabiliser(tau, cap), "clip string, y int, f int, line array<double>", ts, patience, grace, side)
 
 
 class Chunks(_Ordered):
     """Emits a chunk's frame list once it is complete, the rest at the end.
 
-    ``n`` is the clip's length when known; without it the last partial chunk
-    waits for more frames.
+    ``n`` is the clip's length when known. Where it isn't, the last partial chunk leaves
+    when no frame has come for ``idle`` milliseconds of the stream's time.
     """
 
-    state_schema = "chunk int, held array<int>, seen int"
+    state_schema = "chunk int, frames array<int>"
+    columns = [("n", "bigint")]
+    key, output, types = ["clip"], ["clip", "chunk", "f", "pos", "len", "emit", "late"], {"chunk": "Int32", "pos": "Int32", "len": "Int32", "emit": "boolean", "late": bool}
 
-    def __init__(self, size: int = CHUNK, overlap: int = OVERLAP):
-        self.size, self.step, self.overlap = size, size - overlap, overlap
+    def __init__(self, size: int = CHUNK, overlap: int = OVERLAP, idle: int = 0, waits: bool = False):
+        super().__init__(waits)
+        self.size, self.stride, self.overlap, self.idle = size, size - overlap, overlap, idle
 
     def _emit(self, key, chunk, frames, full):
-        emit = [not full or i < self.step for i in range(len(frames))]
+        emit = [not full or i < self.stride for i in range(len(frames))]
         return [(*key, chunk, f, i, len(frames), e) for i, (f, e) in enumerate(zip(frames, emit))]
 
-    def handleInputRows(self, key, rows, timerValues):
-        chunk, held, seen = self.state.get() if self.state.exists() else (0, [], 0)
+    def step(self, key, rows):
+        chunk, held = self.state.get() if self.state.exists() else (0, [])
         held, out = list(held or []), []
-        pdf = self._gather(rows).drop_duplicates("f")
-        for r in pdf.itertuples():
-            if r.f < seen:
-                continue
-            held.append(int(r.f))
-            seen = int(r.f) + 1
+        for f, n in rows:
+            held.append(int(f))
             if len(held) == self.size:
                 out += self._emit(key, chunk, held, True)
-                held, chunk = held[self.step:], chunk + 1
-            if pd.notna(r.n) and seen == int(r.n) and held:
+                held, chunk = held[self.stride:], chunk + 1
+            if pd.notna(n) and f + 1 == n and held:
                 out += self._emit(key, chunk, held, False)
                 held = []
-        self.state.update((int(chunk), held, int(seen)))
-        yield pd.DataFrame(out, columns=["clip", "chunk", "f", "pos", "len", "emit"])
+        self.state.update((int(chunk), held))
+        return out
+
+    def quiet(self, time):
+        return time + self.idle
+
+    def finish(self, key):
+        chunk, held = self.state.get() if self.state.exists() else (0, [])
+        if not held:
+            return []
+        self.state.update((int(chunk) + 1, []))
+        return self._emit(key, chunk, list(held), False)
 
 
 CHUNK_SCHEMA = "clip string, chunk int, f int, pos int, len int, emit boolean"
 
 
-def chunks(frames: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``frames``: clip, f, n (length or NULL)."""
+def chunks(frames: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, ts: str = "ts", patience: int | None = None, grace: int = DAY, idle: int = 0, side: bool = False) -> DataFrame:
+    """``frames``: clip, f, n (length or NULL; and ``ts``)."""
     if overlap >= size:
         raise ValueError("the overlap must be smaller than the chunk")
-    return stateful(frames, ["clip"], Chunks(size, overlap), CHUNK_SCHEMA)
+    return _ordered(frames, ["clip"], Chunks(size, overlap, idle), CHUNK_SCHEMA, ts, patience, grace, side)
 
 
 class Progress(_Ordered):
     """Running count, rate and time left of a job, throttled."""
 
     state_schema = "done bigint, t0 double, last double"
-    order = ["ts", "id"]
+    at, at_schema = ["ts", "id"], "ts double, id bigint"
+    columns = [("n", "bigint"), ("total", "bigint")]
+    count, distinct, start = False, False, (float("-inf"), -(1 << 63))
+    key, output, types = ["job"], ["job", "id", "frame", "elapsed", "fps", "eta", "late"], {"frame": "Int64", "elapsed": "float64", "fps": "float64", "eta": "float64", "late": bool}
 
-    def __init__(self, interval: float):
+    def __init__(self, interval: float, waits: bool = False):
+        super().__init__(waits)
         self.interval = interval
 
-    def handleInputRows(self, key, rows, timerValues):
+    def step(self, key, rows):
         done, t0, last = self.state.get() if self.state.exists() else (0, None, None)
         out = []
-        for r in self._gather(rows).itertuples():
-            done += int(r.n)
-            t0 = r.ts if t0 is None else t0
-            if not (due(r.ts, last, self.interval) or (pd.notna(r.total) and done == r.total)):
+        for ts, id_, n, total in rows:
+            done += int(n)
+            t0 = ts if t0 is None else t0
+            if not (due(ts, last, self.interval) or (pd.notna(total) and done == total)):
                 continue
-            last, elapsed = r.ts, r.ts - t0
+            last, elapsed = ts, ts - t0
             rate = done / elapsed if elapsed > 0 else 0.0
-            eta = (r.total - done) / rate if pd.notna(r.total) and r.total > 0 and rate > 0 else None
-            out.append((*key, r.id, done, elapsed, rate, eta))
+            eta = (total - done) / rate if pd.notna(total) and total > 0 and rate > 0 else None
+            out.append((*key, id_, done, elapsed, rate, eta))
         self.state.update((int(done), float(t0), float(last)))
-        yield pd.DataFrame(out, columns=["job", "id", "frame", "elapsed", "fps", "eta"]).astype({"eta": "float64"})
+        return out
 
 
 PROGRESS_SCHEMA = "job bigint, id bigint, frame bigint, elapsed double, fps double, eta double"
 
 
-def progress(events: DataFrame, interval: float) -> DataFrame:
-    """``events``: job, id, ts in seconds, n frames done, total or NULL."""
-    return stateful(events, ["job"], Progress(interval), PROGRESS_SCHEMA)
+def progress(events: DataFrame, interval: float, clock: str = "at", patience: int | None = None, grace: int = DAY, side: bool = False) -> DataFrame:
+    """``events``: job, id, ts in seconds, n frames done, total or NULL (and ``clock``, a timestamp)."""
+    return _ordered(events, ["job"], Progress(interval), PROGRESS_SCHEMA, clock, patience, grace, side)
 
 
 def latest(events: DataFrame) -> DataFrame:

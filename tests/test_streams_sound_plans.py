@@ -122,3 +122,52 @@ def test_a_folder_of_part_files_streams_whole(spark, tmp_path):
     spark.range(100).withColumn("v", F.col("id") * 2).repartition(4).write.parquet(f"{tmp_path}/t.parquet")
     got = state.run_available(state.table_stream(spark, str(tmp_path), "t"), "id long, v long")
     assert sorted((r.id, r.v) for r in got.collect()) == [(i, 2 * i) for i in range(100)]
+
+
+FRAMES = "clip string, f bigint, lo double, hi double, ts timestamp, part int"
+RANGES = "clip string, f bigint, lo double, hi double"
+
+
+def timed(spark, rows):
+    """Frames ``(f, part)`` of one clip at a frame a second, and a last batch that moves the watermark."""
+    last = max(p for _, p in rows) + 1
+    made = [("a", f, float(f), 1.0, f, p) for f, p in rows] + [("", None, None, None, 1000, last)]
+    return spark.createDataFrame(made, "clip string, f bigint, lo double, hi double, s long, part int").withColumn("ts", F.timestamp_seconds("s")).drop("s"), last + 1
+
+
+def test_frames_wait_for_their_turn(spark, tmp_path):
+    order = [5, 0, 7, 2, 1, 3, 9, 4, 8, 6]
+    df, parts = timed(spark, [(f, i // 3) for i, f in enumerate(order)])
+    got = state.run_available(state.moving_range(stream_of(spark, tmp_path, df, parts), 0.5, patience=100), RANGES).orderBy("f").collect()
+    lo, want = None, []
+    for f in range(10):
+        lo = float(f) if lo is None else lo + 0.5 * (f - lo)
+        want.append((f, lo))
+    assert [(r.f, r.lo) for r in got] == want
+
+
+def test_gaps_are_given_up_and_what_comes_then_is_late(spark, tmp_path):
+    # 2 is missing when the watermark (4 s behind) passes 3; it comes after that
+    df, parts = timed(spark, [(0, 0), (1, 0), (3, 0), (4, 1), (12, 1), (5, 2), (2, 3), (6, 3), (5, 3)])
+    out = state.run_available(state.moving_range(stream_of(spark, tmp_path, df, parts), 1.0, patience=4, side=True), RANGES + ", late boolean")
+    rows = out.collect()
+    assert sorted(r.f for r in rows if not r.late) == [0, 1, 3, 4, 5, 6, 12]
+    assert sorted((r.clip, r.f, r.lo) for r in rows if r.late) == [("a", 2, None), ("a", 5, None)]
+
+
+def test_the_last_chunk_leaves_on_a_timer(spark, tmp_path):
+    df, parts = timed(spark, [(f, (f * 7) % 3) for f in range(10)])
+    src = stream_of(spark, tmp_path, df.select("clip", F.col("f"), F.lit(None).cast("bigint").alias("n"), "ts", "part"), parts)
+    got = state.run_available(state.chunks(src, 4, 2, patience=50, idle=60_000), state.CHUNK_SCHEMA)
+    frames = spark.range(10).select(F.lit("a").alias("clip"), F.col("id").cast("int").alias("f"))
+    want = temporal.chunk_windows(frames, temporal.clip_lengths(frames), 4, 2).select(*got.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_progress_in_any_order(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(1, i, float(i) / 4, 2, None, int(rng.integers(0, 3))) for i in range(40)] + [(0, None, None, None, None, 3)]
+    df = spark.createDataFrame(rows, "job bigint, id bigint, ts double, n bigint, total bigint, part int")
+    df = df.withColumn("at", F.coalesce(F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")), F.timestamp_seconds(F.lit(5000))))
+    got = state.run_available(state.progress(stream_of(spark, tmp_path, df, 4), 1.0, patience=60), state.PROGRESS_SCHEMA).orderBy("id").collect()
+    assert [(r.id, r.frame) for r in got] == [(i, 2 * i + 2) for i in range(0, 40, 4)]
