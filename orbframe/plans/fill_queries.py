@@ -7,6 +7,8 @@ from orbframe.operators import components, fill, grid, packing, quality, warp
 from orbframe.plans import sqltext as q
 from orbframe.plans.lenses import PANO, STRONG, W, H, pano
 from orbframe.plans.registry import query, r6, rounded
+from orbframe.session import scratch_path
+from orbframe.sources import rawframes, rawsink
 from orbframe.plans.warp_queries import EYE, FILLED, NORM, SOFT, filled_eye, normalised
 
 R4 = lambda *names: ", ".join(f"round({n}, 4) + 0.0 AS {n}" for n in names)
@@ -95,7 +97,12 @@ def touching_components(spark, sf):
     return components.touching_components(px)
 
 
-@query("learned_fill")
+@query("learned_fill", f"""{RNORM}, {SPARSE}, {COMP},
+bx AS (SELECT clip, f, label, min(x) - 2 AS x0, max(x) + 2 AS x1, min(y) - 2 AS y0, max(y) + 2 AS y1 FROM labelled GROUP BY clip, f, label),
+mean AS (SELECT b.clip, b.f, b.label, avg(r) AS r, avg(g) AS g, avg(b.b) AS b FROM (
+    SELECT bx.clip, bx.f, bx.label, m.r, m.g, m.b FROM bx JOIN masked m ON m.clip = bx.clip AND m.f = bx.f AND m.x BETWEEN x0 AND x1 AND m.y BETWEEN y0 AND y1 WHERE NOT m.hole) b GROUP BY ALL)
+SELECT m.clip, m.f, m.y, m.x, m.hole, {", ".join(f"round(CASE WHEN m.hole THEN coalesce(n.{c}, m.{c}) ELSE m.{c} END, 4) + 0.0 AS {c}" for c in "rgb")}
+FROM masked m LEFT JOIN labelled l USING (clip, f, y, x) LEFT JOIN mean n ON n.clip = l.clip AND n.f = l.f AND n.label = l.label""")
 def learned_fill(spark, sf):
     """Component crops filled by a stand-in model: the mean of what is valid."""
 
@@ -158,6 +165,20 @@ def block_roundtrip(spark, sf):
     return grid.explode_blocks(grid.pack_blocks(px, 16), 16)
 
 
+@query("raw_sink", f"WITH {PANO} SELECT clip, f, y, x, r, g, b FROM pano")
+def raw_sink(spark, sf):
+    """All panoramas written as raw frames by the data source's writer, and read back."""
+    folder = scratch_path(spark, "raw")
+    rawsink.write_raw(pano(spark, sf).select(*FRAME, "y", "x", "r", "g", "b"), folder, W, H)
+    return rawframes.frame_pixels(rawsink.read_written(spark, folder, W, H), W)
+
+
+@query("zero_strength", f"WITH {PANO} SELECT clip, f, y, x, r, g, b, false AS hole FROM pano")
+def zero_strength(spark, sf):
+    """Without strength an eye is the picture itself, and has no holes."""
+    return warp.synthesise(pano(spark, sf), W, H, 0.0)
+
+
 # --- metrics -------------------------------------------------------------
 
 

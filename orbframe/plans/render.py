@@ -32,6 +32,9 @@ def fill_holes(eye: DataFrame, depth: DataFrame, w: int, h: int, strength: float
     done = cut(background_fill(eye, w, strength).withColumn("left", F.col("hole_d") & ~F.col("done")))
     frames = done.filter(F.col("left") & F.col("hole")).select(*FRAME).distinct()
     open_frames = cut(done.join(frames, FRAME, "left_semi").join(depth.select(*AT, "d"), AT).withColumn("hole", F.col("hole") & ~F.col("done")))
+    out = [*AT, "r", "g", "b", "hole", "hole_d", "done"]
+    if open_frames.isEmpty():
+        return done.select(*out)
     split = fill.ring_threshold(open_frames, grown="left")
     near = fill.search_mask(open_frames, split, "mask", grown="left").withColumn("near", F.coalesce(~F.col("hole") & (F.col("d") > F.col("threshold")), F.lit(False)))
     # Without anything far there is nothing better to read from.
@@ -41,7 +44,7 @@ def fill_holes(eye: DataFrame, depth: DataFrame, w: int, h: int, strength: float
     base = paint.select(*AT, "r", "g", "b", "paint")
     painted = components.learned_fill(base, w, h, make_model, "paint") if mode == "learned" else fill.pyramid(base, max(w, h).bit_length(), "paint")
     merged = done.join(painted.select(*AT, F.struct("r", "g", "b").alias("filled")), AT, "left")
-    return fill.composite(merged, "left").select(*AT, "r", "g", "b", "hole", "hole_d", "done")
+    return fill.composite(merged, "left").select(*out)
 
 
 def frame_path(px: DataFrame, w: int, h: int, strength: float, stride: int = ranges.STRIDE, tau: float = temporal.TAU, soften: int = 0, gradient_limit: float = 0.0) -> DataFrame:

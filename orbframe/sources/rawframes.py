@@ -8,10 +8,9 @@ Each partition is a range of frames and seeks straight to it. Filters on ``f``
 shrink the range before any task starts.
 """
 
-import os
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -22,6 +21,13 @@ SCHEMA = "clip string, f int, data binary"
 FRAMES_PER_TASK = 8
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path, with or without a scheme, and the path in it."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
 class FrameRange(InputPartition):
     def __init__(self, path: str, start: int, stop: int):
         self.path, self.start, self.stop = path, start, stop
@@ -43,10 +49,13 @@ class RawFramesReader(DataSourceReader):
     def __init__(self, options):
         self.record = int(options["width"]) * int(options["height"]) * 3
         self.per_task = int(options.get("framesPerTask", FRAMES_PER_TASK))
-        root = options["path"]
-        self.paths = sorted(
-            os.path.join(root, n) for n in os.listdir(root) if not n.startswith((".", "_"))
-        ) if os.path.isdir(root) else [root]
+        fs, root = file_system(options["path"])
+        info = fs.get_file_info(root)
+        if info.type == pafs.FileType.Directory:
+            head, here = options["path"].rstrip("/"), fs.get_file_info(pafs.FileSelector(root))
+            self.sizes = {f"{head}/{x.base_name}": x.size for x in here if x.is_file and not x.base_name.startswith((".", "_"))}
+        else:
+            self.sizes = {options["path"]: info.size}
         self.low, self.high = 0, None
 
     def _below(self, stop):
@@ -72,8 +81,8 @@ class RawFramesReader(DataSourceReader):
 
     def partitions(self):
         parts = []
-        for path in self.paths:
-            count = os.path.getsize(path) // self.record
+        for path in sorted(self.sizes):
+            count = self.sizes[path] // self.record
             stop = count if self.high is None else min(count, self.high)
             for a in range(self.low, stop, self.per_task):
                 parts.append(FrameRange(path, a, min(stop, a + self.per_task)))
@@ -83,7 +92,8 @@ class RawFramesReader(DataSourceReader):
     def read(self, part):
         if part.start >= part.stop:
             return
-        with open(part.path, "rb") as raw:
+        fs, place = file_system(part.path)
+        with fs.open_input_file(place) as raw:
             raw.seek(part.start * self.record)
             for f in range(part.start, part.stop):
                 yield part.path, f, raw.read(self.record)

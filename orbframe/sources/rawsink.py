@@ -16,21 +16,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from orbframe.sources.rawframes import file_system
+
 FRAME_SCHEMA = "clip string, f int, data binary"
 #: The file that says a set of part files is whole.
 MANIFEST = "_frames"
 
 
-def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path, with or without a scheme, and the path in it."""
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
-
-
 class Part(WriterCommitMessage):
     """What one task has written: rows of name, clip, first frame, frames."""
 

@@ -176,3 +176,25 @@ def test_names(spark, name, described):
         naming.describes_stereo(F.col("p")).alias("d"), naming.suggest(F.col("p"), F.lit("360")).alias("s"), naming.advice(F.col("p"), F.lit("x")).alias("a")).first()
     assert r.d == described and r.a is None
     assert r.s == (f"/d.x/{name}" if described else f"/d.x/{name[:-4]}_360_TB.jpg")
+
+
+def test_raw_frames_are_written_whole_or_not_at_all(spark, tmp_path):
+    from orbframe.sources import rawsink
+
+    path = f"{tmp_path}/raw"
+    rows = [(c, f, y, x, f * 10, y, x) for c in "ab" for f in range(7) for y in range(2) for x in range(3)]
+    df = spark.createDataFrame(rows, "clip string, f int, y int, x int, r int, g int, b int")
+    rawsink.write_raw(df.filter("f < 4"), path, 3, 2)
+    rawsink.write_raw(df.filter("f >= 4"), path, 3, 2)
+    got = rawframes.frame_pixels(rawsink.read_written(spark, path, 3, 2), 3)
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+    assert len(rawsink.manifest(path)) < 14  # a run of frames is one file
+    before = sorted(p.name for p in (tmp_path / "raw").iterdir())
+    bad = spark.createDataFrame([("a", 0, b"short"), ("a", 1, bytes(18))], rawsink.FRAME_SCHEMA).coalesce(1)
+    with pytest.raises(Exception, match="18"):
+        bad.write.format("rawframes_sink").option("width", 3).option("height", 2).mode("append").save(path)
+    assert sorted(p.name for p in (tmp_path / "raw").iterdir() if not p.name.endswith(".crc")) == before
+    assert rawsink.read_written(spark, path, 3, 2).count() == 14
+    rawsink.write_raw(df.filter("clip = 'a'"), path, 3, 2, "overwrite")
+    assert {r.clip for r in rawsink.read_written(spark, path, 3, 2).collect()} == {"a"}
+    assert rawsink.read_written(spark, f"{tmp_path}/none", 3, 2).count() == 0
