@@ -7,18 +7,18 @@ the tokens of one class alone, each once. A changed word is one token less and o
 two blocks at most, and by the pigeonhole principle the others are equal. What is joined on:
 
 - from 84 tokens, each of 16 blocks: up to 7 changed words leave two blocks as they were;
-- from 22 to 94 tokens, each of 8 blocks: up to 3 changed words leave two;
-- from 8 to 24 tokens, each two of 6 blocks together: up to 2 changed words leave two blocks;
+- from 40 to 94 tokens, each of 8 blocks: up to 3 changed words leave two;
+- from 8 to 45 tokens, each two of 6 blocks together: up to 2 changed words leave two blocks;
 - up to 9 tokens, the SimHash of the whole line, and of all its tokens but one, for each.
 
 More changes are found as long as one of these stays by chance. Ranges overlap, so lines
-of a few words more or less have a kind of key in common. A key holds three tokens at least
-(in lines of up to 15 tokens two, if the line has them), so lines of one or two tokens meet
+of a few words more or less have a kind of key in common. A key holds four tokens at least
+(three in lines of up to 21 tokens, two in those of up to 15, if the line has them), so lines of one or two tokens meet
 only if they are equal but for order.
 
 Each key comes with the SimHash of the line's neighbouring tokens (57 bits) and the class of
-its length. Lines that differ in more than 21 bits or by more than two classes (a class is a
-quarter longer than the one before) are no candidates, if they have more than 9 tokens;
+its length. Lines that differ in more than 21 bits (from about 135 characters on, 18) or by more than
+two classes (a class is a quarter longer than the one before) are no candidates, if they have more than 9 tokens;
 lines with two changed words of twelve differ in 16 bits, with a deviation of 3.5, and less
 if a smaller share has changed.
 
@@ -55,15 +55,17 @@ from orbframe.llm.graph import components
 from orbframe.session import cut
 
 #: Classes of tokens, how many of them a key joins, and tokens of the lines (from, to) that have such keys.
-KINDS = ((16, 1, 84, 1 << 40), (8, 1, 22, 94), (6, 2, 8, 24))
-#: Tokens of a key, at least (two in lines of fewer than FEW tokens).
-LEAST, FEW = 3, 16
+KINDS = ((16, 1, 84, 1 << 40), (8, 1, 40, 94), (6, 2, 8, 45))
+#: Tokens of a key, at least (three in lines of fewer than MANY tokens, two in those of fewer than FEW).
+LEAST, FEW, MANY = 4, 16, 22
 #: Tokens, at most, of lines with keys that leave out a token each.
 SHORT = 9
 #: Keys with more lines are divided by length before lines are compared across components.
 LARGE = 16
-#: Bits that the SimHashes of candidates differ in, at most; and the lowest bits of a sketch: class of length, mark of short lines.
-APART, LENGTH, IS_SHORT, LOW = 21, 63, 64, 7
+#: Bits that the SimHashes of candidates differ in, at most (short lines, long ones); and the lowest bits of a sketch: class of length, mark of short lines.
+APART, LENGTH, IS_SHORT, LOW = (21, 18), 63, 64, 7
+#: Class of the length from which lines may differ in fewer bits.
+LONGER = 22
 #: Bits of the map of wanted lines, as a power of two.
 MAP_BITS = 25
 #: How bytes of ASCII are seen: letters in lower case, digits as 0, others as a space.
@@ -137,7 +139,7 @@ def block_keys(seen, edges):
         ones, held = ones.reshape(len(some), classes, 64), held.reshape(len(some), classes)
         for which in itertools.combinations(range(classes), joined):
             count = reduce(np.add, (held[:, c] for c in which))
-            good = count >= np.where(n[some] < FEW, 2, LEAST)
+            good = count >= np.where(n[some] < FEW, 2, np.where(n[some] < MANY, 3, LEAST))
             lines.append(some[good])
             keys.append(_key(reduce(np.add, (ones[good, c] for c in which)), count[good], kind << 16 | sum(1 << c for c in which)))
     # neighbouring tokens, the line's two ends among them
@@ -237,7 +239,7 @@ def _new(nodes, seen: set):
     """Places of nodes that a task meets for the first time, as far as it remembers."""
     first = np.sort(np.unique(nodes, return_index=True)[1])
     fresh = first[[x not in seen for x in nodes[first].tolist()]] if len(first) else first
-    if len(seen) > 1_000_000:
+    if len(seen) > 200_000:
         seen.clear()
     seen.update(nodes[fresh].tolist())
     return fresh
@@ -284,7 +286,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def _alike(a: str, b: str):
     """Whether two sketches can be those of linked lines."""
-    return F.expr(f"abs(({a} & {LENGTH}) - ({b} & {LENGTH})) <= 2 and (({a} | {b}) & {IS_SHORT} > 0 or bit_count(shiftrightunsigned({a} ^ {b}, {LOW})) <= {APART})")
+    return F.expr(f"abs(({a} & {LENGTH}) - ({b} & {LENGTH})) <= 2 and (({a} | {b}) & {IS_SHORT} > 0 or bit_count(shiftrightunsigned({a} ^ {b}, {LOW})) <= if(least({a} & {LENGTH}, {b} & {LENGTH}) < {LONGER}, {APART[0]}, {APART[1]}))")
 
 
 def linked(made: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
