@@ -34,7 +34,10 @@ def coarse(v: Column) -> Column:
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, points: list[float], name: str = "q") -> DataFrame:
-    """``keys`` and an array of the interpolated quantiles at ``points``; null for a group without values."""
+    """``keys`` and an array of the interpolated quantiles at ``points``; null for a group without values.
+
+    Rows with a null in ``keys`` belong to no group.
+    """
     v = F.col(value).cast("double")
     counted = df.groupBy(*keys, coarse(v).alias("_b"), v.alias("_v")).agg(F.count(v).alias("_n"))
     held = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m"))
