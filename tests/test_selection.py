@@ -99,7 +99,7 @@ def loop(rows, interval):
     return kept
 
 
-@pytest.mark.parametrize("size,interval", [(1 << 16, 0.1), (64, 0.1), (50, 3.0), (7, 40.0), (16, 0.0)])
+@pytest.mark.parametrize("size,interval", [(1 << 16, 0.1), (200, 0.1), (150, 40.0), (300, 0.0)])
 def test_throttle_over_buckets(spark, size, interval):
     """A job with most of the rows and no pause, small ones, ties, and ends in the middle."""
     rng = np.random.default_rng(size)
