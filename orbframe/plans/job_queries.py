@@ -136,8 +136,10 @@ def yaw_checks(spark, sf):
         first = px.withColumn("ch", F.slice("ch", 1, (o + 1) ** 2))
         back = soundfield.rotate(soundfield.rotate(first.withColumn("sent", F.col("ch")), o, YAW), o, -YAW)
         off = F.array_max(F.zip_with("sent", "ch", lambda a, b: F.abs(a - b)))
-        part = back.groupBy("clip").agg(F.count(F.lit(1)).alias("samples"), (F.max(off) < 1e-12).alias("undone")).crossJoin(F.broadcast(worst.select((F.col("worst") < 1e-12).alias("orthogonal"))))
-        part = part.select("clip", "samples", F.lit(o).cast("long").alias("sound_order"), "orthogonal", "undone")
+        part = back.groupBy("clip").agg(F.count(F.lit(1)).alias("samples"), (F.max(off) < 1e-12).alias("undone"))
+        # one number about a matrix of 16 x 16 at most
+        orthogonal = F.lit(worst.first().worst < 1e-12).alias("orthogonal")
+        part = part.select("clip", "samples", F.lit(o).cast("long").alias("sound_order"), orthogonal, "undone")
         found = part if found is None else found.union(part)
     return found
 
